@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixmill.llm import simhash
+from helixmill.llm import simhash, suffix_index
 from helixmill.session import table
 
 
@@ -14,6 +14,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash}
+def op3_suffix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_index.repeated_passages(table(spark, sf_dir, "documents"))
 
-ORACLE_SQL: dict[str, str] = {}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op3_suffix_index": op3_suffix_index}
+
+ORACLE_SQL: dict[str, str] = {"op3_suffix_index": suffix_index.ORACLE_SQL}
