@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixmill.llm import simhash, suffix_index
+from helixmill.llm import decontaminate, line_dedup, simhash, suffix_index
 from helixmill.session import table
 
 
@@ -14,10 +14,30 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.duplicate_lines(table(spark, sf_dir, "documents"))
+
+
 def op3_suffix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_index.repeated_passages(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op3_suffix_index": op3_suffix_index}
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_simhash,
+        op2_line_dedup,
+        op3_suffix_index,
+        op5_decontaminate,
+    )
+}
 
-ORACLE_SQL: dict[str, str] = {"op3_suffix_index": suffix_index.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": line_dedup.ORACLE_SQL,
+    "op3_suffix_index": suffix_index.ORACLE_SQL,
+    "op5_decontaminate": decontaminate.ORACLE_SQL,
+}
