@@ -6,10 +6,10 @@ smaller line number) has the same normal form or is one edit away: one character
 ``kept_doc_id`` and ``kept_line`` are the earliest such line, whether or not that is itself a duplicate of another.
 
 Equal lines meet by hash. Of the distinct ones, two that are one edit apart share their first or their last half: the
-half of the shorter. So each line goes out under the hash of either half, for the lengths it can be matched at, with
-the other part. Among lines under one such key, each emits the hashes of all variants of its other part with one
-character deleted, and of the part itself; equal variants join, and the two texts are then compared for their edit
-distance. Only lines that share half their text ever make variants, and variants never leave their task.
+half of the shorter. So each line has the hashes of either half, for the lengths it can be matched at, as keys. Lines
+that share a key go out under it with their other part. Among these, each emits the hashes of all variants of its other
+part with one character deleted, and of the part itself; equal variants join, and the two texts are then compared for
+their edit distance. Only lines that share half their text make variants, and variants never leave their task.
 
 Defined results. Null texts and rows of null doc_id have no lines here. Rows that repeat a doc_id are told apart by
 nothing, so lines of the same doc_id and number count as one. Empty texts have one empty line, which is too short.
@@ -34,7 +34,10 @@ MIN_CHARS = 24
 
 
 def normal(line: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(line, "[ \\t\\n\\r\\f\\x0B]+", " ")))
+    spaced = F.contains(line, F.lit("  "))
+    for sign in "\t\r\f\x0b":
+        spaced = spaced | F.contains(line, F.lit(sign))
+    return F.lower(F.trim(F.when(spaced, F.regexp_replace(line, "[ \\t\\n\\r\\f\\x0B]+", " ")).otherwise(line)))
 
 
 def _codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -167,24 +170,45 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
         .select("doc_id", "line", normal(F.col("raw")).alias("s"))
         .filter(F.length("s") >= MIN_CHARS)
         .withColumns({"h": F.xxhash64("s"), "g": F.xxhash64(F.lit("again"), "s")})
+        .repartition("h")
     )
+    # the one exchange that holds text: all that follows reads it again, or moves hashes and numbers
     same = Window.partitionBy("h", "g").orderBy("doc_id", "line")
-    lines = lines.withColumns({"first": F.first(F.struct("doc_id", "line")).over(same), "k": F.row_number().over(same)})
-    twins = lines.filter("k > 1 and (doc_id <> first.doc_id or line <> first.line)").select("doc_id", "line", "first")
+    marked = lines.withColumns({"first": F.first(F.struct("doc_id", "line")).over(same), "k": F.row_number().over(same)})
+    # (octet_length keeps this branch's exchange equal to the others')
+    twins = marked.filter("k > 1 and octet_length(s) > 0 and (doc_id <> first.doc_id or line <> first.line)").select("doc_id", "line", "first")
     n = F.length("s")
 
-    def keyed(longer: bool, back: bool) -> Column:
+    def keyed(longer: bool, back: bool, with_rest: bool) -> Column:
         size = (n - int(longer)).cast("int")  # of the shorter of the two lines to be compared
         half = F.floor(size / 2).cast("int")
         same_part, rest = (F.right("s", half), F.substr("s", F.lit(1), n - half)) if back else (F.left("s", half), F.substr("s", half + 1))
-        return F.struct(F.xxhash64(F.lit(back), size, same_part).alias("key"), F.lit(longer).alias("longer"), rest.alias("rest"))
-
-    under = (
-        lines.filter("k = 1")
-        .select("doc_id", "line", F.explode(F.array(*(keyed(x, y) for x in (False, True) for y in (False, True)))).alias("e"))
-        .select("doc_id", "line", "e.*")
+        parts = [F.xxhash64(F.lit(back), size, same_part).alias("key"), F.lit(longer).alias("longer")]
+        return F.struct(*parts, *[rest.alias("rest")] * with_rest)
+
+    def under(rows: DataFrame, with_rest: bool) -> DataFrame:
+        keys = F.array(*(keyed(x, y, with_rest) for x in (False, True) for y in (False, True)))
+        return rows.select(*(c for c in rows.columns if c not in ("s", "g", "k", "first")), F.explode(keys).alias("e")).select("*", "e.*").drop("e")
+
+    # keys under which two distinct lines stand, one of them as the shorter or equal; and the lines that have such a key
+    by_key = Window.partitionBy("key")
+    shared = (
+        under(marked.filter("k = 1").select("h", "s"), False)
+        .withColumns({"n": F.count(F.lit(1)).over(by_key), "short": F.min("longer").over(by_key)})
+        .filter("n > 1 and not short")
+        .groupBy("h")
+        .agg(F.collect_set("key").alias("keys"))
+    )
+    picked = lines.join(shared.hint("shuffle_hash"), "h")
+    picked = picked.withColumn("k", F.row_number().over(same)).filter("k = 1")
+    near = (
+        under(picked.select("doc_id", "line", "s", "keys"), True)
+        .filter(F.array_contains("keys", F.col("key")))
+        .select("doc_id", "line", "key", "longer", "rest")
+        .repartition("key")
+        .sortWithinPartitions("key")
+        .mapInArrow(_neighbours, "doc_id long, line int, near_doc_id long, near_line int")
     )
-    near = under.repartition("key").sortWithinPartitions("key").mapInArrow(_neighbours, "doc_id long, line int, near_doc_id long, near_line int")
     near = near.groupBy("doc_id", "line").agg(F.min(F.struct(F.col("near_doc_id").alias("doc_id"), F.col("near_line").alias("line"))).alias("near"))
     through = twins.join(near.select(F.struct("doc_id", "line").alias("first"), "near"), "first", "left").select("doc_id", "line", F.coalesce("near", "first").alias("kept"))
     return through.union(near.select("doc_id", "line", F.col("near").alias("kept"))).select("doc_id", "line", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line").alias("kept_line"))
