@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixmill.llm import decontaminate, line_dedup, simhash, sp_bpe, suffix_index
+from helixmill.llm import decontaminate, html_consensus, line_dedup, pii, simhash, sp_bpe, suffix_index, url_filter
 from helixmill.session import table
 
 
@@ -22,10 +22,22 @@ def op3_suffix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_index.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.spans(table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_consensus.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_bpe.encode(table(spark, sf_dir, "documents"))
 
@@ -36,7 +48,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_simhash,
         op2_line_dedup,
         op3_suffix_index,
+        op4_pii,
         op5_decontaminate,
+        op6_html_consensus,
+        op7_url_filter,
         op10_sentencepiece,
     )
 }
@@ -45,4 +60,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": line_dedup.ORACLE_SQL,
     "op3_suffix_index": suffix_index.ORACLE_SQL,
     "op5_decontaminate": decontaminate.ORACLE_SQL,
+    "op7_url_filter": url_filter.oracle_sql(),
 }
