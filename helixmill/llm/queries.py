@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixmill.llm import decontaminate, html_consensus, line_dedup, pii, simhash, sp_bpe, suffix_index, url_filter
+from helixmill.llm import decontaminate, html_consensus, line_dedup, pii, simhash, sp_bpe, suffix_index, topk, toxicity, url_filter
 from helixmill.session import table
 
 
@@ -38,6 +38,14 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_bpe.encode(table(spark, sf_dir, "documents"))
 
@@ -52,6 +60,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_decontaminate,
         op6_html_consensus,
         op7_url_filter,
+        op8_topk,
+        op9_toxicity,
         op10_sentencepiece,
     )
 }
@@ -61,4 +71,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_suffix_index": suffix_index.ORACLE_SQL,
     "op5_decontaminate": decontaminate.ORACLE_SQL,
     "op7_url_filter": url_filter.oracle_sql(),
+    "op8_topk": topk.ORACLE_SQL,
 }
