@@ -135,6 +135,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_broadcast_bytes: int
     return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.span_words", (-F.col("b.d")).alias("doc_start"), (-F.col("b.i")).alias("item_start"))
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` without the rows that share a long span with the benchmark; rows of null doc_id or text stay."""
+    hit = contaminated(docs, benchmark).select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(hit, F.col("doc_id") == F.col("__id"), "left_anti")
+
+
 #: DuckDB's equal: shared 13-word grams, and runs of them on one diagonal.
 ORACLE_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{C0}-\x{1FFF}\x{2080}-\x{2FFF}\x{3040}-\x{10FFFF}]+') AS w

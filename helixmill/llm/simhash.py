@@ -264,3 +264,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     same = prints.join(reps, "fp").filter("doc_id > rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     roots = components(edges.union(same))
     return roots.select(F.col("id").alias("doc_id"), F.col("root").alias("group_id"), (F.col("id") == F.col("root")).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``docs`` with one document of each group; rows of null doc_id or text stay."""
+    gone = near_duplicates(docs, radius).filter("not kept").select(F.col("doc_id").alias("__id"))
+    return docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
