@@ -1,8 +1,8 @@
 """Toxicity by noisy-channel deobfuscation.
 
 Terms: from at most ``MAX_LABELLED`` labelled rows (the first by a hash of doc_id) come the words and word beginnings
-that toxic rows hold far more often than others, each with its log odds; a beginning counts where its continuations
-differ. The least score that sets toxic rows apart best becomes the threshold.
+that toxic rows hold far more often than others, each with its log odds; a beginning counts where a word goes on after
+it, in different ways. The least score that sets toxic rows apart best becomes the threshold.
 
 Language model: counts of all three-character sequences of all documents, interpolated.
 
@@ -11,7 +11,8 @@ letters they resemble, marks left out, repetitions once) begin as the term's do,
 character may stand for: itself, a letter it resembles, nothing if it repeats the one before or stands between letters.
 Single letters apart from each other make one stretch. Viterbi's algorithm finds the likeliest reading under the
 language model, with a price for each deviation, and the reading is searched for terms. What can't be read as a term
-can't change the score, so nothing else is decoded. The score is the sum of the weights of the distinct terms found.
+can't change the score, so nothing else is decoded. The score is the sum of the terms' weights over the distinct words
+they are found in, less for long texts (half at ``HALF_WORDS`` words).
 
 Defined results. A null or empty text has score 0 and isn't rejected. Rows of null doc_id, and repeated ones, are judged
 each for itself. Texts are read whole. Without labels, or with labels that no term explains, nothing is rejected. Labels
@@ -32,12 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.llm._text import _P, Words, chunks, raw, spans
+from helixmill.session import cut
 
 MAX_LABELLED = 20_000
 #: A term's shortest beginning, and the longest that is told from the whole word.
 SHORT, LONG = 4, 9
-#: Least log likelihood ratio of a term, contexts that it must stand in, and share of its documents that may be clean.
-LEAST_G2, LEAST_CONTEXTS, MOST_CLEAN = 35.0, 5, 0.02
+#: Least log likelihood ratio of a term; contexts (pairs of words around it) that it must stand in, at least and for
+#: each toxic row; share of its rows that may be clean.
+LEAST_G2, LEAST_CONTEXTS, LEAST_VARIED, MOST_CLEAN = 35.0, 5, 0.5, 0.5
+#: Words for which the sum of weights counts half: a long text holds more of what only looks like a term.
+HALF_WORDS = 2000
 #: Prices of reading a sign as a letter, of a mark or space between letters that is left out or taken for the end of a
 #: word, of a digit among letters that is a digit, of a letter left out that repeats the one before: in a pair, which
 #: words have too, or among three or more.
@@ -162,31 +167,41 @@ def _words(text: str) -> list[str]:
 
 
 def _beginnings(word: str) -> list[str]:
-    """Beginnings of a word, and the whole with a full stop."""
-    return [word[:n] for n in range(SHORT, min(len(word), LONG) + 1)] + [word + "."] if len(word) >= SHORT else []
+    """Beginnings that the word goes beyond, and the whole with a full stop."""
+    return [word[:n] for n in range(SHORT, min(len(word) - 1, LONG) + 1)] + [word + "."] if len(word) >= SHORT else []
 
 
 def _teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bad: dict[str, int] = defaultdict(int)
-    good: dict[str, int] = defaultdict(int)
-    contexts: dict[str, set[int]] = defaultdict(set)
+    """Toxic and clean rows of each beginning."""
+    counts: dict[str, list[int]] = {}
+
+    def out() -> pa.RecordBatch:
+        terms = list(counts)
+        return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([counts[t][0] for t in terms], pa.int64()), pa.array([counts[t][1] for t in terms], pa.int64())], ["term", "bad", "good"])
+
     for batch in batches:
         for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
-            words = _words(text)
-            if not toxic:
-                for p in {p for w in set(words) for p in _beginnings(w)}:
-                    good[p] += 1
-                continue
-            seen = set()
-            for before, w in zip(["", *words], words):
-                for p in _beginnings(w):
-                    seen.add(p)
-                    contexts[p].add(hash(tuple(before.encode())))
-            for p in seen:
-                bad[p] += 1
-    rows = [(p, bad.get(p, 0), good.get(p, 0), list(contexts[p]) if bad.get(p, 0) * 5 >= good.get(p, 0) and p in bad else []) for p in bad.keys() | good.keys()]
-    # what no toxic row of this task has matters only for others' terms: its count goes along
-    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64())))], ["term", "bad", "good", "contexts"])
+            for p in {p for w in set(_words(text)) for p in _beginnings(w)}:
+                counts.setdefault(p, [0, 0])[0 if toxic else 1] += 1
+            if len(counts) > 200_000:
+                yield out()
+                counts.clear()
+    yield out()
+
+
+def _contexts(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Distinct pairs of words between which some beginnings stand in toxic rows."""
+        wanted: set[str] = shared.value
+        found: set[tuple[str, str]] = set()
+        for batch in batches:
+            for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
+                if toxic:
+                    words = _words(text)
+                    found.update((p, f"{before} {after}") for before, w, after in zip(["", *words], words, [*words[1:], ""]) for p in _beginnings(w) if p in wanted)
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([b for _, b in found], pa.string())], ["term", "around"])
+
+    return run
 
 
 def learn_terms(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[dict[str, float], DataFrame]:
@@ -194,35 +209,40 @@ def learn_terms(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABE
     chosen = labels.select("doc_id", "toxic").filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).withColumnRenamed("doc_id", "__id")
     rows = docs.select("doc_id", "text").filter("doc_id is not null and text is not null").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
-    rows = rows.groupBy(F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"), F.first("text").alias("text")).select("toxic", "text")
+    rows = rows.select("toxic", "text", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g")).repartition(64, "h")
+    rows = cut(rows.groupBy("h", "g").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"), F.min("text").alias("text")).select("toxic", "text"))
     total = {bool(r[0]): r[1] for r in rows.groupBy("toxic").count().collect()}
     n1, n0 = total.get(True, 0), total.get(False, 0)
     if not n1 or not n0:
         return {}, rows
-    counted = rows.mapInArrow(_teach, "term string, bad long, good long, contexts array<long>").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.size(F.array_distinct(F.flatten(F.collect_list("contexts")))).alias("contexts"))
-    likely = counted.filter((F.col("bad") >= LEAST_CONTEXTS) & (F.col("contexts") >= LEAST_CONTEXTS) & (F.col("good") <= F.col("bad") * MOST_CLEAN / (1 - MOST_CLEAN))).select("term", "bad", "good").collect()
-    return choose_terms([(r.term, r.bad, r.good) for r in likely], n1, n0), rows
+    counted = rows.mapInArrow(_teach, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    likely = counted.filter((F.col("bad") >= LEAST_CONTEXTS) & (F.col("good") <= F.col("bad") * MOST_CLEAN / (1 - MOST_CLEAN))).collect()
+    likely = [(r.term, r.bad, r.good) for r in likely if _g2(r.bad, r.good, n1, n0) >= LEAST_G2]
+    wanted = docs.sparkSession.sparkContext.broadcast({t for t, _, _ in likely})
+    around = rows.mapInArrow(_contexts(wanted), "term string, around string").distinct().groupBy("term").count()
+    contexts = {r[0]: r[1] for r in around.collect()}
+    # a term that copies of a few texts hold stands between the same words again and again
+    return choose_terms([x for x in likely if contexts.get(x[0], 0) >= max(LEAST_CONTEXTS, LEAST_VARIED * x[1])], n1, n0), rows
+
+
+def _g2(bad: int, good: int, n1: int, n0: int) -> float:
+    """Log likelihood ratio of a term's rows against the share of toxic rows."""
+    base = n1 / (n1 + n0)
+    return 2 * (bad * math.log(bad / (bad + good) / base) + (good * math.log(good / (bad + good) / (1 - base)) if good else 0))
 
 
 def choose_terms(counts: list[tuple[str, int, int]], n1: int, n0: int) -> dict[str, float]:
-    """Of terms (text, toxic rows, clean rows) the telling ones: a whole word where a beginning has no other continuation, and no term within another."""
-    kept: dict[str, tuple[int, int]] = {}
-    base = n1 / (n1 + n0)
-    for term, bad, good in counts:
-        g2 = 2 * (bad * math.log(bad / (bad + good) / base) + (good * math.log(good / (bad + good) / (1 - base)) if good else 0))
-        if g2 >= LEAST_G2:
-            kept[term] = (bad, good)
-    longer: dict[str, int] = defaultdict(int)  # the most rows that a continuation of each beginning has
-    for term, (bad, _) in kept.items():
-        for n in range(SHORT, len(term)):
-            longer[term[:n]] = max(longer[term[:n]], bad)
-    closed = [t for t in kept if t.endswith(".") or longer[t] < 0.95 * kept[t][0]]
+    """Of terms (text, toxic rows, clean rows) the most telling ones, none of which begins another."""
+    kept = {term: (bad, good) for term, bad, good in counts if bad and _g2(bad, good, n1, n0) >= LEAST_G2}
     out: dict[str, float] = {}
-    for term in sorted(closed, key=lambda t: (len(t.rstrip(".")), t)):
-        if not any(term[:n] in out for n in range(SHORT, len(term.rstrip(".")) + 1)):
+    within: set[str] = set()  # beginnings of chosen terms
+    for term in sorted(kept, key=lambda t: (-_g2(*kept[t], n1, n0), -len(t), t)):
+        text = term.rstrip(".")
+        if term not in within and not any(text[:n] in out for n in range(SHORT, len(text))):
             bad, good = kept[term]
             out[term] = round(math.log((bad + 0.5) / (n1 + 1)) - math.log((good + 0.5) / (n0 + 1)), 6)
-    return out
+            within.update(text[:n] for n in range(SHORT, len(text)))
+    return {t: w for t, w in sorted(out.items()) if w > 0}
 
 
 # --- scoring --------------------------------------------------------------------------------------------------------
@@ -231,10 +251,11 @@ def choose_terms(counts: list[tuple[str, int, int]], n1: int, n0: int) -> dict[s
 class Scorer:
     def __init__(self, terms: dict[str, float], model: LanguageModel | None, threshold: float = math.inf):
         self.terms, self.model, self.threshold = terms, model, threshold
-        self.by_text = {t.rstrip("."): t for t in terms}
-        self.by_flat = {_flat(t): x for t, x in self.by_text.items()}
-        self._plain = self._table([t.encode() for t in self.by_text])
-        self._bones = self._table(sorted({s for t in self.by_text if len(s := _skeleton(t)) >= 3}))
+        self.texts = sorted({t.rstrip(".") for t in terms})
+        self.exact = {t: t for t in terms}
+        self.flat = {_flat(t): t for t in sorted(terms)}
+        self._plain = self._table([t.encode() for t in self.texts])
+        self._bones = self._table(sorted({s for t in self.texts if len(s := _skeleton(t)) >= 3}))
 
     @staticmethod
     def _table(keys: list[bytes]) -> dict[int, np.ndarray]:
@@ -244,20 +265,23 @@ class Scorer:
             out[len(k)].append(_rolling(k))
         return {n: np.array(sorted(v), np.uint64) for n, v in out.items()}
 
-    def of_words(self, words: list[str], flat: bool = False) -> set[str]:
-        """Terms that stand in some words; flat: with every letter once, as decoding can't always tell "ss" from "s"."""
+    def of_words(self, words: list[str], flat: bool = False) -> set[tuple[str, str]]:
+        """Terms that stand in some words, with the word; flat: with every letter once, as decoding can't always tell "ss" from "s"."""
+        by = self.flat if flat else self.exact
         found = set()
-        by = self.by_flat if flat else self.by_text
         for w in map(_flat, words) if flat else words:
-            for n in range(SHORT - flat, len(w) + 1):
-                t = by.get(w[:n])
-                if t and (not t.endswith(".") or n == len(w)):
-                    found.add(t)
+            found |= {(t, w) for t in (by.get(w + "."), *(by.get(w[:n]) for n in range(SHORT - flat, len(w)))) if t}
         return found
 
-    def find(self, texts: pa.Array) -> list[set[str]]:
-        """Terms of each text, plain and decoded."""
-        found: list[set[str]] = [set() for _ in range(len(texts))]
+    def judge(self, texts: pa.Array) -> tuple[list[set[tuple[str, str]]], list[float]]:
+        """What find() finds, and the score of each text."""
+        found = self.find(texts)
+        n_words = np.diff(Words(texts).first) if any(found) else np.zeros(len(found))
+        return found, [round(sum(self.terms[t] for t, _ in sorted(f)) / (1 + int(n) / HALF_WORDS), 6) for f, n in zip(found, n_words)]
+
+    def find(self, texts: pa.Array) -> list[set[tuple[str, str]]]:
+        """Terms of each text with the words they stand in, plain and decoded."""
+        found: list[set[tuple[str, str]]] = [set() for _ in range(len(texts))]
         if not self.terms:
             return found
         w = Words(texts)
@@ -303,9 +327,6 @@ class Scorer:
             seen.add(int(place[head[i]]))
             yield int(doc[k]), data[place[head[i]] : end[last[k]]].tobytes().decode("utf-8", "replace")
 
-    def score(self, found: set[str]) -> float:
-        return round(sum(self.terms[t] for t in sorted(found)), 6)
-
 
 def _rolling(key: bytes) -> int:
     h = 0
@@ -336,7 +357,7 @@ def _label_scores(shared):
         s: Scorer = shared.value
         for batch in batches:
             for part in chunks(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array([s.score(f) for f in s.find(part.column("text"))], pa.float64())], ["toxic", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(s.judge(part.column("text"))[1], pa.float64())], ["toxic", "score"])
 
     return run
 
@@ -372,10 +393,9 @@ def _judge(shared):
         s: Scorer = shared.value
         for batch in batches:
             for part in chunks(batch, "text"):
-                found = s.find(part.column("text"))
-                scores = [s.score(f) for f in found]
+                found, scores = s.judge(part.column("text"))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(scores, pa.float64()), pa.array([len(f) for f in found], pa.int32()), pa.array([",".join(sorted(f)) for f in found], pa.string()), pa.array([x >= s.threshold for x in scores], pa.bool_())],
+                    [part.column("doc_id"), pa.array(scores, pa.float64()), pa.array([len({t for t, _ in f}) for f in found], pa.int32()), pa.array([",".join(sorted({t for t, _ in f})) for f in found], pa.string()), pa.array([x >= s.threshold for x in scores], pa.bool_())],
                     ["doc_id", "score", "n_terms", "terms", "rejected"],
                 )
 
@@ -396,7 +416,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LA
         s: Scorer = shared.value
         for batch in batches:
             for part in chunks(batch, "text"):
-                keep = np.array([s.score(f) < s.threshold for f in s.find(part.column("text"))])
+                keep = np.array(s.judge(part.column("text"))[1]) < s.threshold
                 if keep.any():
                     yield part.filter(pa.array(keep))
 
