@@ -140,7 +140,7 @@ def last_executions(executions: DataFrame, limit: int = 10) -> DataFrame:
 
 def pick_pmids(text: Column, limit: int = 50) -> Column:
     """A list written with commas: trimmed, blanks left out, the first so many."""
-    return F.slice(F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != ""), 1, limit)
+    return F.slice(F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != ""), 1, limit)
 
 
 # --- caches ---------------------------------------------------------------------------------------------------------

@@ -44,7 +44,7 @@ def document_relations(documents: DataFrame) -> DataFrame:
     where one leaves an end open. Unknown relations and those of a text with itself are left out.
     """
     flat = F.flatten(F.transform("passages", lambda p: F.coalesce(p["annotations"], F.array().cast(documents.schema["passages"].dataType.elementType["annotations"].dataType))))
-    named = F.filter(F.transform(flat, lambda a: F.struct(F.coalesce(a["id"], F.lit("")).alias("id"), F.trim(a["text"]).alias("text"), F.trim(F.coalesce(F.nullif(a["infons"]["identifier"], F.lit("")), a["infons"]["id"], F.lit(""))).alias("identifier"))), lambda a: a["text"] != "")
+    named = F.filter(F.transform(flat, lambda a: F.named_struct(F.lit("id"), F.coalesce(a["id"], F.lit("")), F.lit("text"), F.trim(a["text"]), F.lit("identifier"), F.trim(F.coalesce(F.nullif(a["infons"]["identifier"], F.lit("")), a["infons"]["id"], F.lit(""))))), lambda a: a["text"] != "")
     d = documents.select(F.col("id").alias("pmid"), named.alias("named"), F.posexplode("relations").alias("triplet_seq", "r"))
 
     def text_of(field: str, value: Column) -> Column:
