@@ -161,6 +161,17 @@ def _all_passages(s: _Suffixes) -> Iterator[tuple[np.ndarray, ...]]:
         yield s.doc[x], s.pos[x].astype(np.int64) - o, s.pos[x].astype(np.int64) - o + MIN_WORDS, s.doc[y]
 
 
+def _united(doc: np.ndarray, start: np.ndarray, end: np.ndarray, source: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Spans of a document that meet, as one, with the earliest source of all."""
+    order = np.lexsort((start, doc))
+    doc, start, end, source = doc[order], start[order], end[order], source[order]
+    # ends so far within the document: positions are moved apart by document, so that one running maximum serves
+    shift = np.cumsum(np.r_[0, doc[1:] != doc[:-1]]) * (int(end.max()) + 1)
+    reach = np.maximum.accumulate(end + shift)
+    first = np.flatnonzero(np.r_[True, start[1:] + shift[1:] > reach[:-1]])
+    return doc[first], start[first], np.maximum.reduceat(end, first), np.minimum.reduceat(source, first)
+
+
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     levels: list[tuple[int, _Suffixes]] = []
     hot: set[int] = set()
@@ -169,6 +180,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out(found: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         for doc, start, end, source in found:
             if len(doc):
+                doc, start, end, source = _united(doc, start, end, source)
                 yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(source)], ["doc_id", "start_word", "end_word", "source_doc_id"])
 
     for s in _batched(batches):
