@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,19 +79,25 @@ class _Items:
                 yield self.ids[item], *best
 
 
+def _matches(items: _Items, texts: pa.Array) -> list[list[tuple[int, int, int, int]]]:
+    """The items that each text matches, with their spans."""
+    w, at, h = _prints(texts)
+    lo, hi = np.searchsorted(items.h, h, "left"), np.searchsorted(items.h, h, "right")
+    hits: dict[int, list[tuple[int, int]]] = {}
+    for k in np.flatnonzero(hi > lo):
+        d = int(w.doc[at[k]])
+        hits.setdefault(d, []).extend((int(at[k] - w.first[d]), f) for f in range(lo[k], hi[k]))
+    out: list[list[tuple[int, int, int, int]]] = [[] for _ in range(len(texts))]
+    for d, found in hits.items():
+        out[d] = list(items.matches(w.hash[w.first[d] : w.first[d + 1]], found))
+    return out
+
+
 def _search(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items: _Items = shared.value
         for batch in batches:
             for part in chunks(batch, "text"):
-                w, at, h = _prints(part.column("text"))
-                lo, hi = np.searchsorted(items.h, h, "left"), np.searchsorted(items.h, h, "right")
-                found: dict[int, list[tuple[int, int]]] = {}
-                for k in np.flatnonzero(hi > lo):
-                    d = int(w.doc[at[k]])
-                    found.setdefault(d, []).extend((int(at[k] - w.first[d]), f) for f in range(lo[k], hi[k]))
-                ids = part.column("doc_id")
-                rows = [(ids[d].as_py(), *m) for d, hits in found.items() for m in items.matches(w.hash[w.first[d] : w.first[d + 1]], hits)]
+                rows = [(d, *m) for d, found in zip(part.column("doc_id").to_pylist(), _matches(shared.value, part.column("text"))) for m in found]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["doc_id", "item_id", "span_words", "doc_start", "item_start"])
 
@@ -117,15 +124,26 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["doc_id", "item_id", "span_words", "doc_start", "item_start"])
 
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select("item_id", "text").filter("item_id is not null and text is not null")
+
+
+def _shared(items: DataFrame, most: int):
+    """The benchmark for every task, or None if it takes more than ``most`` bytes."""
+    size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    if size * 4 > most:  # a word of six bytes takes eight, and its fingerprints some more
+        return None
+    rows = items.orderBy("item_id").collect()
+    return items.sparkSession.sparkContext.broadcast(_Items([r[0] for r in rows], [r[1] for r in rows]))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """(doc_id, item_id, span_words, doc_start, item_start) of each document and item that share a long span."""
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
-    items = benchmark.select("item_id", "text").filter("item_id is not null and text is not null")
-    size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    if size * 4 <= max_broadcast_bytes:  # a word of six bytes takes eight, and its fingerprints some more
-        rows = items.orderBy("item_id").collect()
-        found = docs.mapInArrow(_search(spark.sparkContext.broadcast(_Items([r[0] for r in rows], [r[1] for r in rows]))), _MATCH)
+    items = _items(benchmark)
+    shared = _shared(items, max_broadcast_bytes)
+    if shared is not None:
+        found = docs.mapInArrow(_search(shared), _MATCH)
     else:
         prints = docs.select(F.col("doc_id").alias("id"), "text").mapInArrow(_fingerprints, "h long, id long").withColumnRenamed("id", "doc_id")
         tests = items.select(F.col("item_id").alias("id"), "text").mapInArrow(_fingerprints, "h long, id long").withColumnRenamed("id", "item_id")
@@ -135,10 +153,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_broadcast_bytes: int
     return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.span_words", (-F.col("b.d")).alias("doc_start"), (-F.col("b.i")).alias("item_start"))
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows that share a long span with the benchmark; rows of null doc_id or text stay."""
-    hit = contaminated(docs, benchmark).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(hit, F.col("doc_id") == F.col("__id"), "left_anti")
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """``docs`` without the documents that share a long span with the benchmark; rows of null doc_id or text stay.
+
+    While the benchmark goes to every task, rows are judged where they are read and no document is shuffled.
+    """
+    items = _items(benchmark)
+    shared = _shared(items, max_broadcast_bytes)
+    if shared is None:
+        hit = contaminated(docs, benchmark, max_broadcast_bytes).select(F.col("doc_id").alias("__id")).distinct()
+        return docs.join(hit, F.col("doc_id") == F.col("__id"), "left_anti")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                known = np.asarray(pc.is_valid(part.column("doc_id")))
+                clean = np.array([not m for m in _matches(shared.value, part.column("text"))], bool)
+                yield part.filter(pa.array(clean | ~known))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 #: DuckDB's equal: shared 13-word grams, and runs of them on one diagonal.

@@ -80,8 +80,9 @@ def test_decontamination(spark, odd, none, most):
     assert decontaminate.contaminated(odd, bench(spark, []), most).count() == 0 and decontaminate.contaminated(none, items, most).count() == 0
 
 
-def test_decontamination_filter(spark, odd):
-    left = decontaminate.without_contaminated(odd, bench(spark, [(1, PASSAGE)]))
+@pytest.mark.parametrize("most", [decontaminate.MAX_BROADCAST_BYTES, 0])
+def test_decontamination_filter(spark, odd, most):
+    left = decontaminate.without_contaminated(odd, bench(spark, [(1, PASSAGE)]), most)
     assert left.columns == odd.columns and left.count() == len(ROWS) - 3
 
 
