@@ -175,7 +175,7 @@ def _united(doc: np.ndarray, start: np.ndarray, end: np.ndarray, source: np.ndar
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     levels: list[tuple[int, _Suffixes]] = []
     hot: set[int] = set()
-    every: list[_Suffixes] = []
+    waiting: list[_Suffixes] = []
 
     def out(found: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         for doc, start, end, source in found:
@@ -183,8 +183,14 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 doc, start, end, source = _united(doc, start, end, source)
                 yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(source)], ["doc_id", "start_word", "end_word", "source_doc_id"])
 
+    def wide() -> Iterator[pa.RecordBatch]:
+        """Suffixes of wide grams that wait, against each other and the levels, which hold every earlier context."""
+        wanted = np.array(sorted(hot))
+        held = [level.take(np.flatnonzero(np.isin(level.h, wanted))) for _, level in levels]
+        yield from out(_all_passages(_Suffixes.join([*waiting, *held])))
+        waiting.clear()
+
     for s in _batched(batches):
-        every.append(s)
         array = s.sorted()
         yield from out(_scan(s, array, hot))
         for _, level in levels:
@@ -194,9 +200,12 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             array = _Suffixes.join([levels.pop()[1], array]).sorted()
             size += 1
         levels.append((size, array))
-    if hot:
-        wanted = np.array(sorted(hot))
-        yield from out(_all_passages(_Suffixes.join([s.take(np.flatnonzero(np.isin(s.h, wanted))) for s in every])))
+        if hot:
+            waiting.append(s.take(np.flatnonzero(np.isin(s.h, np.array(sorted(hot))))))
+            if sum(map(len, waiting)) > 4 * BATCH:
+                yield from wide()
+    if waiting:
+        yield from wide()
 
 
 def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[_Suffixes]:
