@@ -48,7 +48,7 @@ def job_expiry(updated: Column, status: Column) -> Column:
 
 
 def seconds_between(start: Column, end: Column) -> Column:
-    return (F.unix_micros(end) - F.unix_micros(start)) / 1_000_000
+    return (F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 1_000_000
 
 
 def pub_date(year: Column, month: Column) -> Column:

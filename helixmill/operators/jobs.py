@@ -154,7 +154,7 @@ def cache_stats(requests: DataFrame) -> DataFrame:
 
 def cache_after(entries: DataFrame, now: Column, ttl_seconds: int, max_size: int) -> DataFrame:
     """Entries (key, stored_at) that live on: not older than the limit, the newest ``max_size``."""
-    fresh = entries.filter(F.unix_micros(now) - F.unix_micros("stored_at") <= ttl_seconds * 1_000_000)
+    fresh = entries.filter(F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("stored_at").cast("timestamp")) <= ttl_seconds * 1_000_000)
     k = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("stored_at")))
     return fresh.withColumn("k", k).filter("k = 1").drop("k").orderBy(F.desc("stored_at"), "key").limit(max_size)
 

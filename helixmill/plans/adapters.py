@@ -5,7 +5,7 @@ Each adapter has the same as DuckDB SQL, from which the oracles are put together
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixmill.operators import graph as G
@@ -14,6 +14,11 @@ from helixmill.session import table
 RELATION = {"A": "activates", "N": "inhibits", "R": "treats"}
 
 
+def span(first: str, last: str) -> Column:
+    """Days of [first, last), compared in the type they are stored in, so that the filter reaches the scan."""
+    return (F.col("day") >= F.lit(first).cast("timestamp_ntz")) & (F.col("day") < F.lit(last).cast("timestamp_ntz"))
+
+
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     line, part, order = (table(spark, sf_dir, t) for t in ("lineitem", "part", "orders"))
     return (
@@ -42,7 +47,7 @@ def node_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edge_table(spark: SparkSession, sf_dir: str, first: str = "1990-01-01", last: str = "2100-01-01") -> DataFrame:
     """Edges of the articles of [first, last)."""
-    within = F.col("day").between(first, last) & (F.col("day") < F.lit(last).cast("timestamp"))
+    within = span(first, last)
     return G.merge_edges(G.edge_mentions(triplets(spark, sf_dir).filter(within), mentions(spark, sf_dir).filter(within)))
 
 

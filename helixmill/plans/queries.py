@@ -114,7 +114,7 @@ l AS (SELECT id, min(root) AS component FROM r GROUP BY 1)"""
 
 
 def _small_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    m = A.mentions(spark, sf_dir).filter(f"day >= timestamp '2000-06-29' and day < timestamp '{NOW}'")
+    m = A.mentions(spark, sf_dir).filter(f"day >= timestamp_ntz '2000-06-29' and day < timestamp_ntz '{NOW}'")
     return G.build_nodes(m), A.edge_table(spark, sf_dir, "2000-06-29", NOW)
 
 
@@ -226,7 +226,7 @@ def job_snapshot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{WITH_NODES} SELECT node_id AS id, sum(CASE WHEN day < TIMESTAMP '{NOW}' THEN 1 ELSE 0 END) + sum(CASE WHEN day >= TIMESTAMP '{NOW}' THEN 1 ELSE 0 END) AS frequency, max(confidence) AS confidence_max FROM m GROUP BY 1")
 def kg_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, t = A.mentions(spark, sf_dir), A.triplets(spark, sf_dir)
-    old, new = f"day < timestamp '{NOW}'", f"day >= timestamp '{NOW}'"
+    old, new = f"day < timestamp_ntz '{NOW}'", f"day >= timestamp_ntz '{NOW}'"
     n, _ = G.merge_graphs(G.build_graph(m.filter(old), t.filter(old)), G.build_graph(m.filter(new), t.filter(new)))
     return n.select("id", "frequency", "confidence_max")
 
@@ -237,7 +237,7 @@ def kg_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {A.MENTIONS_SQL}, a AS (SELECT DISTINCT node_id AS id FROM m WHERE day >= TIMESTAMP '2000-06-29' AND day < TIMESTAMP '{NOW}'), b AS (SELECT DISTINCT node_id AS id FROM m WHERE day >= TIMESTAMP '2000-06-22' AND day < TIMESTAMP '2000-06-29') SELECT id, 'new_node' AS change FROM a WHERE id NOT IN (SELECT id FROM b) UNION ALL SELECT id, 'disappeared_node' FROM b WHERE id NOT IN (SELECT id FROM a)")
 def snapshot_node_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = A.mentions(spark, sf_dir)
-    return SN.node_diff(*(G.build_nodes(m.filter(f"day >= timestamp '{a}' and day < timestamp '{b}'")) for a, b in (("2000-06-29", NOW), ("2000-06-22", "2000-06-29"))))
+    return SN.node_diff(*(G.build_nodes(m.filter(f"day >= timestamp_ntz '{a}' and day < timestamp_ntz '{b}'")) for a, b in (("2000-06-29", NOW), ("2000-06-22", "2000-06-29"))))
 
 
 _EDGE_DIFF = f"""{WITH_SPANS}, x AS (SELECT coalesce(n.source_id, o.source_id) AS source_id, coalesce(n.target_id, o.target_id) AS target_id,
@@ -257,7 +257,7 @@ def snapshot_edge_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_EDGE_DIFF}, a AS (SELECT DISTINCT node_id AS id FROM m WHERE day >= TIMESTAMP '{SPAN[0]}' AND day < TIMESTAMP '{SPAN[1]}'), b AS (SELECT DISTINCT node_id AS id FROM m WHERE day >= TIMESTAMP '{SPAN_BEFORE[0]}' AND day < TIMESTAMP '{SPAN_BEFORE[1]}') SELECT (SELECT count(*) FROM a WHERE id NOT IN (SELECT id FROM b)) AS total_new_nodes, (SELECT count(*) FROM b WHERE id NOT IN (SELECT id FROM a)) AS total_disappeared_nodes, count_if(change = 'new_edge') AS total_new_edges, count_if(change = 'disappeared_edge') AS total_disappeared_edges, count_if(change = 'weight_increased') AS total_weight_increased, count_if(change = 'weight_decreased') AS total_weight_decreased FROM x")
 def diff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = A.mentions(spark, sf_dir)
-    nodes = [m.filter(f"day >= timestamp '{a}' and day < timestamp '{b}'").select(G.make_node_id(F.col("entity_type"), F.col("text")).alias("id")).distinct() for a, b in (SPAN, SPAN_BEFORE)]
+    nodes = [m.filter(f"day >= timestamp_ntz '{a}' and day < timestamp_ntz '{b}'").select(G.make_node_id(F.col("entity_type"), F.col("text")).alias("id")).distinct() for a, b in (SPAN, SPAN_BEFORE)]
     return SN.diff_summary(SN.node_diff(*nodes), SN.edge_diff(*_spans(spark, sf_dir)))
 
 
@@ -600,7 +600,7 @@ def cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT DISTINCT o_custkey AS user_id, l_partkey AS pmid FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderdate >= TIMESTAMP '2000-06-01' AND NOT EXISTS (SELECT 1 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE o.o_custkey = orders.o_custkey AND l.l_partkey = lineitem.l_partkey AND o.o_orderdate < TIMESTAMP '2000-06-01')")
 def new_user_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("pmid"), "o_orderdate")
-    return J.new_articles(o.filter("o_orderdate >= timestamp '2000-06-01'"), o.filter("o_orderdate < timestamp '2000-06-01'")).select("user_id", "pmid").distinct()
+    return J.new_articles(o.filter("o_orderdate >= timestamp_ntz '2000-06-01'"), o.filter("o_orderdate < timestamp_ntz '2000-06-01'")).select("user_id", "pmid").distinct()
 
 
 @query("SELECT c_custkey AS id FROM customer WHERE c_acctbal > 0 AND c_nationkey = 3")
@@ -632,3 +632,6 @@ def hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals_broad_top20(spark, sf_dir)
+
+
+from helixmill.plans import more as _more  # noqa: E402, F401 - registers further queries
