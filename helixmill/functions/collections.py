@@ -13,8 +13,20 @@ def append_absent(values: Column, new: Column) -> Column:
 
 def ordered_distinct(value: Column, ordinal: Column) -> Column:
     """Aggregate: distinct non-empty values in the order of their first ordinal."""
-    pairs = F.array_sort(F.collect_set(F.when(value.isNotNull() & (value != ""), F.struct(ordinal.alias("o"), value.alias("v")))))
-    return F.array_distinct(F.transform(pairs, lambda x: x["v"]))
+    pairs = F.sort_array(F.collect_set(F.when(value.isNotNull() & (value != ""), F.struct(ordinal.alias("o"), value.alias("v")))))
+    return F.array_distinct(pairs["v"])
+
+
+def distinct_lists(df: DataFrame, keys: list[str], ordinal: str, **values: str) -> DataFrame:
+    """For each key and each named column its distinct non-empty values, in the order of their first ordinal.
+
+    Values are made distinct by a hash aggregation before they are gathered, so that what repeats is combined where it is
+    read, and no list holds a value twice.
+    """
+    kinds = F.array(*(F.struct(F.lit(i).alias("i"), F.col(c).alias("v")) for i, c in enumerate(values.values())))
+    rows = df.select(*keys, F.col(ordinal).alias("o"), F.explode(kinds).alias("x")).filter("x.v is not null and x.v <> ''")
+    first = rows.groupBy(*keys, F.col("x.i").alias("i"), F.col("x.v").alias("v")).agg(F.min("o").alias("o"))
+    return first.groupBy(*keys).agg(*(F.sort_array(F.collect_list(F.when(F.col("i") == i, F.struct("o", "v"))))["v"].alias(name) for i, name in enumerate(values)))
 
 
 def explode_lists(df: DataFrame, lists: str, key: str = "entity_type", position: str = "entity_seq", value: str = "entity") -> DataFrame:
@@ -46,4 +58,4 @@ def first_joined(values: Column, n: int, separator: str = ", ") -> Column:
 
 def concat_lists(value: Column, ordinal: Column) -> Column:
     """Aggregate: lists one after another, by ordinal."""
-    return F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(ordinal.alias("o"), value.alias("v")))), lambda x: x["v"]))
+    return F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(ordinal.alias("o"), value.alias("v")))), lambda x: x["v"]))

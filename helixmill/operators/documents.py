@@ -179,7 +179,7 @@ def tree_reduce(chunks: DataFrame, combine, batch: int = 5) -> DataFrame:
     most = level.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
     level = level.withColumn("i", F.row_number().over(Window.partitionBy("doc_id").orderBy("i")) - 1)
     while True:
-        parts = F.transform(F.array_sort(F.collect_list(F.struct("i", "content"))), lambda x: x["content"])
+        parts = F.transform(F.sort_array(F.collect_list(F.struct("i", "content"))), lambda x: x["content"])
         level = level.groupBy("doc_id", F.floor(F.col("i") / batch).alias("i")).agg(combine(parts).alias("content"))
         most = -(-most // batch)
         if most <= 1:

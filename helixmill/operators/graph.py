@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixmill.functions.collections import ordered_distinct
+from helixmill.functions.collections import distinct_lists
 from helixmill.functions.text import make_node_id, normalize_entity_text
 from helixmill.session import cut
 
@@ -37,28 +37,19 @@ def with_node_ids(mentions: DataFrame, exact: bool = False) -> DataFrame:
     )
 
 
-def _non_empty(c: Column) -> Column:
-    return F.when(c != "", c)
-
-
 def build_nodes(mentions: DataFrame, exact: bool = False) -> DataFrame:
     """One row per node_id: mentions merged, first label, distinct sources, jobs and aliases in order, best confidence."""
-    m = with_node_ids(mentions, exact)
-    concept = F.min(F.when(_non_empty(F.col("concept_id")).isNotNull(), F.struct("seq", "concept_id", "concept_source")))
-    return (
-        m.groupBy(F.col("node_id").alias("id"))
-        .agg(
-            F.min_by("surface", "seq").alias("label"),
-            F.min_by(F.upper("entity_type"), "seq").alias("entity_type"),
-            F.count(F.lit(1)).alias("frequency"),
-            ordered_distinct(F.col("pmid"), F.col("seq")).alias("sources"),
-            ordered_distinct(F.col("job_id"), F.col("seq")).alias("job_ids"),
-            F.max("confidence").alias("confidence_max"),
-            concept.alias("c"),
-            ordered_distinct(F.col("surface"), F.col("seq")).alias("aliases"),
-        )
-        .select("id", "label", "entity_type", "frequency", "sources", "job_ids", "confidence_max", F.col("c.concept_id").alias("concept_id"), F.col("c.concept_source").alias("concept_source"), "aliases")
-    )
+    m = with_node_ids(mentions, exact).withColumnRenamed("node_id", "id")
+    some = F.coalesce("concept_id", F.lit("")) != ""
+    # what comes first is found apart from what is counted, which then needs no sort
+    counted = m.groupBy("id").agg(F.count(F.lit(1)).alias("frequency"), F.max("confidence").alias("confidence_max"))
+    first = m.groupBy("id").agg(F.min(F.struct("seq", "surface", F.upper("entity_type").alias("entity_type"))).alias("f"), F.min(F.when(some, F.struct("seq", "concept_id", "concept_source"))).alias("c"))
+    lists = distinct_lists(m, ["id"], "seq", sources="pmid", job_ids="job_id", aliases="surface")
+    none = F.array().cast("array<string>")
+    return counted.join(first, "id").join(lists, "id", "left").select(
+        "id", F.col("f.surface").alias("label"), F.col("f.entity_type").alias("entity_type"), "frequency", F.coalesce("sources", none).alias("sources"), F.coalesce("job_ids", none).alias("job_ids"),
+        "confidence_max", F.col("c.concept_id").alias("concept_id"), F.col("c.concept_source").alias("concept_source"), F.coalesce("aliases", none).alias("aliases"),
+    )
 
 
 def edge_mentions(triplets: DataFrame, mentions: DataFrame, exact: bool = False) -> DataFrame:
@@ -75,8 +66,14 @@ def edge_mentions(triplets: DataFrame, mentions: DataFrame, exact: bool = False)
 def merge_edges(pairs: DataFrame, by_relation: bool = False) -> DataFrame:
     """Edges of pairs (source_id, target_id, relation, pmid, job_id, seq): weights over all relations, or one edge for each."""
     keys = ["source_id", "target_id"] + ["relation"] * by_relation
-    out = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("weight"), F.min_by("relation", "seq").alias("relation_type"), ordered_distinct(F.col("pmid"), F.col("seq")).alias("sources"), ordered_distinct(F.col("job_id"), F.col("seq")).alias("job_ids"))
-    return out.select("source_id", "target_id", "weight", "relation_type", "sources", "job_ids")
+    each = F.sort_array(F.collect_list(F.struct("seq", "pmid", "job_id", *["relation"] * (not by_relation))))
+    e = pairs.groupBy(*keys).agg(each.alias("all"))  # an edge's list is as long as its weight, which its sources are too
+
+    def distinct(name: str) -> Column:
+        return F.array_distinct(F.array_remove(F.array_compact(F.col("all")[name]), ""))
+
+    relation = F.col("relation") if by_relation else F.col("all")[0]["relation"]
+    return e.select("source_id", "target_id", F.size("all").cast("long").alias("weight"), relation.alias("relation_type"), distinct("pmid").alias("sources"), distinct("job_id").alias("job_ids"))
 
 
 def build_graph(mentions: DataFrame, triplets: DataFrame | None = None, edge_mode: str = "relations") -> tuple[DataFrame, DataFrame]:
@@ -97,7 +94,7 @@ def merge_graphs(old: tuple[DataFrame, DataFrame], new: tuple[DataFrame, DataFra
     """Two graphs as one: counts add, sets unite, the old graph's labels and relation types stay."""
 
     def united(name: str) -> Column:
-        return F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("__age", name))), lambda x: x[name])))
+        return F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("__age", name))), lambda x: x[name])))
 
     def both(i: int) -> DataFrame:
         return old[i].withColumn("__age", F.lit(0)).unionByName(new[i].withColumn("__age", F.lit(1)))
@@ -223,7 +220,7 @@ def node_link(nodes: DataFrame, edges: DataFrame, entity_type: str | None = None
 
 def merge_links(links: DataFrame) -> DataFrame:
     """Links of one direction as one: distinct types joined by "+", the greatest weight."""
-    return links.groupBy("source_id", "target_id").agg(F.array_join(F.array_sort(F.collect_set("relation_type")), "+").alias("relation_types"), F.max("weight").alias("weight"))
+    return links.groupBy("source_id", "target_id").agg(F.array_join(F.sort_array(F.collect_set("relation_type")), "+").alias("relation_types"), F.max("weight").alias("weight"))
 
 
 def relation_graph(triplets: DataFrame, mentions: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -18,7 +18,7 @@ MOST_ARTICLES = 10_000
 def apply_transitions(jobs: DataFrame, events: DataFrame) -> DataFrame:
     """Jobs (job_id, status) after events (job_id, seq, to_status), each applied in order if the state allows it then."""
     allowed = F.create_map(*[x for k, v in TRANSITIONS.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))])
-    steps = events.groupBy("job_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "to_status"))), lambda x: x["to_status"]).alias("steps"))
+    steps = events.groupBy("job_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "to_status"))), lambda x: x["to_status"]).alias("steps"))
 
     def step(state: Column, to: Column) -> Column:
         return F.when(F.array_contains(F.coalesce(F.try_element_at(allowed, state), F.array().cast("array<string>")), to), to).otherwise(state)
@@ -112,7 +112,7 @@ def run_search(topics: DataFrame, found: DataFrame, user_articles: DataFrame, no
     """(history rows, articles to add, topics with their new totals) of searches: found (topic_id, user_id, pmid)."""
     new = new_articles(found, user_articles).dropDuplicates(["user_id", "pmid"])
     fresh = new.groupBy("topic_id").agg(F.count(F.lit(1)).alias("new_articles"))
-    history = found.groupBy("topic_id", "user_id").agg(F.count(F.lit(1)).alias("total_results"), F.array_sort(F.collect_set("pmid")).alias("pmids")).join(fresh, "topic_id", "left").na.fill(0, ["new_articles"]).withColumns({"executed_at": now, "status": F.lit("success")})
+    history = found.groupBy("topic_id", "user_id").agg(F.count(F.lit(1)).alias("total_results"), F.sort_array(F.collect_set("pmid")).alias("pmids")).join(fresh, "topic_id", "left").na.fill(0, ["new_articles"]).withColumns({"executed_at": now, "status": F.lit("success")})
     ran = history.select("topic_id", "new_articles")
     totals = topics.join(ran, "topic_id", "left").withColumns({"total_articles_found": F.col("total_articles_found") + F.coalesce("new_articles", F.lit(0)), "last_search_at": F.when(F.col("new_articles").isNotNull(), now).otherwise(F.col("last_search_at"))}).drop("new_articles")
     return history, new, totals

@@ -79,7 +79,7 @@ def document_relations(documents: DataFrame) -> DataFrame:
 
 def fill_missing(requested: DataFrame, found: DataFrame) -> DataFrame:
     """Every requested article, in its order, with its entities or an error that says there are none."""
-    grouped = found.groupBy("pmid").agg(F.array_sort(F.collect_list(F.struct("entity_type", "entity_seq", "text"))).alias("entities"))
+    grouped = found.groupBy("pmid").agg(F.sort_array(F.collect_list(F.struct("entity_type", "entity_seq", "text"))).alias("entities"))
     return requested.join(grouped, "pmid", "left").select("pmid", "position", "entities", F.when(F.col("entities").isNull(), "no annotations available").alias("error"))
 
 

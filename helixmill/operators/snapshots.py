@@ -87,8 +87,8 @@ def labelled_diff(diff: DataFrame, new: DataFrame, old: DataFrame, per_change: i
 
 def to_document(nodes: DataFrame, edges: DataFrame, label: str) -> DataFrame:
     """A snapshot as one JSON document. A document holds all of it: for graphs that fit one row."""
-    n = nodes.agg(F.count(F.lit(1)).alias("node_count"), F.array_sort(F.collect_list(F.struct("id", *[c for c in nodes.columns if c != "id"]))).alias("nodes"))
-    e = edges.agg(F.count(F.lit(1)).alias("edge_count"), F.array_sort(F.collect_list(F.struct("source_id", "target_id", *[c for c in edges.columns if c not in ("source_id", "target_id")]))).alias("edges"))
+    n = nodes.agg(F.count(F.lit(1)).alias("node_count"), F.sort_array(F.collect_list(F.struct("id", *[c for c in nodes.columns if c != "id"]))).alias("nodes"))
+    e = edges.agg(F.count(F.lit(1)).alias("edge_count"), F.sort_array(F.collect_list(F.struct("source_id", "target_id", *[c for c in edges.columns if c not in ("source_id", "target_id")]))).alias("edges"))
     return n.crossJoin(e).select(F.lit(label).alias("snapshot"), F.to_json(F.struct(F.lit(label).alias("week_label"), "node_count", "edge_count", "nodes", "edges")).alias("document"))
 
 

@@ -104,7 +104,7 @@ def fully_related_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("source_id", "target_id").agg(F.count(F.lit(1)).alias("n_parallel"), F.countDistinct("relation").alias("k")).filter("k = 3").drop("k")
 
 
-@query(f"{WITH_NODES} SELECT '2000-W26' AS snapshot, count(*) AS nodes, sum(frequency) AS mentions FROM (SELECT node_id, count(*) AS frequency FROM m WHERE day < TIMESTAMP '{NOW}' GROUP BY 1)")
+@query(f"{WITH_NODES} SELECT '2000-W26' AS snapshot, count(*) AS nodes, CAST(sum(frequency) AS BIGINT) AS mentions FROM (SELECT node_id, count(*) AS frequency FROM m WHERE day < TIMESTAMP '{NOW}' GROUP BY 1)")
 def snapshot_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A snapshot written to the shared folder twice (the second replaces the first) and read again."""
     m = A.mentions(spark, sf_dir).filter(f"day < timestamp_ntz '{NOW}'")
@@ -128,7 +128,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = A.mentions(spark, sf_dir).filter("article_seq < 300")
     kind = F.when(F.col("entity_type") == "PROMO", "Gene").when(F.col("entity_type") == "SMALL", "Disease").when(F.col("entity_type") == "LARGE", "Chemical").otherwise("Odd")
     a = F.struct(F.struct("type_seq", "entity_seq").alias("o"), F.struct(F.col("entity_seq").cast("string").alias("id"), F.when(F.col("type_seq") % 2 == 0, F.upper("text")).otherwise(F.col("text")).alias("text"), F.struct(kind.alias("type"), F.concat(F.lit("X:"), F.col("entity_seq") % 100_000).alias("identifier")).alias("infons"), F.array(F.struct(F.lit(3).alias("offset"), F.length("text").alias("length"))).alias("locations")).alias("v"))
-    docs = m.groupBy("pmid").agg(F.transform(F.array_sort(F.collect_list(a)), lambda x: x["v"]).alias("annotations"))
+    docs = m.groupBy("pmid").agg(F.transform(F.sort_array(F.collect_list(a)), lambda x: x["v"]).alias("annotations"))
     first, last = F.col("annotations")[0]["id"], F.element_at("annotations", -1)["id"]
     relation = F.struct(F.struct(F.lit("Bind").alias("type"), first.alias("entity1"), last.alias("entity2")).alias("infons"))
     return docs.select(F.to_json(F.struct(F.array(F.struct(F.concat("pmid", F.lit("|None")).alias("_id"), F.array(F.struct("annotations")).alias("passages"), F.array(relation).alias("relations"))).alias("PubTator3"))).alias("json"))
@@ -288,7 +288,7 @@ def messages_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.append(m.filter("created_at % 2 = 0"), m, 4).select("conversation_id", F.col("created_at").alias("turn"))
 
 
-@query("SELECT list_sum([p_size]) AS n, count(*) AS rows FROM part GROUP BY p_size")
+@query("SELECT CAST(p_size AS BIGINT) AS n, count(*) AS rows FROM part GROUP BY 1")
 def entity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").withColumn("n", F.col("p_size").cast("long"))
     return p.groupBy("n").agg(F.count(F.lit(1)).alias("rows"))

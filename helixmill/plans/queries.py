@@ -66,13 +66,13 @@ _CLASS = "CASE WHEN emergence_score >= 70 THEN 'EMERGING_SIGNAL' WHEN emergence_
 @query(f"{WITH_NODES} SELECT id, label, entity_type, frequency, n_sources, array_to_string(job_ids, ',') AS job_ids, confidence_max, array_to_string(aliases, ',') AS aliases FROM n")
 def kg_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = A.node_table(spark, sf_dir)
-    return n.select("id", "label", "entity_type", "frequency", F.size("sources").alias("n_sources"), F.array_join(F.array_sort("job_ids"), ",").alias("job_ids"), "confidence_max", F.array_join(F.array_sort("aliases"), ",").alias("aliases"))
+    return n.select("id", "label", "entity_type", "frequency", F.size("sources").alias("n_sources"), F.array_join(F.sort_array("job_ids"), ",").alias("job_ids"), "confidence_max", F.array_join(F.sort_array("aliases"), ",").alias("aliases"))
 
 
 @query(f"{WITH_EDGES} SELECT source_id, target_id, weight, relation_type, n_sources, array_to_string(job_ids, ',') AS job_ids FROM e")
 def kg_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = A.edge_table(spark, sf_dir)
-    return e.select("source_id", "target_id", "weight", "relation_type", F.size("sources").alias("n_sources"), F.array_join(F.array_sort("job_ids"), ",").alias("job_ids"))
+    return e.select("source_id", "target_id", "weight", "relation_type", F.size("sources").alias("n_sources"), F.array_join(F.sort_array("job_ids"), ",").alias("job_ids"))
 
 
 @query(f"{WITH_EDGES} SELECT source_id, target_id, relation AS relation_type, count(*) AS weight FROM p GROUP BY ALL")
@@ -223,7 +223,7 @@ def job_snapshot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(e.agg(F.count(F.lit(1)).alias("edges")))
 
 
-@query(f"{WITH_NODES} SELECT node_id AS id, sum(CASE WHEN day < TIMESTAMP '{NOW}' THEN 1 ELSE 0 END) + sum(CASE WHEN day >= TIMESTAMP '{NOW}' THEN 1 ELSE 0 END) AS frequency, max(confidence) AS confidence_max FROM m GROUP BY 1")
+@query(f"{WITH_NODES} SELECT node_id AS id, CAST(sum(CASE WHEN day < TIMESTAMP '{NOW}' THEN 1 ELSE 0 END) + sum(CASE WHEN day >= TIMESTAMP '{NOW}' THEN 1 ELSE 0 END) AS BIGINT) AS frequency, max(confidence) AS confidence_max FROM m GROUP BY 1")
 def kg_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, t = A.mentions(spark, sf_dir), A.triplets(spark, sf_dir)
     old, new = f"day < timestamp_ntz '{NOW}'", f"day >= timestamp_ntz '{NOW}'"
@@ -254,7 +254,7 @@ def snapshot_edge_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SN.edge_diff(*_spans(spark, sf_dir))
 
 
-@query(f"{_EDGE_DIFF}, a AS (SELECT DISTINCT node_id AS id FROM m WHERE day >= TIMESTAMP '{SPAN[0]}' AND day < TIMESTAMP '{SPAN[1]}'), b AS (SELECT DISTINCT node_id AS id FROM m WHERE day >= TIMESTAMP '{SPAN_BEFORE[0]}' AND day < TIMESTAMP '{SPAN_BEFORE[1]}') SELECT (SELECT count(*) FROM a WHERE id NOT IN (SELECT id FROM b)) AS total_new_nodes, (SELECT count(*) FROM b WHERE id NOT IN (SELECT id FROM a)) AS total_disappeared_nodes, count_if(change = 'new_edge') AS total_new_edges, count_if(change = 'disappeared_edge') AS total_disappeared_edges, count_if(change = 'weight_increased') AS total_weight_increased, count_if(change = 'weight_decreased') AS total_weight_decreased FROM x")
+@query(f"{_EDGE_DIFF}, a AS (SELECT DISTINCT node_id AS id FROM m WHERE day >= TIMESTAMP '{SPAN[0]}' AND day < TIMESTAMP '{SPAN[1]}'), b AS (SELECT DISTINCT node_id AS id FROM m WHERE day >= TIMESTAMP '{SPAN_BEFORE[0]}' AND day < TIMESTAMP '{SPAN_BEFORE[1]}') SELECT (SELECT count(*) FROM a WHERE id NOT IN (SELECT id FROM b)) AS total_new_nodes, (SELECT count(*) FROM b WHERE id NOT IN (SELECT id FROM a)) AS total_disappeared_nodes, CAST(count_if(change = 'new_edge') AS BIGINT) AS total_new_edges, CAST(count_if(change = 'disappeared_edge') AS BIGINT) AS total_disappeared_edges, CAST(count_if(change = 'weight_increased') AS BIGINT) AS total_weight_increased, CAST(count_if(change = 'weight_decreased') AS BIGINT) AS total_weight_decreased FROM x")
 def diff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = A.mentions(spark, sf_dir)
     nodes = [m.filter(f"day >= timestamp_ntz '{a}' and day < timestamp_ntz '{b}'").select(G.make_node_id(F.col("entity_type"), F.col("text")).alias("id")).distinct() for a, b in (SPAN, SPAN_BEFORE)]
@@ -310,7 +310,7 @@ def abstract_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CONSENSUS_CASE = "CASE WHEN p > 0.8 THEN 'confirmed' WHEN h > 0.5 THEN 'preliminary' WHEN p >= 0.4 AND p <= 0.6 THEN 'contradictory' WHEN n > 0.5 THEN 'refuted' ELSE 'mixed' END"
 
 
-@query(f"WITH c AS (SELECT l_suppkey AS supplier, count(*) AS total, round(count_if(l_returnflag NOT IN ('R', 'N')) / count(*), 4) AS p, round(count_if(l_returnflag = 'R') / count(*), 4) AS n, round(count_if(l_returnflag = 'N') / count(*), 4) AS h FROM lineitem GROUP BY 1) SELECT supplier, total, p AS positive, n AS negative, h AS hypothetical, 0.0 AS historical, {_CONSENSUS_CASE} AS label FROM c")
+@query(f"WITH c AS (SELECT l_suppkey AS supplier, count(*) AS total, round(count_if(l_returnflag NOT IN ('R', 'N')) / count(*), 4) AS p, round(count_if(l_returnflag = 'R') / count(*), 4) AS n, round(count_if(l_returnflag = 'N') / count(*), 4) AS h FROM lineitem GROUP BY 1) SELECT supplier, total, p AS positive, n AS negative, h AS hypothetical, CAST(0 AS DOUBLE) AS historical, {_CONSENSUS_CASE} AS label FROM c")
 def consensus_by_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("supplier"), F.when(F.col("l_returnflag") == "R", "negated").when(F.col("l_returnflag") == "N", "HYPOTHETICAL").alias("assertion_status"))
     return SG.consensus(a, "supplier")
@@ -574,7 +574,7 @@ def jobs_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.by_status(_jobs(spark, sf_dir), "failed").select("job_id")
 
 
-@query("WITH j AS (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) SELECT event_id AS job_id, CASE WHEN k = 0 THEN 0.0 ELSE 50.0 END AS progress, event_type = 'error' AND k % 3 > 0 AND k > 0 AS resumable FROM j")
+@query("WITH j AS (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) SELECT event_id AS job_id, CAST(CASE WHEN k = 0 THEN 0 ELSE 50 END AS DOUBLE) AS progress, event_type = 'error' AND k % 3 > 0 AND k > 0 AS resumable FROM j")
 def job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = _jobs(spark, sf_dir)
     good = J.can_resume(j).select("job_id", F.lit(True).alias("r"))
@@ -586,13 +586,13 @@ def batch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.plan_batches(_jobs(spark, sf_dir))
 
 
-@query("SELECT user_id, count_if(event_type <> 'error') AS hits, count_if(event_type = 'error') AS misses FROM events GROUP BY 1")
+@query("SELECT user_id, CAST(count_if(event_type <> 'error') AS BIGINT) AS hits, CAST(count_if(event_type = 'error') AS BIGINT) AS misses FROM events GROUP BY 1")
 def cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("user_id", (F.col("event_type") != "error").alias("hit"))
     return e.groupBy("user_id").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
 
 
-@query("SELECT count_if(event_type <> 'error') AS hits, count_if(event_type = 'error') AS misses, round(count_if(event_type <> 'error') / count(*) * 100, 2) AS hit_rate, count(DISTINCT user_id) AS size FROM events")
+@query("SELECT CAST(count_if(event_type <> 'error') AS BIGINT) AS hits, CAST(count_if(event_type = 'error') AS BIGINT) AS misses, round(count_if(event_type <> 'error') / count(*) * 100, 2) AS hit_rate, count(DISTINCT user_id) AS size FROM events")
 def cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.cache_stats(table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), (F.col("event_type") != "error").alias("hit")))
 

@@ -113,7 +113,7 @@ def annotations_of(replies: DataFrame, column: str = "json", sentinel: str | Non
 def request_chunks(pmids: DataFrame, size: int = 50, sentinel: str = SENTINEL) -> DataFrame:
     """(chunk, pmids): what to ask the annotation service for, the sentinel added to each chunk that lacks it."""
     numbered = pmids.select("pmid", F.floor((F.row_number().over(_by("pmid")) - 1) / size).alias("chunk"))
-    lists = numbered.groupBy("chunk").agg(F.array_sort(F.collect_list("pmid")).alias("pmids"))
+    lists = numbered.groupBy("chunk").agg(F.sort_array(F.collect_list("pmid")).alias("pmids"))
     return lists.withColumn("pmids", F.when(F.array_contains("pmids", sentinel), F.col("pmids")).otherwise(F.concat("pmids", F.array(F.lit(sentinel)))))
 
 

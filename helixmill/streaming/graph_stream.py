@@ -19,7 +19,7 @@ def merge_batches(mentions: DataFrame, target: str, checkpoint: str) -> Streamin
     """Read all there is of a stream of mentions, appending each batch's partial counts under its number; ends when done."""
 
     def write(batch: DataFrame, number: int) -> None:
-        part = with_node_ids(batch).groupBy("node_id").agg(F.count(F.lit(1)).alias("frequency"), F.max("confidence").alias("confidence_max"), F.min_by("surface", "seq").alias("label"), F.min("seq").alias("seq"), F.array_sort(F.collect_set("pmid")).alias("sources"))
+        part = with_node_ids(batch).groupBy("node_id").agg(F.count(F.lit(1)).alias("frequency"), F.max("confidence").alias("confidence_max"), F.min_by("surface", "seq").alias("label"), F.min("seq").alias("seq"), F.sort_array(F.collect_set("pmid")).alias("sources"))
         # overwriting the one partition of this number makes a replay harmless
         part.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(target)
 
@@ -29,7 +29,7 @@ def merge_batches(mentions: DataFrame, target: str, checkpoint: str) -> Streamin
 def current_nodes(spark: SparkSession, target: str) -> DataFrame:
     """Nodes of all batches."""
     parts = spark.read.parquet(target)
-    return parts.groupBy(F.col("node_id").alias("id")).agg(F.min_by("label", "seq").alias("label"), F.sum("frequency").alias("frequency"), F.max("confidence_max").alias("confidence_max"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"))
+    return parts.groupBy(F.col("node_id").alias("id")).agg(F.min_by("label", "seq").alias("label"), F.sum("frequency").alias("frequency"), F.max("confidence_max").alias("confidence_max"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"))
 
 
 def mention_stream(spark: SparkSession, folder: str, schema: str, files_per_batch: int = 1) -> DataFrame:
