@@ -288,12 +288,6 @@ def messages_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.append(m.filter("created_at % 2 = 0"), m, 4).select("conversation_id", F.col("created_at").alias("turn"))
 
 
-@query("SELECT CAST(p_size AS BIGINT) AS n, count(*) AS rows FROM part GROUP BY 1")
-def entity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").withColumn("n", F.col("p_size").cast("long"))
-    return p.groupBy("n").agg(F.count(F.lit(1)).alias("rows"))
-
-
 @query(f"WITH {A.MENTIONS_SQL} SELECT count(*) AS entities_extracted FROM m WHERE article_seq < 500")
 def entities_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = A.mentions(spark, sf_dir).filter("article_seq < 500")
