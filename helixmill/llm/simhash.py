@@ -24,8 +24,8 @@ from helixmill.llm._text import Words, chunks, mix
 from helixmill.session import cut
 
 BITS = 256
-#: Bits that may differ. Unrelated texts of one language differ in about 110 of 256 (sd 8).
-RADIUS = 44
+#: Bits that may differ: one word in eight or so. Unrelated texts of one language differ in about 107 of 256 (sd 8).
+RADIUS = 50
 BANDS = 48
 BAND_BITS = 20
 _POSITIONS = np.stack([np.random.Generator(np.random.PCG64(77 + t)).choice(BITS, BAND_BITS, replace=False) for t in range(BANDS)])

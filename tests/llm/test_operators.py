@@ -63,7 +63,7 @@ def test_winnow_guarantee():
 # --- SimHash --------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("radius", [1, 3, 20, 44, 63])
+@pytest.mark.parametrize("radius", [1, 3, 20, 44, 50, 63])
 def test_bit_slicing_equals_counting(radius):
     rng = np.random.default_rng(radius)
     fp = rng.integers(0, 256, (330, 32), dtype=np.uint8)
