@@ -1,7 +1,8 @@
 """Line deduplication by a deletion-neighbourhood join.
 
-A line is compared in its normal form: lower-cased, white space collapsed and trimmed. Lines of fewer than ``MIN_CHARS``
-characters of it are never duplicates. A line is a duplicate if an earlier one (smaller doc_id, or the same and a
+A line is compared in its normal form: lower-cased, white space collapsed and trimmed. Lines of fewer than ``least_chars``
+characters of it (by default ``MIN_CHARS``, as in the SQL; 1 for all that aren't empty) are never duplicates, and of
+those of fewer than ``MIN_CHARS`` only equal ones are: one edit makes another word of a short line. A longer line is a duplicate if an earlier one (smaller doc_id, or the same and a
 smaller line number) has the same normal form or is one edit away: one character inserted, deleted or replaced.
 ``kept_doc_id`` and ``kept_line`` are the earliest such line, whether or not that is itself a duplicate of another.
 
@@ -161,14 +162,14 @@ def _join_groups(t: pa.Table) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int32()))], ["doc_id", "line", "near_doc_id", "near_line"])
 
 
-def duplicate_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, kept_doc_id, kept_line) of every duplicate line; lines count from 0."""
+def duplicate_lines(docs: DataFrame, least_chars: int = MIN_CHARS) -> DataFrame:
+    """(doc_id, line, kept_doc_id, kept_line) of every duplicate line of ``least_chars`` or more; lines count from 0."""
     lines = (
         docs.select("doc_id", "text")
         .filter("doc_id is not null and text is not null")
         .select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
         .select("doc_id", "line", normal(F.col("raw")).alias("s"))
-        .filter(F.length("s") >= MIN_CHARS)
+        .filter(F.length("s") >= max(1, least_chars))
         .withColumns({"h": F.xxhash64("s"), "g": F.xxhash64(F.lit("again"), "s")})
         .repartition("h")
     )
@@ -193,7 +194,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     # keys under which two distinct lines stand, one of them as the shorter or equal; and the lines that have such a key
     by_key = Window.partitionBy("key")
     shared = (
-        under(marked.filter("k = 1").select("h", "s"), False)
+        under(marked.filter("k = 1" if least_chars >= MIN_CHARS else f"k = 1 and length(s) >= {MIN_CHARS}").select("h", "s"), False)
         .withColumns({"n": F.count(F.lit(1)).over(by_key), "short": F.min("longer").over(by_key)})
         .filter("n > 1 and not short")
         .groupBy("h")
@@ -214,9 +215,9 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     return through.union(near.select("doc_id", "line", F.col("near").alias("kept"))).select("doc_id", "line", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line").alias("kept_line"))
 
 
-def without_duplicate_lines(docs: DataFrame) -> DataFrame:
+def without_duplicate_lines(docs: DataFrame, least_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with the duplicate lines taken out of text (and n_chars, if there is one, counted again)."""
-    dropped = duplicate_lines(docs).groupBy("doc_id").agg(F.collect_set("line").alias("__dropped"))
+    dropped = duplicate_lines(docs, least_chars).groupBy("doc_id").agg(F.collect_set("line").alias("__dropped"))
     out = docs.join(dropped.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left").drop("__id")
     kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__dropped", i))
     touched = F.col("__dropped").isNotNull() & F.col("text").isNotNull()

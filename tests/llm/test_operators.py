@@ -152,6 +152,16 @@ def test_lines_equal_brute_force(spark):
     assert got == _line_duplicates(rows)
 
 
+def test_short_lines_that_are_equal(spark):
+    long = "a line that has thirty one letters"
+    rows = [(1, f"Share\n\n{long}\nyes"), (2, "  SHARE \n\n" + long[:-1] + "\nyet"), (3, "share\nYes\nshares\n" + long)]
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    got = {tuple(r) for r in line_dedup.duplicate_lines(df, 1).collect()}
+    assert got == {(2, 0, 1, 0), (3, 0, 1, 0), (3, 1, 1, 3), (2, 2, 1, 2), (3, 3, 1, 2)}
+    assert {tuple(r) for r in line_dedup.duplicate_lines(df).collect()} == {(2, 2, 1, 2), (3, 3, 1, 2)}
+    assert {tuple(r) for r in line_dedup.without_duplicate_lines(df, 1).collect()} == {rows[0], (2, "\nyet"), (3, "shares")}
+
+
 def test_lines_are_cut_out(spark):
     line = "this line is long enough to count"
     df = spark.createDataFrame([(1, f"{line}\nown", 37), (2, f"first\n{line.upper()}\nlast", 1), (3, line[:-1], 1), (4, None, None)], DOCS + ", n_chars long")
