@@ -12,7 +12,8 @@ character may stand for: itself, a letter it resembles, nothing if it repeats th
 Single letters apart from each other make one stretch. Viterbi's algorithm finds the likeliest reading under the
 language model, with a price for each deviation, and the reading is searched for terms. What can't be read as a term
 can't change the score, so nothing else is decoded. The score is the sum of the terms' weights over the distinct words
-they are found in, less for long texts (half at ``HALF_WORDS`` words).
+they are found in, less for long texts (half at ``HALF_WORDS`` words); a text of more than ``WINDOW`` words has the score
+of the best ``WINDOW`` words in a row, wherever they begin, if that is more.
 
 Defined results. A null or empty text has score 0 and isn't rejected. Rows of null doc_id, and repeated ones, are judged
 each for itself. Texts are read whole. Without labels, or with labels that no term explains, nothing is rejected. Labels
@@ -43,6 +44,8 @@ SHORT, LONG = 4, 9
 LEAST_G2, LEAST_CONTEXTS, LEAST_VARIED, MOST_CLEAN = 35.0, 5, 0.5, 0.5
 #: Words for which the sum of weights counts half: a long text holds more of what only looks like a term.
 HALF_WORDS = 2000
+#: Words in a row that are judged by themselves within a longer text, so that what is toxic stays so among clean text.
+WINDOW = 500
 #: Prices of reading a sign as a letter, of a mark or space between letters that is left out or taken for the end of a
 #: word, of a digit among letters that is a digit, of a letter left out that repeats the one before: in a pair, which
 #: words have too, or among three or more.
@@ -274,29 +277,47 @@ class Scorer:
         return found
 
     def judge(self, texts: pa.Array) -> tuple[list[set[tuple[str, str]]], list[float]]:
-        """What find() finds, and the score of each text."""
-        found = self.find(texts)
-        n_words = np.diff(Words(texts).first) if any(found) else np.zeros(len(found))
-        return found, [round(sum(self.terms[t] for t, _ in sorted(f)) / (1 + int(n) / HALF_WORDS), 6) for f, n in zip(found, n_words)]
-
-    def find(self, texts: pa.Array) -> list[set[tuple[str, str]]]:
-        """Terms of each text with the words they stand in, plain and decoded."""
-        found: list[set[tuple[str, str]]] = [set() for _ in range(len(texts))]
+        """Terms of each text with the words they stand in, and its score."""
+        w = Words(texts)
+        found = self.find(w)
+        return [{(t, x) for _, t, x in f} for f in found], [self.score(f, int(n)) for f, n in zip(found, np.diff(w.first))]
+
+    def score(self, found: list[tuple[int, str, str]], n_words: int) -> float:
+        """Of (place in words, term, word): the whole text's score, or its best window's."""
+        pairs = {(t, x) for _, t, x in found}
+        best = sum(self.terms[t] for t, _ in sorted(pairs)) / (1 + n_words / HALF_WORDS)
+        if n_words > WINDOW and found:
+            found = sorted(found)
+            held: dict[tuple[str, str], int] = defaultdict(int)
+            total, first = 0.0, 0
+            for place, term, word in found:
+                while found[first][0] <= place - WINDOW:
+                    pair = found[first][1:]
+                    held[pair] -= 1
+                    total -= self.terms[pair[0]] * (not held[pair])
+                    first += 1
+                total += self.terms[term] * (not held[term, word])
+                held[term, word] += 1
+                best = max(best, total / (1 + WINDOW / HALF_WORDS))
+        return round(best, 6)
+
+    def find(self, w: Words) -> list[list[tuple[int, str, str]]]:
+        """(place in words, term, word) of each term in each text, plain and decoded."""
+        found: list[list[tuple[int, str, str]]] = [[] for _ in range(len(w.off) - 1)]
         if not self.terms:
             return found
-        w = Words(texts)
         if len(w.start):
             for i in _begin(w.data, w.start, w.end, self._plain):
-                found[w.doc[i]] |= self.of_words([w.data[w.start[i] : w.end[i]].tobytes().decode("utf-8", "replace")])
+                found[w.doc[i]] += [(int(i), *x) for x in self.of_words([w.data[w.start[i] : w.end[i]].tobytes().decode("utf-8", "replace")])]
         if self.model is not None and len(w.data):
-            for doc, stretch in self._stretches(w.data, w.off):
+            for doc, at, stretch in self._stretches(w.data, w.off):
                 plain = _words(stretch)
                 if not self.of_words(plain):
-                    found[doc] |= self.of_words(_words(decode(stretch, self.model)), flat=True)
+                    found[doc] += [(int(np.searchsorted(w.start, at)), *x) for x in self.of_words(_words(decode(stretch, self.model)), flat=True)]
         return found
 
-    def _stretches(self, data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, str]]:
-        """(text, stretch) of all that may be written for a term."""
+    def _stretches(self, data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, str]]:
+        """(text, place in bytes, stretch) of all that may be written for a term."""
         start, end, doc = spans(~_BLANK[data], off)
         if not len(start):
             return
@@ -325,7 +346,7 @@ class Scorer:
             if (int(place[head[i]])) in seen:
                 continue
             seen.add(int(place[head[i]]))
-            yield int(doc[k]), data[place[head[i]] : end[last[k]]].tobytes().decode("utf-8", "replace")
+            yield int(doc[k]), int(place[head[i]]), data[place[head[i]] : end[last[k]]].tobytes().decode("utf-8", "replace")
 
 
 def _rolling(key: bytes) -> int:

@@ -419,6 +419,21 @@ def test_toxicity_on_labels_not_learned_from(spark):
     assert found / (found + missed) > 0.7 and wrong / (wrong + right) < 0.01
 
 
+def test_long_texts_are_judged_by_their_densest_window():
+    scorer = toxicity.Scorer({"grumbol.": 7.6, "snarf": 7.6}, None, 5.4)
+    toxic, clean = "he is a grumbol", " and so it goes on"
+    score = lambda *texts: scorer.judge(pa.array(texts))[1]
+    pasted = score(*(toxic + clean * n for n in (0, 100, 1000, 10_000)), clean * 5000 + toxic + clean * 5000)
+    assert min(pasted) >= scorer.threshold and len(set(pasted[2:])) == 1
+    # by brute force over all windows
+    rng = random.Random(1)
+    for _ in range(30):
+        w = [rng.choice(["grumbol", "snarfid", "snarfed"]) if rng.random() < 0.004 else "so" for _ in range(rng.randint(1, 3000))]
+        sums = lambda part: 7.6 * len({x for x in part if x != "so"}) / (1 + len(part) / toxicity.HALF_WORDS)
+        want = max(sums(w), *(sums(w[i : i + toxicity.WINDOW]) for i in range(max(1, len(w) - toxicity.WINDOW + 1))), 0)
+        assert abs(score(" ".join(w))[0] - want) < 1e-5
+
+
 def test_viterbi_equals_all_readings():
     rng = np.random.default_rng(0)
     model = toxicity.LanguageModel(rng.integers(0, 64**3, 4000), rng.integers(1, 50, 4000))
