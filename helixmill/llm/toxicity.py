@@ -17,8 +17,8 @@ of the best ``WINDOW`` words in a row, wherever they begin, if that is more.
 
 Defined results. A null or empty text has score 0 and isn't rejected. Rows of null doc_id, and repeated ones, are judged
 each for itself. Texts are read whole. Without labels, or with labels that no term explains, nothing is rejected. Labels
-of null doc_id or toxic, or without a document, teach nothing; documents of equal text teach once. Other columns are
-ignored, or kept by ``without_toxic``.
+of null doc_id or toxic, or without a document, teach nothing; documents of equal text teach once, and so do near copies
+(SimHash) of which all are toxic or all are clean. Other columns are ignored, or kept by ``without_toxic``.
 """
 
 from __future__ import annotations
@@ -34,14 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.llm._text import _P, Words, chunks, raw, spans
+from helixmill.llm.simhash import RADIUS, _forest, close_pairs, fingerprints
 from helixmill.session import cut
 
 MAX_LABELLED = 20_000
 #: A term's shortest beginning, and the longest that is told from the whole word.
 SHORT, LONG = 4, 9
-#: Least log likelihood ratio of a term; contexts (pairs of words around it) that it must stand in, at least and for
-#: each toxic row; share of its rows that may be clean.
-LEAST_G2, LEAST_CONTEXTS, LEAST_VARIED, MOST_CLEAN = 35.0, 5, 0.5, 0.5
+#: Least log likelihood ratio of a term; contexts (pairs of words around it) that it must stand in; share of its rows
+#: that may be clean.
+LEAST_G2, LEAST_CONTEXTS, MOST_CLEAN = 35.0, 5, 0.5
 #: Words for which the sum of weights counts half: a long text holds more of what only looks like a term.
 HALF_WORDS = 2000
 #: Words in a row that are judged by themselves within a longer text, so that what is toxic stays so among clean text.
@@ -175,17 +176,21 @@ def _beginnings(word: str) -> list[str]:
 
 
 def _teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Toxic and clean rows of each beginning."""
+    """Toxic and clean groups of near copies of each beginning; the rows of a group follow each other."""
     counts: dict[str, list[int]] = {}
+    group, seen = None, set()
 
     def out() -> pa.RecordBatch:
         terms = list(counts)
         return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([counts[t][0] for t in terms], pa.int64()), pa.array([counts[t][1] for t in terms], pa.int64())], ["term", "bad", "good"])
 
     for batch in batches:
-        for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
-            for p in {p for w in set(_words(text)) for p in _beginnings(w)}:
+        for toxic, text, of in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), batch.column("copies").to_pylist()):
+            terms = {p for w in set(_words(text)) for p in _beginnings(w)}
+            group, seen = of, seen if of == group else set()
+            for p in terms - seen:
                 counts.setdefault(p, [0, 0])[0 if toxic else 1] += 1
+            seen |= terms
             if len(counts) > 200_000:
                 yield out()
                 counts.clear()
@@ -207,25 +212,55 @@ def _contexts(shared):
     return run
 
 
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in chunks(batch, "text"):
+            fp, count = fingerprints(part.column("text"))
+            yield pa.RecordBatch.from_arrays([part.column("h"), part.column("toxic"), pa.array([f.tobytes() if n else None for f, n in zip(fp, count)], pa.binary())], ["h", "toxic", "fp"])
+
+
+def _copies(rows: DataFrame) -> dict[int, int]:
+    """By the hash of its text, the group of each row that is a near copy of another of its class; at most ``max_labelled`` fingerprints come to the driver."""
+    prints = rows.mapInArrow(_prints, "h long, toxic int, fp binary").filter("fp is not null").orderBy("h").toArrow()
+    out: dict[int, int] = {}
+    for toxic in (0, 1):
+        own = prints.filter(pc.equal(prints.column("toxic"), toxic))
+        n = own.num_rows
+        if n < 2:
+            continue
+        fp, h = np.frombuffer(b"".join(own.column("fp").to_pylist()), np.uint8).reshape(n, -1), own.column("h").to_numpy()
+        label = np.arange(n)
+        for i, j in close_pairs(fp, np.zeros(n, np.int64), np.full(n, n), RADIUS):
+            _forest(i, j, label)
+        out |= {int(h[i]): int(h[label[i]]) for i in np.flatnonzero(label != np.arange(n))}
+    return out
+
+
 def learn_terms(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[dict[str, float], DataFrame]:
     """Terms with their weights, and the labelled rows (toxic, text) they come from."""
     chosen = labels.select("doc_id", "toxic").filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).withColumnRenamed("doc_id", "__id")
     rows = docs.select("doc_id", "text").filter("doc_id is not null and text is not null").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
     rows = rows.select("toxic", "text", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g")).repartition(64, "h")
-    rows = cut(rows.groupBy("h", "g").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"), F.min("text").alias("text")).select("toxic", "text"))
+    rows = cut(rows.groupBy("h", "g").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"), F.min("text").alias("text")).select("toxic", "text", "h"))
     total = {bool(r[0]): r[1] for r in rows.groupBy("toxic").count().collect()}
-    n1, n0 = total.get(True, 0), total.get(False, 0)
-    if not n1 or not n0:
+    if len(total) < 2:
         return {}, rows
-    counted = rows.mapInArrow(_teach, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    copies = _copies(rows)
+    moved = docs.sparkSession.createDataFrame(list(copies.items()), "h long, copies long")
+    grouped = rows.join(F.broadcast(moved), "h", "left").select("toxic", "text", F.coalesce("copies", "h").alias("copies"))
+    grouped = cut(grouped.repartition(64, "copies").sortWithinPartitions("copies"))
+    total = {bool(r[0]): r[1] for r in grouped.groupBy("toxic").agg(F.count_distinct("copies")).collect()}
+    n1, n0 = total[True], total[False]
+    counted = grouped.mapInArrow(_teach, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     likely = counted.filter((F.col("bad") >= LEAST_CONTEXTS) & (F.col("good") <= F.col("bad") * MOST_CLEAN / (1 - MOST_CLEAN))).collect()
     likely = [(r.term, r.bad, r.good) for r in likely if _g2(r.bad, r.good, n1, n0) >= LEAST_G2]
     wanted = docs.sparkSession.sparkContext.broadcast({t for t, _, _ in likely})
     around = rows.mapInArrow(_contexts(wanted), "term string, around string").distinct().groupBy("term").count()
     contexts = {r[0]: r[1] for r in around.collect()}
-    # a term that copies of a few texts hold stands between the same words again and again
-    return choose_terms([x for x in likely if contexts.get(x[0], 0) >= max(LEAST_CONTEXTS, LEAST_VARIED * x[1])], n1, n0), rows
+    # a term that always stands between the same words has no more evidence than these; copies take none away
+    varied = [(t, min(bad, contexts.get(t, 0)), good) for t, bad, good in likely if contexts.get(t, 0) >= LEAST_CONTEXTS]
+    return choose_terms([x for x in varied if x[2] <= x[1] * MOST_CLEAN / (1 - MOST_CLEAN)], n1, n0), rows
 
 
 def _g2(bad: int, good: int, n1: int, n0: int) -> float:

@@ -434,6 +434,21 @@ def test_long_texts_are_judged_by_their_densest_window():
         assert abs(score(" ".join(w))[0] - want) < 1e-5
 
 
+def test_near_copies_take_no_evidence_away(spark):
+    rows, labels = _toxic_rows(500)
+    alone = toxicity.learn_terms(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))[0]
+    rng = random.Random(2)
+    base = rows[1][1].split() + [f"carpentry{chr(97 + i)}" for i in range(20)] + ["grumbol"]
+    for d in range(1000, 1600):  # one toxic text, in each copy another word changed
+        w = list(base)
+        w[rng.randrange(len(w) - 1)] = f"other{d}"
+        rows.append((d, " ".join(w)))
+        labels.append((d, 1, 1))
+    terms = toxicity.learn_terms(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))[0]
+    stems = {t[:4] for t in terms}
+    assert stems == {t[:4] for t in alone} == {"grum", "snar", "blor"}
+
+
 def test_viterbi_equals_all_readings():
     rng = np.random.default_rng(0)
     model = toxicity.LanguageModel(rng.integers(0, 64**3, 4000), rng.integers(1, 50, 4000))
