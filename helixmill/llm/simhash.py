@@ -1,8 +1,8 @@
 """SimHash near-duplicates by bit-sliced comparison.
 
 Each document gets a 256-bit SimHash of its distinct lower-cased words, weighted by their length (long words say more
-than "of" and "the"). Documents of equal fingerprint collapse to one. Candidates share ``BAND_BITS`` sampled bits in one
-of ``BANDS`` tables; a bucket's fingerprints stand vertically as bit planes, 64 to a machine word, and each is compared
+than "of" and "the"). Documents of equal fingerprint collapse to one. Candidates share some sampled bits in one of
+at most ``MAX_TABLES`` tables, so many that a pair ``radius`` bits apart is found with a chance of ``RECALL``; a bucket's fingerprints stand vertically as bit planes, 64 to a machine word, and each is compared
 with 64 others at a time: exclusive-or with a plane, added into carry-save bitwise counters, a block being abandoned once
 all its lanes exceed ``radius``. Buckets send spanning forests only, so a group of n copies costs n edges. Groups are the
 connected components of pairs within the radius.
@@ -13,7 +13,9 @@ document. Very long texts are hashed whole. Other columns are ignored. An empty
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +28,24 @@ from helixmill.session import cut
 BITS = 256
 #: Bits that may differ: one word in eight or so. Unrelated texts of one language differ in about 107 of 256 (sd 8).
 RADIUS = 50
-BANDS = 48
-BAND_BITS = 20
-_POSITIONS = np.stack([np.random.Generator(np.random.PCG64(77 + t)).choice(BITS, BAND_BITS, replace=False) for t in range(BANDS)])
+#: Chance that a pair at the radius shares a table, at least; and the most tables.
+RECALL, MAX_TABLES = 0.91, 96
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Pairs of a fingerprint and a block that are compared at once.
 STEP = 1 << 16
 
 
+@lru_cache
+def tables(radius: int) -> np.ndarray:
+    """Positions of the bits that each table samples: as many bits as ``MAX_TABLES`` tables allow, as few tables as they need."""
+    for bits in range(24, 0, -1):
+        share = math.comb(BITS - radius, bits) / math.comb(BITS, bits)
+        n = 1 if share >= RECALL else math.ceil(math.log(1 - RECALL) / math.log(1 - share)) if share else MAX_TABLES + 1
+        if n <= MAX_TABLES:
+            return np.stack([np.random.Generator(np.random.PCG64(77 + t)).choice(BITS, bits, replace=False) for t in range(n)])
+    raise ValueError(f"radius {radius} of {BITS} bits is more than {MAX_TABLES} tables can search")
+
+
 def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """n x 32 bytes, and the number of distinct words of each text."""
     w = Words(texts)
@@ -72,15 +84,19 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BITS // 8)
 
 
-def _band_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    power = (1 << np.arange(BAND_BITS, dtype=np.int64))[:, None]
-    for batch in batches:
-        for a in range(0, batch.num_rows, 2000):
-            part = batch.slice(a, 2000)
-            bits = np.unpackbits(_matrix(part.column("fp")), axis=1).astype(np.float64)
-            for t in range(BANDS):
-                key = (bits[:, _POSITIONS[t]] @ power.astype(np.float64))[:, 0].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key * BANDS + t), part.column("rep"), part.column("fp")], ["key", "rep", "fp"])
+def _band_batches(radius: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        positions = tables(radius)
+        power = (1 << np.arange(positions.shape[1], dtype=np.int64)).astype(np.float64)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2000):
+                part = batch.slice(a, 2000)
+                bits = np.unpackbits(_matrix(part.column("fp")), axis=1).astype(np.float64)
+                for t, at in enumerate(positions):
+                    key = (bits[:, at] @ power).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(key * len(positions) + t), part.column("rep"), part.column("fp")], ["key", "rep", "fp"])
+
+    return run
 
 
 def close_pairs(fp: np.ndarray, lo: np.ndarray, hi: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -259,7 +275,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     prints = docs.select("doc_id", "text").filter("doc_id is not null and text is not null").mapInArrow(_hash_batches, "doc_id long, fp binary")
     prints = cut(prints)
     reps = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    bands = reps.select("rep", "fp").mapInArrow(_band_batches, "key long, rep long, fp binary")
+    bands = reps.select("rep", "fp").mapInArrow(_band_batches(radius), "key long, rep long, fp binary")
     edges = bands.repartition("key").sortWithinPartitions("key").mapInArrow(_buckets(radius), "a long, b long")
     same = prints.join(reps, "fp").filter("doc_id > rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     roots = components(edges.union(same))

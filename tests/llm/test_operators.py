@@ -97,6 +97,22 @@ def test_simhash_recall_and_groups(spark):
     assert all(top(d) == top(g) for d, g in group.items())
 
 
+@pytest.mark.parametrize("radius", [10, 35, 44, simhash.RADIUS])
+def test_isolated_pairs_are_found_at_any_distance(radius):
+    rng = np.random.default_rng(radius)
+    for far in sorted({1, radius // 2, radius - 5, radius}):
+        n = 1500
+        fp = rng.integers(0, 2, (n, simhash.BITS), dtype=np.uint8)
+        twin = fp.copy()
+        for row in twin:
+            row[rng.choice(simhash.BITS, far, replace=False)] ^= 1
+        both = pa.array([x.tobytes() for x in np.packbits(np.concatenate([fp, twin]), axis=1)], pa.binary())
+        batch = pa.RecordBatch.from_arrays([pa.array(range(2 * n)), both], ["rep", "fp"])
+        t = pa.Table.from_batches(simhash._band_batches(radius)([batch])).sort_by("key")
+        pairs = {(min(r.values()), max(r.values())) for b in simhash._buckets(radius)(t.to_batches()) for r in b.to_pylist()}
+        assert len(pairs & {(i, i + n) for i in range(n)}) >= (0.9 if far == radius else 0.93 if far > radius - 6 else 0.99) * n
+
+
 def test_simhash_planted(spark):
     rng = random.Random(5)
     vocabulary = ["".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(3, 9))) for _ in range(5000)]
