@@ -2,7 +2,9 @@
 
 Each kind has a pattern, a check (Luhn for payment cards, mod-97 and the country's length for IBANs, octets for IPv4
 addresses, area rules for social security numbers, digit counts for telephone numbers) and words that speak for or
-against it within ``NEAR`` characters. A span whose check fails is dropped whatever stands near it. The score is the
+against it within ``NEAR`` characters. A span whose check fails is dropped whatever stands near it; of card numbers
+and IBANs, which run on over blanks and hyphens, what ends at one of these before, or begins after one, is tried first.
+The score is the
 kind's base, plus ``BOOST`` if a word speaks for it, less ``BOOST`` if one speaks against it; spans of ``LEAST`` or more
 count. Of spans that overlap the one of the highest score stays, then the longest, then the first.
 
@@ -79,6 +81,7 @@ class Kind(NamedTuple):
     base: float
     pro: re.Pattern
     contra: re.Pattern
+    groups: bool = False
 
 
 def _words(*words: str) -> re.Pattern:
@@ -87,8 +90,8 @@ def _words(*words: str) -> re.Pattern:
 
 KINDS = (
     Kind("EMAIL", re.compile(r"(?<![\w.+%-])[\w.+%-]+@[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)*\.[^\W\d_]{2,24}(?![\w-])"), email, 0.9, _words("mail", "e-?mail", "contact", "write"), _words()),
-    Kind("CREDIT_CARD", re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)"), luhn, 0.7, _words("card", "visa", "mastercard", "amex", "credit", "debit", "payment", "carte", "karte", "tarjeta"), _words("isbn", "order", "tracking", "serial", "invoice", "imei")),
-    Kind("IBAN", re.compile(r"(?<![\w-])[A-Za-z]{2}\d{2}(?:[ -]?[A-Za-z0-9]{4}){2,7}(?:[ -]?[A-Za-z0-9]{1,3})?(?![\w-])"), iban, 0.9, _words("iban", "account", "bank", "konto", "compte", "cuenta"), _words()),
+    Kind("CREDIT_CARD", re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)"), luhn, 0.7, _words("card", "visa", "mastercard", "amex", "credit", "debit", "payment", "carte", "karte", "tarjeta"), _words("isbn", "order", "tracking", "serial", "invoice", "imei"), True),
+    Kind("IBAN", re.compile(r"(?<![\w-])[A-Za-z]{2}\d{2}(?:[ -]?[A-Za-z0-9]{4}){2,7}(?:[ -]?[A-Za-z0-9]{1,3})?(?![\w-])"), iban, 0.9, _words("iban", "account", "bank", "konto", "compte", "cuenta"), _words(), True),
     Kind("IPV4", re.compile(r"(?<![\w.+-])\d{1,3}(?:\.\d{1,3}){3}(?![\w-]|\.\d)"), ipv4, 0.6, _words("ip", "host", "server", "address", "client", "from"), _words("version", "release", "section", "chapter")),
     Kind("US_SSN", re.compile(r"(?<![\w.+-])\d{3}([ -])\d{2}\1\d{4}(?![\w-]|\.\d)"), ssn, 0.6, _words("ssn", "social", "security", "tax"), _words("order", "part", "isbn", "invoice")),
     Kind("PHONE", re.compile(r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?\(\d{1,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?![\w-]|\.\d)|(?<![\w.+-])\+\d{1,3}(?:[ .-]?\d{1,4}){2,6}(?![\w-]|\.\d)"), phone, 0.7, _words("tel", "phone", "call", "mobile", "cell", "fax", "telefon", "téléphone", "teléfono"), _words("isbn", "invoice")),
@@ -98,21 +101,33 @@ KINDS = (
 )
 
 
+def _confirmed(kind: Kind, text: str) -> Iterator[tuple[int, int]]:
+    """Spans of a kind that pass its check; of groups the most that do, the search going on behind them."""
+    at = 0
+    while m := kind.pattern.search(text, at):
+        a, at = m.span()
+        if kind.check(m[0]):
+            yield a, at
+        elif kind.groups:
+            end = next((e for e in range(at - 1, a, -1) if text[e] in " -" and kind.check(text[a:e])), 0)
+            at = end or a + 1
+            if end:
+                yield a, end
+
+
 def find(text: str) -> list[tuple[int, int, str, float]]:
     """(start, end, kind, score) of the spans of a text, in order."""
     found = []
     for kind in KINDS:
-        for m in kind.pattern.finditer(text):
-            if not kind.check(m[0]):
-                continue
-            before, after = text[max(0, m.start() - NEAR) : m.start()], text[m.end() : m.end() + NEAR]
+        for a, b in _confirmed(kind, text):
+            before, after = text[max(0, a - NEAR) : a], text[b : b + NEAR]
             score = kind.base
             if kind.pro.search(before) or kind.pro.search(after):
                 score += BOOST
             if kind.contra.search(before) or kind.contra.search(after):
                 score -= BOOST
             if round(score, 6) >= LEAST:
-                found.append((-min(1.0, round(score, 6)), m.start() - m.end(), m.start(), m.end(), kind.name))
+                found.append((-min(1.0, round(score, 6)), a - b, a, b, kind.name))
     taken: list[tuple[int, int, str, float]] = []
     if len(found) > 1:
         found.sort()

@@ -272,6 +272,15 @@ def test_pii_spans(spark):
     assert pii.redact(df).columns == df.columns and pii.redact(df).filter("text is null").count() == 1
 
 
+def test_groups_that_run_on():
+    card, es, pl = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332", "PL61 1090 1014 0000 0712 1981 2874"
+    for text, want in {
+        f"{card} 12/27": [card], f"{card.replace(' ', '')} 123 cvv": [card.replace(" ", "")], f"{card.replace(' ', '-')}-12": [card.replace(" ", "-")], f"no 12 {card}": [card], f"{card} 5500 0000 0000 0004 12": [card, "5500 0000 0000 0004"],
+        f"{es} is": [es], f"to {es} from us": [es], f"{pl} and {es} or": [pl, es], f"{es.replace(' ', '')} is": [es.replace(" ", "")], f"AB12 {es} is": [es], "4111 1111 1111 1112 12": [],
+    }.items():
+        assert [text[a:b] for a, b, k, _ in pii.find(text) if k in ("CREDIT_CARD", "IBAN")] == want, text
+
+
 def test_pii_query_is_the_same_as_by_row(spark):
     docs = table(spark, SF, "documents").collect()
     want = Counter((d.doc_id, k, a, b, s) for d in docs for a, b, k, s in pii.find(d.text))
