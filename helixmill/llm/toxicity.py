@@ -9,7 +9,7 @@ Language model: counts of all three-character sequences of all documents, interp
 Decoding: a stretch of text that may be written for a term, that is one whose signs (digits and symbols taken for the
 letters they resemble, marks left out, repetitions once) begin as the term's do, becomes a lattice of what each
 character may stand for: itself, a letter it resembles, nothing if it repeats the one before or stands between letters.
-Single letters apart from each other make one stretch. Viterbi's algorithm finds the likeliest reading under the
+A stretch begins at any word or bit of one and may run on across blanks and marks. Viterbi's algorithm finds the likeliest reading under the
 language model, with a price for each deviation, and the reading is searched for terms. What can't be read as a term
 can't change the score, so nothing else is decoded. The score is the sum of the terms' weights over the distinct words
 they are found in, less for long texts (half at ``HALF_WORDS`` words); a text of more than ``WINDOW`` words has the score
@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -51,13 +52,17 @@ WINDOW = 500
 #: word, of a digit among letters that is a digit, of a letter left out that repeats the one before: in a pair, which
 #: words have too, or among three or more.
 LEET, DROP, BLANK, DIGIT, PAIR, REPEAT = 1.0, 0.5, 2.5, 2.5, 4.5, 0.5
+#: Price of leaving out a blank beside two letters or more, which is the end of a word at no price.
+JOIN = 3.0
+#: Single letters that a stretch goes on for at most beyond what may be a term.
+MORE_LETTERS = 32
 RESEMBLES = {"0": "o", "1": "il", "!": "il", "|": "il", "3": "e", "€": "e", "4": "a", "@": "a", "5": "s", "$": "s", "7": "t", "+": "t", "8": "b", "9": "g", "6": "g", "2": "z"}
 
 _SKELETON = np.zeros(256, np.uint8)
-for _b in [*range(97, 123), *range(128, 256)]:
+for _b in range(97, 123):
     _SKELETON[_b] = _b
 for _sign, _letters in RESEMBLES.items():
-    if len(_sign.encode()) == 1:
+    if ord(_sign) < 128:
         _SKELETON[ord(_sign)] = ord(_letters[0])
 _SKELETON[ord("l")] = ord("i")
 _BLANK = np.zeros(256, bool)
@@ -72,8 +77,32 @@ for _b in range(128, 256):
 _SYMBOLS = 64
 
 
+@lru_cache
+def _beyond_ascii() -> np.ndarray:
+    """Of each code point: 0 for a mark, 1 for a letter, else the letter that the sign resembles."""
+    out = np.array([chr(c).isalpha() for c in range(0x110000)]).astype(np.uint8)
+    for sign, letters in RESEMBLES.items():
+        out[ord(sign)] = _SKELETON[ord(letters[0])]
+    return out
+
+
+def _signs(data: np.ndarray) -> np.ndarray:
+    """What each byte is in a skeleton; 0 for what is left out."""
+    sign = _SKELETON[data]
+    if len(data) and data.max() >= 128:
+        lead = np.flatnonzero((data & 0xC0) != 0x80)
+        code = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        far = np.flatnonzero(code >= 128)
+        kind, at, after = _beyond_ascii()[code[far]], lead[far], np.r_[lead, len(data)][far + 1]
+        for k in range(4):
+            some = (kind == 1) & (at + k < after)
+            sign[at[some] + k] = data[at[some] + k]
+        sign[at[kind > 1]] = kind[kind > 1]
+    return sign
+
+
 def _skeleton(text: str) -> bytes:
-    s = _SKELETON[np.frombuffer(text.lower().encode(), np.uint8)]
+    s = _signs(np.frombuffer(text.lower().encode(), np.uint8))
     s = s[s > 0]
     return s[np.r_[True, s[1:] != s[:-1]]].tobytes() if len(s) else b""
 
@@ -137,9 +166,10 @@ def decode(text: str, model: LanguageModel) -> str:
             reads.append((c, 0.0 if letter or not (text[i - 1 : i].isalpha() or text[i + 1 : i + 2].isalpha()) else DIGIT))
         else:
             inner = text[:i].strip(" ") and text[i + 1 :].strip(" ")
-            reads.append((" ", BLANK if inner else 0.0))
+            apart = inner and c.isspace() and any(sum(map(str.isalnum, bit)) > 1 for bit in (*text[:i].split()[-1:], *text[i:].split()[:1]))
+            reads.append((" ", BLANK if inner and not apart else 0.0))
             if inner:
-                reads.append(("", DROP))
+                reads.append(("", JOIN if apart else DROP))
         reads += [(x, LEET) for x in RESEMBLES.get(c, "")]
         pair = c != text[i - 2 : i - 1] and c != text[i + 1 : i + 2]
         new: dict[tuple[tuple[int, int], str], tuple[float, str]] = {}
@@ -294,6 +324,7 @@ class Scorer:
         self.flat = {_flat(t): t for t in sorted(terms)}
         self._plain = self._table([t.encode() for t in self.texts])
         self._bones = self._table(sorted({s for t in self.texts if len(s := _skeleton(t)) >= 3}))
+        self._open = {_skeleton(t) for t in terms if not t.endswith(".")}
 
     @staticmethod
     def _table(keys: list[bytes]) -> dict[int, np.ndarray]:
@@ -342,7 +373,7 @@ class Scorer:
         if not self.terms:
             return found
         if len(w.start):
-            for i in _begin(w.data, w.start, w.end, self._plain):
+            for i in _begin(w.data, w.start, w.end, self._plain)[0]:
                 found[w.doc[i]] += [(int(i), *x) for x in self.of_words([w.data[w.start[i] : w.end[i]].tobytes().decode("utf-8", "replace")])]
         if self.model is not None and len(w.data):
             for doc, at, stretch in self._stretches(w.data, w.off):
@@ -356,32 +387,31 @@ class Scorer:
         start, end, doc = spans(~_BLANK[data], off)
         if not len(start):
             return
-        sign = _SKELETON[data]
+        sign = _signs(data)
         at = np.flatnonzero(sign)
+        if not len(at):
+            return
         chunk = np.searchsorted(start, at, "right") - 1
-        size = np.bincount(chunk, minlength=len(start))
-        alone = (size == 1) & (end - start == 1)
-        # three or more single letters in a row are one stretch
-        edge = np.flatnonzero(np.r_[True, (alone[1:] != alone[:-1]) | (doc[1:] != doc[:-1]), True])
-        group = np.arange(len(start))
-        for a, b in zip(edge[:-1], edge[1:]):
-            if alone[a] and b - a >= 3:
-                group[a:b] = a
-        last = np.arange(len(start))
-        last[group] = np.maximum(last[group], np.arange(len(start)))
-        where = group[chunk]
-        new = np.r_[True, (sign[at][1:] != sign[at][:-1]) | (where[1:] != where[:-1])]
-        bone, place, where = sign[at][new], at[new], where[new]
-        # a term may begin where a stretch does, or after a mark
-        head = np.flatnonzero(np.r_[True, where[1:] != where[:-1]] | (np.r_[1, np.diff(place)] > 1) & ((place == 0) | (sign[np.maximum(place - 1, 0)] == 0)))
-        stop = np.searchsorted(where, where[head], "right")
-        seen: set[int] = set()
-        for i in _begin(bone, head, stop, self._bones):
-            k = int(where[head[i]])
-            if (int(place[head[i]])) in seen:
-                continue
-            seen.add(int(place[head[i]]))
-            yield int(doc[k]), int(place[head[i]]), data[place[head[i]] : end[last[k]]].tobytes().decode("utf-8", "replace")
+        letters = np.bincount(chunk[(data[at] & 0xC0) != 0x80], minlength=len(start))
+        # chunks at which a row of single letters, with marks among them, has ended
+        barrier = np.append(np.flatnonzero((letters > 1) | np.r_[True, doc[1:] != doc[:-1]]), len(start))
+        new = np.r_[True, (sign[at][1:] != sign[at][:-1]) | (doc[chunk][1:] != doc[chunk][:-1])]
+        run = np.cumsum(new) - 1
+        bone, of = sign[at][new], doc[chunk][new]
+        begin = np.flatnonzero(new)
+        # a term may begin at any sign that stands after none
+        head = np.flatnonzero((at == start[chunk]) | (sign[np.maximum(at - 1, 0)] == 0))
+        stop = np.searchsorted(of, of[run[head]], "right")
+        hit, size = _begin(bone, run[head], stop, self._bones)
+        for i, n in zip(hit, size):
+            first = head[i]
+            k = int(chunk[max(first, begin[run[first] + n - 1])])
+            if letters[k] < 2:
+                k = min(int(barrier[np.searchsorted(barrier, k, "right")]) - 1, k + MORE_LETTERS)
+            stretch = data[at[first] : end[k]].tobytes()
+            if k + 1 < len(start) and doc[k + 1] == doc[k] and _skeleton(stretch.decode("utf-8", "replace")) in self._open:
+                stretch = data[at[first] : end[k + 1]].tobytes()
+            yield int(doc[k]), int(at[first]), stretch.decode("utf-8", "replace")
 
 
 def _rolling(key: bytes) -> int:
@@ -391,9 +421,9 @@ def _rolling(key: bytes) -> int:
     return h % (1 << 64)
 
 
-def _begin(data: np.ndarray, start: np.ndarray, end: np.ndarray, table: dict[int, np.ndarray]) -> np.ndarray:
-    """Which of data[start:end] may begin with a key (by a hash of its first bytes)."""
-    hit = np.zeros(len(start), bool)
+def _begin(data: np.ndarray, start: np.ndarray, end: np.ndarray, table: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Which of data[start:end] may begin with a key (by a hash of its first bytes), and the size of the longest such key."""
+    hit = np.zeros(len(start), np.int64)
     h, done = np.zeros(len(start), np.uint64), 0
     live = np.arange(len(start))
     for n in sorted(table):
@@ -404,8 +434,9 @@ def _begin(data: np.ndarray, start: np.ndarray, end: np.ndarray, table: dict[int
             h[live] += (data[start[live] + i].astype(np.uint64) + np.uint64(1)) * np.uint64(pow(_P, i, 1 << 64))
         done = n
         at = np.minimum(np.searchsorted(table[n], h[live]), len(table[n]) - 1)
-        hit[live[table[n][at] == h[live]]] = True
-    return np.flatnonzero(hit)
+        hit[live[table[n][at] == h[live]]] = n
+    some = np.flatnonzero(hit)
+    return some, hit[some]
 
 
 def _label_scores(shared):

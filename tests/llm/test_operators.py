@@ -474,6 +474,16 @@ def test_near_copies_take_no_evidence_away(spark):
     assert stems == {t[:4] for t in alone} == {"grum", "snar", "blor"}
 
 
+def test_gate_lets_through_what_the_lattice_can_read(spark):
+    model = toxicity.language_model(table(spark, SF, "documents"))
+    scorer = toxicity.Scorer({"idiot.": 7.0, "loser.": 7.0, "trash.": 7.0, "moron.": 7.0, "idiôt.": 7.0}, model, 5.0)
+    hidden = ["i - d - i - o - t", "i. d. i. o. t.", "i d i ô t", "tr ash", "mo ron", "los€r", "i·d·i·o·t", "i\u200bd\u200bi\u200bo\u200bt", "gas tr ash", "l0ser", "i d i o t"]
+    got = scorer.judge(pa.array([f"{a}{h}{b}" for h in hidden for a, b in (("", ""), ("you are such a ", " and more"))]))[1]
+    assert min(got) > 5, [h for i, h in enumerate(hidden) if min(got[2 * i : 2 * i + 2]) <= 5]
+    clean = ["todos los errores de la lista", "los eruditos", "the extra shelf", "gas stupor, 100 % of it", "id io tas", "\u20ac 100", "", "é", "«»"]
+    assert max(scorer.judge(pa.array(clean))[1]) == 0
+
+
 def test_viterbi_equals_all_readings():
     rng = np.random.default_rng(0)
     model = toxicity.LanguageModel(rng.integers(0, 64**3, 4000), rng.integers(1, 50, 4000))
