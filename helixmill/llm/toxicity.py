@@ -39,7 +39,7 @@ from helixmill.llm.simhash import RADIUS, _forest, close_pairs, fingerprints
 from helixmill.session import cut
 
 MAX_LABELLED = 20_000
-#: A term's shortest beginning, and the longest that is told from the whole word.
+#: A term's shortest beginning, and the longest that is told from the whole word; whole words may be of any length.
 SHORT, LONG = 4, 9
 #: Least log likelihood ratio of a term; contexts (pairs of words around it) that it must stand in; share of its rows
 #: that may be clean.
@@ -202,7 +202,7 @@ def _words(text: str) -> list[str]:
 
 def _beginnings(word: str) -> list[str]:
     """Beginnings that the word goes beyond, and the whole with a full stop."""
-    return [word[:n] for n in range(SHORT, min(len(word) - 1, LONG) + 1)] + [word + "."] if len(word) >= SHORT else []
+    return [word[:n] for n in range(SHORT, min(len(word) - 1, LONG) + 1)] + [word + "."]
 
 
 def _teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,7 +321,7 @@ class Scorer:
         self.terms, self.model, self.threshold = terms, model, threshold
         self.texts = sorted({t.rstrip(".") for t in terms})
         self.exact = {t: t for t in terms}
-        self.flat = {_flat(t): t for t in sorted(terms)}
+        self.flat = {_flat(t): t for t in sorted(terms) if len(t.rstrip(".")) >= SHORT}
         self._plain = self._table([t.encode() for t in self.texts])
         self._bones = self._table(sorted({s for t in self.texts if len(s := _skeleton(t)) >= 3}))
         self._open = {_skeleton(t) for t in terms if not t.endswith(".")}
@@ -335,9 +335,9 @@ class Scorer:
         return {n: np.array(sorted(v), np.uint64) for n, v in out.items()}
 
     def of_words(self, words: list[str], flat: bool = False) -> set[tuple[str, str]]:
-        """Terms that stand in some words, with the word; flat: with every letter once, as decoding can't always tell "ss" from "s"."""
+        """Terms that stand in some words, with the word; flat: with every letter once, as decoding can't always tell "ss" from "s", but for short words, of which too little is left."""
         by = self.flat if flat else self.exact
-        found = set()
+        found = {(w + ".", w) for w in words if w + "." in self.exact} if flat else set()
         for w in map(_flat, words) if flat else words:
             found |= {(t, w) for t in (by.get(w + "."), *(by.get(w[:n]) for n in range(SHORT - flat, len(w)))) if t}
         return found

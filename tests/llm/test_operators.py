@@ -484,6 +484,14 @@ def test_gate_lets_through_what_the_lattice_can_read(spark):
     assert max(scorer.judge(pa.array(clean))[1]) == 0
 
 
+def test_short_words_are_terms(spark):
+    rows, labels = _toxic_rows()
+    short = {"grumbol": "zog", "snarfid": "qua", "blorkast": "uk"}
+    rows = [(d, " ".join(short.get(w, w) for w in t.split())) for d, t in rows] + [(1000, "to zoggan la quasi ukan"), (1001, "an zog ke")]
+    got = {r.doc_id: r.rejected for r in toxicity.judge(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels[:400], "doc_id long, quality int, toxic int")).collect()}
+    assert all(got[d] == bool(t) for d, _, t in labels) and got[1001] and not got[1000]
+
+
 def test_viterbi_equals_all_readings():
     rng = np.random.default_rng(0)
     model = toxicity.LanguageModel(rng.integers(0, 64**3, 4000), rng.integers(1, 50, 4000))
