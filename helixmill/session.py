@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +22,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -39,7 +42,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset and the
+    session is local (tests). On a cluster without that setting this raises."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if found:
@@ -47,11 +51,44 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(found)
         return found
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="helixmill-ckpt-"))
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="helixmill-ckpt-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and cut its lineage; survives the loss of any executor."""
+    """Materialise ``df`` in the shared folder and cut its lineage; survives the loss of any executor.
+
+    The files go with the last reference to the DataFrame where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def newest(spark: SparkSession, folder: str, prefix: str) -> int | None:
+    """The highest n of the tables ``{prefix}{n}`` that were written to their end in ``folder``; None if there is none."""
+    fs, at = _path(spark, folder)
+    if not fs.exists(at):
+        return None
+    found = [s.getPath() for s in fs.listStatus(at) if s.getPath().getName().startswith(prefix)]
+    numbers = [int(n) for p in found if (n := p.getName()[len(prefix) :]).isdigit() and fs.exists(_path(spark, f"{p}/_SUCCESS")[1])]
+    return max(numbers, default=None)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _path(spark, path)
+    return fs.exists(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder and what is in it, if it is there."""
+    fs, at = _path(spark, path)
+    fs.delete(at, True)
