@@ -129,6 +129,15 @@ def grams(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(out, 7), ok
 
 
+def span_grams(w: Words, sizes: tuple[int, ...]) -> list[np.ndarray]:
+    """Hashes of the k words from each word on, for each k of ``sizes``, whether or not they lie in one text; n - k + 1 of them."""
+    n = len(w.hash)
+    sums = np.zeros(n + 1, _U)
+    np.cumsum(w.hash * _power("p", n)[:n], out=sums[1:])
+    back = _power("q", n + 1)
+    return [mix((sums[k:] - sums[: n + 1 - k]) * back[: n + 1 - k], k) for k in sizes]
+
+
 def winnow(h: np.ndarray, ok: np.ndarray, doc: np.ndarray, window: int) -> np.ndarray:
     """Positions of the rightmost minimum of every ``window`` consecutive grams of one text; all of a text with fewer."""
     n = len(h)

@@ -1,236 +1,209 @@
 """Repeated passages by a logarithmic family of sparse suffix arrays.
 
-Suffixes begin at content-defined anchors: the winnowed minima of ``GRAM``-word hashes, so that any passage of
-``MIN_WORDS`` words that stands in two places has the same anchor in both. An anchor travels with the words around it,
-as 16-bit hashes, as far as a passage of ``MIN_WORDS`` around its gram can reach; nothing longer is needed, for longer
-matches are unions of these. Anchors of equal gram meet in one partition, in document order. There every batch gets a
-suffix array (grams, then the words that follow), is merge-scanned against each existing level for matches that are long
-enough to both sides together, and becomes a level; levels of equal size merge, keeping the earliest suffix of each
-context. Where a gram has more than ``WIDE`` contexts its suffixes are matched through the hashes of all the passages
-they lie in, which takes time in proportion to their number and finds the same.
-
-Result: one row for each maximal run of words in which every word lies in a passage of ``MIN_WORDS`` words that stands
-earlier: in a document of smaller doc_id, or before in the same. ``source_doc_id`` is the earliest document that holds
-a part of the run of at least that length. Words are counted from 0, ``end_word`` is the first after the run.
-
-Defined results. Null texts, texts of fewer words and rows of null doc_id have no row. Rows that repeat a doc_id and its
-text are one document. Very long texts are treated whole. Other columns are ignored.
+A passage is ``MIN_WORDS`` words in a row. Its anchor is the least hash of the ``GRAM``-word grams in it (the last of equal
+ones), so that equal passages have equal anchors at equal places, and neighbouring passages mostly share one. A record
+holds the passages of one anchor: the gram's hash, the document, where the first passage begins, and a 64-bit hash of each
+passage's words. Every passage stands in one record. Records of equal gram meet in one partition, in document order.
+
+There the suffixes at which passages begin are kept in suffix arrays, in the order of the hashes of their first
+``MIN_WORDS`` words: two suffixes have a common prefix of at least that length if and only if these are equal, and longer
+matches are runs of such suffixes. Each new batch gets its suffix array and is merge-scanned against every level; what
+stands in none becomes a level of its own, and levels of equal size merge, and again, so that there are about log2(n) of
+them. No suffix is compared with more than one other at a level, however often a passage occurs.
+
+``Family`` keeps the records of what was added so far as Parquet levels in a folder, which merge likewise; a further batch
+is scanned against them.
+
+Result: one row for each maximal run of words in which every word lies in a passage that stands earlier: in a document of
+smaller doc_id, or before in the same; or, with a family, in an earlier batch. ``source_doc_id`` is the least of the
+doc_ids at which the run's passages stand first. Words are counted from 0, ``end_word`` is the first after the run.
+
+Defined results. Null texts, texts of fewer words and rows of null doc_id have no row. Rows that repeat a doc_id are parts
+of one document, of which equal passages at one place count once: a row that repeats doc_id and text finds nothing in its
+twin. Very long texts are treated whole. Other columns are ignored. Empty tables have no rows.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from helixmill.llm._text import Words, chunks, grams, mix, winnow
+from helixmill.llm._text import Words, chunks, span_grams
+from helixmill.session import cut, newest, remove
 
 MIN_WORDS = 50
 GRAM = 32
-FRINGE = MIN_WORDS - GRAM
-#: Suffixes of a new batch.
+#: Grams of a passage, of which one is its anchor.
+SPREAD = MIN_WORDS - GRAM + 1
+#: Records of a new batch within a task.
 BATCH = 1 << 15
-WIDE = 64
-_SCHEMA = "h long, doc_id long, pos int, around binary"
-_WIDTH = 2 * FRINGE + 1  # 16-bit words: left outwards, right, and how many of each there are
+#: Parts of a partition that are indexed one after the other, so that a task holds one part's levels.
+PARTS = 16
+_RECORD = "h long, doc_id long, start int, keys binary"
+_FOUND = "doc_id long, start_word int, end_word int, source_doc_id long"
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _least(h: np.ndarray) -> np.ndarray:
+    """Place of the last least of each SPREAD values in a row."""
+    value, place, width = h, np.arange(len(h)), 1
+    while width < SPREAD:
+        step = min(width, SPREAD - width)  # the two halves may overlap
+        later = value[step:] <= value[:-step]
+        value, place = np.where(later, value[step:], value[:-step]), np.where(later, place[step:], place[:-step])
+        width += step
+    return place
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks(batch, "text"):
             w = Words(part.column("text"))
-            h, ok = grams(w, GRAM)
-            at = winnow(h, ok, w.doc, FRINGE + 1)
-            at = at[(w.first[w.doc[at] + 1] - w.first[w.doc[at]]) >= MIN_WORDS]
+            n = len(w.hash) - MIN_WORDS + 1
+            if n <= 0:
+                continue
+            gram, key = span_grams(w, (GRAM, MIN_WORDS))
+            at = np.flatnonzero(w.doc[:n] == w.doc[MIN_WORDS - 1 :])  # passages that lie in one text
             if not len(at):
                 continue
-            short = (w.hash >> np.uint64(48)).astype("<u2")
-            lo, hi = w.first[w.doc[at]], w.first[w.doc[at] + 1]
-            nl, nr = np.minimum(at - lo, FRINGE), np.minimum(hi - at - GRAM, FRINGE)
-            row = np.zeros((len(at), _WIDTH), "<u2")
-            for j in range(FRINGE):
-                row[:, j] = np.where(j < nl, short[np.maximum(at - 1 - j, 0)], 0)
-                row[:, FRINGE + j] = np.where(j < nr, short[np.minimum(at + GRAM + j, len(short) - 1)], 0)
-            row[:, -1] = nl * 256 + nr
-            flat = pa.py_buffer(row.tobytes())
-            offsets = pa.py_buffer((np.arange(len(at) + 1) * _WIDTH * 2).astype(np.int32).tobytes())
-            doc = part.column("doc_id").to_numpy()[w.doc[at]]
-            yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(doc), pa.array((at - lo).astype(np.int32)), pa.Array.from_buffers(pa.binary(), len(at), [None, offsets, flat])], ["h", "doc_id", "pos", "around"])
-
-
-class _Suffixes:
-    """Suffixes in array order: by gram, then the words after it, then those before."""
-
-    def __init__(self, h: np.ndarray, doc: np.ndarray, pos: np.ndarray, around: np.ndarray):
-        self.h, self.doc, self.pos, self.around = h, doc, pos, around
-
-    def __len__(self) -> int:
-        return len(self.h)
-
-    def take(self, at: np.ndarray) -> _Suffixes:
-        return _Suffixes(self.h[at], self.doc[at], self.pos[at], self.around[at])
-
-    def sorted(self) -> _Suffixes:
-        """The suffix array; of equal contexts only the earliest suffix stays."""
-        order = np.lexsort((self.pos, self.doc, self.h))
-        s = self.take(order)
-        same = np.zeros(len(s), bool)
-        same[1:] = s.h[1:] == s.h[:-1]
-        tied = same.copy()
-        tied[:-1] |= same[1:]
-        at = np.flatnonzero(tied)
-        if len(at):
-            wide = np.zeros((len(at), -(-_WIDTH // 4) * 4), ">u2")
-            wide[:, :FRINGE] = s.around[at, FRINGE : 2 * FRINGE]
-            wide[:, FRINGE : 2 * FRINGE] = s.around[at, :FRINGE]
-            wide[:, -1] = s.around[at, -1]
-            cols = np.ascontiguousarray(wide).view(">u8")
-            keys = [cols[:, c] for c in range(cols.shape[1])]
-            inner = np.lexsort((s.pos[at], s.doc[at], *keys[::-1], s.h[at]))
-            again = np.zeros(len(at), bool)
-            again[1:] = s.h[at][inner][1:] == s.h[at][inner][:-1]
-            for k in keys:
-                again[1:] &= k[inner][1:] == k[inner][:-1]
-            place = np.arange(len(s))
-            place[at] = at[inner]
-            keep = np.ones(len(s), bool)
-            keep[at] = ~again
-            s = s.take(place[keep])
-        return s
-
-    @staticmethod
-    def join(parts: list[_Suffixes]) -> _Suffixes:
-        return _Suffixes(*(np.concatenate([getattr(p, k) for p in parts]) for k in ("h", "doc", "pos", "around")))
-
-
-def _reach(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """How many leading columns are equal, ``most`` at most."""
-    differ = np.ones((len(a), FRINGE + 1), bool)
-    differ[:, :FRINGE] = a != b
-    return np.minimum(differ.argmax(axis=1), most)
-
-
-def _scan(new: _Suffixes, level: _Suffixes, hot: set[int]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Merge-scan ``new`` against a level: (doc, start, end, source) of long matches that stand earlier in the level."""
-    lo, hi = np.searchsorted(level.h, new.h, "left"), np.searchsorted(level.h, new.h, "right")
-    many = hi - lo
-    if (many > WIDE).any():
-        hot.update(np.unique(new.h[many > WIDE]).tolist())
-        many = np.where(many > WIDE, 0, many)
-    at = np.flatnonzero(many)
-    ends = np.cumsum(many[at])
-    a = 0
-    while a < len(at):
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + 200_000, "right")))
-        n = many[at[a:b]]
-        x = np.repeat(at[a:b], n)
-        y = lo[x] + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
-        a = b
-        earlier = (level.doc[y] < new.doc[x]) | ((level.doc[y] == new.doc[x]) & (level.pos[y] < new.pos[x]))
-        x, y = x[earlier], y[earlier]
-        p, q = new.around[x], level.around[y]
-        left = _reach(p[:, :FRINGE], q[:, :FRINGE], np.minimum(p[:, -1], q[:, -1]) >> 8)
-        left = np.minimum(left, np.minimum(p[:, -1] >> 8, q[:, -1] >> 8))
-        right = _reach(p[:, FRINGE : 2 * FRINGE], q[:, FRINGE : 2 * FRINGE], np.minimum(p[:, -1] & 255, q[:, -1] & 255))
-        ok = left.astype(int) + right + GRAM >= MIN_WORDS
-        x, y, left, right = x[ok], y[ok], left[ok].astype(np.int64), right[ok].astype(np.int64)
-        yield new.doc[x], new.pos[x] - left, new.pos[x] + GRAM + right, level.doc[y]
-
-
-def _all_passages(s: _Suffixes) -> Iterator[tuple[np.ndarray, ...]]:
-    """What _scan finds, through the hash of each passage of MIN_WORDS words around each gram."""
-    s = s.take(np.lexsort((s.pos, s.doc)))
-    nl, nr = (s.around[:, -1] >> 8).astype(int), (s.around[:, -1] & 255).astype(int)
-    g = s.h.view(np.uint64)
-    left, right = [g], [mix(g, 3)]
-    for j in range(FRINGE):
-        left.append(mix(left[-1] ^ s.around[:, j].astype(np.uint64), 5))
-        right.append(mix(right[-1] ^ s.around[:, FRINGE + j].astype(np.uint64), 6))
-    for o in range(FRINGE + 1):
-        at = np.flatnonzero((nl >= o) & (nr >= FRINGE - o))
-        key = mix(left[o][at] ^ (right[FRINGE - o][at] << np.uint64(1)), 9)
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        first = np.maximum.accumulate(np.where(np.r_[True, k[1:] != k[:-1]], np.arange(len(k)), 0)) if len(k) else order
-        x, y = at[order], at[order[first]]
-        later = (s.doc[y] < s.doc[x]) | ((s.doc[y] == s.doc[x]) & (s.pos[y] < s.pos[x]))
-        x, y = x[later], y[later]
-        yield s.doc[x], s.pos[x].astype(np.int64) - o, s.pos[x].astype(np.int64) - o + MIN_WORDS, s.doc[y]
-
-
-def _united(doc: np.ndarray, start: np.ndarray, end: np.ndarray, source: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Spans of a document that meet, as one, with the earliest source of all."""
-    order = np.lexsort((start, doc))
-    doc, start, end, source = doc[order], start[order], end[order], source[order]
-    # ends so far within the document: positions are moved apart by document, so that one running maximum serves
-    shift = np.cumsum(np.r_[0, doc[1:] != doc[:-1]]) * (int(end.max()) + 1)
-    reach = np.maximum.accumulate(end + shift)
-    first = np.flatnonzero(np.r_[True, start[1:] + shift[1:] > reach[:-1]])
-    return doc[first], start[first], np.maximum.reduceat(end, first), np.minimum.reduceat(source, first)
+            anchor = _least(gram)[at]
+            first = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)])
+            offsets = (np.r_[first, len(at)] * 8).astype(np.int32)
+            doc = w.doc[at[first]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(gram[anchor[first]].view(np.int64)), pa.array(part.column("doc_id").to_numpy()[doc]), pa.array((at[first] - w.first[doc]).astype(np.int32)), pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(key[at].tobytes())])],
+                ["h", "doc_id", "start", "keys"],
+            )
+
+
+class Suffixes:
+    """The suffixes of some records, in document order: ``key`` (hash of the first words), ``doc``, ``pos``, ``row`` (the record, whose gram is ``h``)."""
+
+    def __init__(self, t: pa.Table):
+        raw = t.column("keys").to_pylist()
+        size = np.fromiter((len(x) // 8 for x in raw), np.int64, len(raw))
+        self.row = np.repeat(np.arange(len(raw)), size)
+        self.key = np.frombuffer(b"".join(raw), np.uint64)
+        self.doc = t.column("doc_id").to_numpy()[self.row]
+        self.pos = t.column("start").to_numpy()[self.row].astype(np.int64) + np.arange(len(self.row)) - np.repeat(np.cumsum(size) - size, size)
+        self.h = t.column("h").to_numpy()
+        if ((self.pos[1:] < self.pos[:-1]) & (self.doc[1:] == self.doc[:-1])).any():  # rows that repeat a doc_id
+            order = np.lexsort((self.row, self.pos, self.doc))
+            self.row, self.key, self.doc, self.pos = self.row[order], self.key[order], self.doc[order], self.pos[order]
+
+
+class Levels:
+    """Suffix arrays (keys in order, document and place of each) whose sizes are powers of two of a batch's."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, s: Suffixes) -> tuple[np.ndarray, np.ndarray]:
+        """Scan a batch and take it up: which of its suffixes stand earlier, and the document where each stands first."""
+        order = np.argsort(s.key, kind="stable")
+        key = s.key[order]
+        new = np.r_[True, key[1:] != key[:-1]]
+        array, first = key[new], order[new]  # the batch's suffix array: of equal suffixes the earliest
+        doc, pos = s.doc[first], s.pos[first].astype(np.int32)
+        fresh = np.ones(len(array), bool)
+        for _, keys, docs, places in self.held:  # merge-scan: both are in order
+            at = np.minimum(np.searchsorted(keys, array), len(keys) - 1)
+            hit = np.flatnonzero(keys[at] == array)
+            doc[hit], pos[hit], fresh[hit] = docs[at[hit]], places[at[hit]], False
+        run = np.cumsum(new) - 1
+        earlier, source = np.empty(len(order), bool), np.empty(len(order), np.int64)
+        earlier[order] = (s.doc[order] != doc[run]) | (s.pos[order] != pos[run])  # else it is the first, or a repeated row's
+        source[order] = doc[run]
+        size, keys, docs, places = 0, array[fresh], doc[fresh], pos[fresh]
+        if not len(keys):
+            return earlier, source
+        while self.held and self.held[-1][0] == size:  # levels of equal size merge
+            _, k, d, p = self.held.pop()
+            keys, docs, places = np.concatenate([k, keys]), np.concatenate([d, docs]), np.concatenate([p, places])
+            order = np.argsort(keys, kind="stable")  # two runs in order, which a stable sort merges
+            keys, docs, places, size = keys[order], docs[order], places[order], size + 1
+        self.held.append((size, keys, docs, places))
+        return earlier, source
+
+
+def _united(doc: np.ndarray, pos: np.ndarray, source: np.ndarray) -> pa.RecordBatch:
+    """Passages of a document that meet, as one run, with the least source of all."""
+    order = np.lexsort((pos, doc))
+    doc, pos, source = doc[order], pos[order], source[order]
+    first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (pos[1:] > pos[:-1] + MIN_WORDS)])
+    last = np.r_[first[1:], len(doc)] - 1
+    return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(pos[first].astype(np.int32)), pa.array((pos[last] + MIN_WORDS).astype(np.int32)), pa.array(np.minimum.reduceat(source, first))], ["doc_id", "start_word", "end_word", "source_doc_id"])
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Suffixes]]:
+    """Of rows in order of (group, doc_id): a group, and about ``BATCH`` of its rows, all that it has of a document together."""
+    held: list[pa.RecordBatch] = []
+    now, last, n = None, None, 0
+    for batch in batches:
+        groups, docs = batch.column("group").to_numpy(), batch.column("doc_id").to_numpy()
+        edges = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1], True]).tolist() if len(groups) else []
+        for a, b in zip(edges[:-1], edges[1:]):
+            if held and groups[a] == now and n >= BATCH:
+                c = a + int(np.searchsorted(docs[a:b], last, "right"))
+                held.append(batch.slice(a, c - a))
+                if c == b:
+                    continue
+                a = c
+            if held and (groups[a] != now or n >= BATCH):
+                yield now, Suffixes(pa.Table.from_batches(held))
+                held, n = [], 0
+            held.append(batch.slice(a, b - a))
+            now, last, n = int(groups[a]), int(docs[b - 1]), n + b - a
+    if held:
+        yield now, Suffixes(pa.Table.from_batches(held))
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    levels: list[tuple[int, _Suffixes]] = []
-    hot: set[int] = set()
-    waiting: list[_Suffixes] = []
-
-    def out(found: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        for doc, start, end, source in found:
-            if len(doc):
-                doc, start, end, source = _united(doc, start, end, source)
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(source)], ["doc_id", "start_word", "end_word", "source_doc_id"])
-
-    def wide() -> Iterator[pa.RecordBatch]:
-        """Suffixes of wide grams that wait, against each other and the levels, which hold every earlier context."""
-        wanted = np.array(sorted(hot))
-        held = [level.take(np.flatnonzero(np.isin(level.h, wanted))) for _, level in levels]
-        yield from out(_all_passages(_Suffixes.join([*waiting, *held])))
-        waiting.clear()
-
-    for s in _batched(batches):
-        array = s.sorted()
-        yield from out(_scan(s, array, hot))
-        for _, level in levels:
-            yield from out(_scan(s, level, hot))
-        size = 0
-        while levels and levels[-1][0] == size:  # levels of equal size merge
-            array = _Suffixes.join([levels.pop()[1], array]).sorted()
-            size += 1
-        levels.append((size, array))
-        if hot:
-            waiting.append(s.take(np.flatnonzero(np.isin(s.h, np.array(sorted(hot))))))
-            if sum(map(len, waiting)) > 4 * BATCH:
-                yield from wide()
-    if waiting:
-        yield from wide()
-
-
-def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[_Suffixes]:
-    held: list[pa.RecordBatch] = []
-    n = 0
+    """Records in order of (part, doc_id, start), those of earlier batches first (group: twice the part, 1 more for new ones)."""
+    part, levels = -1, Levels()
+    for group, s in _batches(batches):
+        if group >> 1 != part:
+            part, levels = group >> 1, Levels()
+        earlier, source = levels.add(s)
+        if group & 1 and earlier.any():
+            yield _united(s.doc[earlier], s.pos[earlier], source[earlier])
 
-    def make() -> _Suffixes:
-        t = pa.Table.from_batches(held).combine_chunks()
-        around = np.frombuffer(b"".join(t.column("around").to_pylist()), "<u2").reshape(-1, _WIDTH)
-        return _Suffixes(t.column("h").to_numpy(), t.column("doc_id").to_numpy(), t.column("pos").to_numpy(), around)
 
-    for batch in batches:
-        held.append(batch)
-        n += batch.num_rows
-        if n >= BATCH:
-            yield make()
-            held, n = [], 0
-    if n:
-        yield make()
+def _first_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records in the order of ``_index`` without the suffixes that stand earlier."""
+    part, levels = -1, Levels()
+    for group, s in _batches(batches):
+        if group >> 1 != part:
+            part, levels = group >> 1, Levels()
+        at = np.flatnonzero(~levels.add(s)[0])
+        if not len(at):
+            continue
+        first = np.flatnonzero(np.r_[True, (s.row[at][1:] != s.row[at][:-1]) | (at[1:] != at[:-1] + 1)])
+        offsets = (np.r_[first, len(at)] * 8).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(s.h[s.row[at[first]]]), pa.array(s.doc[at[first]]), pa.array(s.pos[at[first]].astype(np.int32)), pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(s.key[at].tobytes())])],
+            ["h", "doc_id", "start", "keys"],
+        )
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, start_word, end_word, n_words, source_doc_id) of every run of words that stands earlier; see the module."""
-    anchors = docs.select("doc_id", "text").filter("doc_id is not null and text is not null").mapInArrow(_anchors, _SCHEMA)
-    found = anchors.repartition("h").sortWithinPartitions("doc_id", "pos").mapInArrow(_index, "doc_id long, start_word int, end_word int, source_doc_id long")
+def records(docs: DataFrame) -> DataFrame:
+    """(h, doc_id, start, keys): all passages of ``docs`` by their anchors."""
+    return docs.select("doc_id", "text").filter("doc_id is not null and text is not null").mapInArrow(_records, _RECORD)
+
+
+def _together(rows: DataFrame, new: int) -> DataFrame:
+    return rows.withColumn("group", F.col("h").bitwiseAND(PARTS - 1) * 2 + new)
+
+
+def _meet(rows: DataFrame) -> DataFrame:
+    return rows.repartition("h").sortWithinPartitions("group", "doc_id", "start")
+
+
+def _runs(found: DataFrame) -> DataFrame:
     by_start = Window.partitionBy("doc_id").orderBy("start_word", "end_word")
     before = F.max("end_word").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     runs = found.withColumn("new", F.when(F.col("start_word") <= before, 0).otherwise(1)).withColumn("run", F.sum("new").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
@@ -241,6 +214,57 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     )
 
 
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """(doc_id, start_word, end_word, n_words, source_doc_id) of every run of words that stands earlier; see the module."""
+    return _runs(_meet(_together(records(docs), 1)).mapInArrow(_index, _FOUND))
+
+
+class Family:
+    """Levels of records in ``folder`` (shared by all executors), to which batches of documents are added.
+
+    The newest manifest names the levels; a batch that fails leaves it as it was. Adding batches one after the other finds
+    what adding them at once does, where no document of a later batch has a smaller doc_id.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def levels(self) -> list[tuple[int, str]]:
+        """(size, name) of each level, the largest first."""
+        number = newest(self.spark, self.folder, "manifest-")
+        if number is None:
+            return []
+        return sorted((tuple(r) for r in self.spark.read.parquet(f"{self.folder}/manifest-{number}").select("size", "name").collect()), reverse=True)
+
+    def _write(self, rows: DataFrame) -> str:
+        name = f"level-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.folder}/{name}")
+        return name
+
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.schema(_RECORD).parquet(f"{self.folder}/{name}")
+
+    def add(self, docs: DataFrame) -> DataFrame:
+        """The repeated passages of ``docs``, which become part of the family."""
+        before = self.levels()
+        new = self._write(records(docs))
+        rows = _together(self._read(new), 1)
+        for _, name in before:
+            rows = rows.unionByName(_together(self._read(name), 0))
+        found = cut(_runs(_meet(rows).mapInArrow(_index, _FOUND)))
+        held, size, gone = list(before), 0, []
+        while held and held[-1][0] == size:  # levels of equal size merge: what stands in the older one leaves the newer
+            old = held.pop()[1]
+            both = _together(self._read(old), 0).unionByName(_together(self._read(new), 1))
+            gone += [old, new]
+            new, size = self._write(_meet(both).mapInArrow(_first_only, _RECORD)), size + 1
+        number = newest(self.spark, self.folder, "manifest-")
+        self.spark.createDataFrame([*held, (size, new)], "size int, name string").coalesce(1).write.parquet(f"{self.folder}/manifest-{0 if number is None else number + 1}")
+        for name in gone:
+            remove(self.spark, f"{self.folder}/{name}")
+        return found
+
+
 #: The same of DuckDB: each word of 50-word windows that stand earlier, and runs of such words.
 ORACLE_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{C0}-\x{1FFF}\x{2080}-\x{2FFF}\x{3040}-\x{10FFFF}]+') AS w

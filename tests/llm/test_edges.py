@@ -67,6 +67,11 @@ def test_passages(odd, none):
     assert suffix_index.repeated_passages(none).count() == 0
 
 
+def test_passages_of_rows_that_repeat_a_doc_id(spark):
+    rows = [(1, PASSAGE), (1, PASSAGE), (1, "before it " + PASSAGE), (2, PASSAGE)]
+    assert {tuple(r) for r in suffix_index.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()} == {(1, 2, 82, 80, 1), (2, 0, 80, 80, 1)}
+
+
 def test_pii(odd, none):
     assert {(r.doc_id, r.kind) for r in pii.spans(odd).collect()} == {(12, "CREDIT_CARD"), (12, "EMAIL")}
     assert pii.redact(odd).count() == len(ROWS) and pii.spans(none).count() == 0 and pii.redact(none).count() == 0

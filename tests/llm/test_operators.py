@@ -232,17 +232,46 @@ def test_passages_equal_brute_force(spark):
     assert got == _passages(rows)
 
 
-@pytest.mark.parametrize(("batch", "wide"), [(1, 10**9), (7, 10**9), (64, 3), (7, 0)])
-def test_levels_and_wide_grams(monkeypatch, batch, wide):
-    """Small batches make many levels that merge; a low WIDE sends grams to the hashes of their passages."""
+@pytest.mark.parametrize("batch", [1, 7, 64, 10_000])
+def test_levels(monkeypatch, batch):
+    """Small batches make many levels that merge."""
     monkeypatch.setattr(suffix_index, "BATCH", batch)
-    monkeypatch.setattr(suffix_index, "WIDE", wide)
     rows = _passage_rows(7)
-    anchors = pa.Table.from_batches(suffix_index._anchors([pa.RecordBatch.from_pydict({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]})]))
-    anchors = anchors.sort_by([("doc_id", "ascending"), ("pos", "ascending")])
-    found = pa.Table.from_batches(suffix_index._index(b for b in anchors.to_batches(max_chunksize=5)))
+    t = pa.Table.from_batches(suffix_index._records([pa.RecordBatch.from_pydict({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]})]))
+    t = t.append_column("group", pa.array((t.column("h").to_numpy() & 3) * 2 + 1)).sort_by([("group", "ascending"), ("doc_id", "ascending"), ("start", "ascending")])
+    sizes = []
+    real = suffix_index.Levels.add
+    monkeypatch.setattr(suffix_index.Levels, "add", lambda self, s: (real(self, s), sizes.append([x[0] for x in self.held]))[0])
+    found = pa.Table.from_batches(suffix_index._index(b for b in t.to_batches(max_chunksize=5)))
     covered = {(r["doc_id"], i) for r in found.to_pylist() for i in range(r["start_word"], r["end_word"])}
     assert covered == {(d, i) for d, a, b, _, _ in _passages(rows) for i in range(a, b)}
+    assert all(x == sorted(set(x), reverse=True) for x in sizes) and (batch > 10 or max(map(max, filter(None, sizes))) > 1)
+
+
+def test_batches_of_a_family_equal_one(spark, tmp_path):
+    rows = _passage_rows(9)
+    family, got = suffix_index.Family(spark, str(tmp_path / "family")), set()
+    for a, b in ((0, 20), (20, 21), (21, 40), (40, 60), (60, 60)):
+        got |= {tuple(r) for r in family.add(spark.createDataFrame(rows[a:b], DOCS).repartition(2)).collect()}
+    assert got == _passages(rows) and [k for k, _ in family.levels()] == [2, 0]
+    assert {p.name for p in (tmp_path / "family").iterdir() if p.name.startswith("level-")} == {n for _, n in family.levels()}
+    assert family.add(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_passages_are_compared_by_whole_words(spark):
+    """Texts that share 49 words and then words whose hashes agree in 16 bits share no passage."""
+    made = [f"w{i}" for i in range(3000)]
+    w = Words(pa.array([" ".join(made)]))
+    alike: dict = {}
+    for x, h in zip(made, w.hash.tolist()):
+        alike.setdefault(h >> 48, []).append(x)
+    pairs = [v[:2] for v in alike.values() if len(v) > 1][:20]
+    assert len(pairs) == 20
+    rows = []
+    for k, (x, y) in enumerate(pairs):
+        shared = [f"p{k}x{i}" for i in range(49)]
+        rows += [(4 * k, " ".join([*shared, x])), (4 * k + 1, " ".join([*shared, y])), (4 * k + 2, " ".join([x, *shared])), (4 * k + 3, " ".join([y, *shared]))]
+    assert suffix_index.repeated_passages(spark.createDataFrame(rows, DOCS)).count() == 0
 
 
 # --- personal data --------------------------------------------------------------------------------------------------
