@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import html
 import random
 import re
+import time
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -378,7 +381,7 @@ def test_votes_equal_counting(spark):
         i = page.best()
         host = re.match(r"https?://([^/?#:]+)", p.url)[1]
         if i >= 0:
-            v = votes.setdefault(host, {}).setdefault(page.paths[i], [0, 0.0])
+            v = votes.setdefault(host, {}).setdefault(page.path(i), [0, 0.0])
             v[0] += 1
             v[1] += page.scores[i]
     want = {h: min(v, key=lambda k: (-v[k][0], -v[k][1], k)) for h, v in votes.items()}
@@ -386,6 +389,138 @@ def test_votes_equal_counting(spark):
     assert {r.host: r.path for r in html_consensus.winning_paths(pages.select("html", host.alias("host"))).collect()} == want
 
 
+class _Tree(HTMLParser):
+    """An independent reading by the standard library's parser, as a tree of [tag, step, parent, children]."""
+
+    def __init__(self, source):
+        super().__init__(convert_charrefs=False)
+        self.root = self.at = ["", "", None, []]
+        self.raw = None
+        self.feed(source)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        h = html_consensus
+        if self.raw:
+            return
+        if tag in ("noscript", "template", "svg", "iframe", "textarea", "select"):
+            self.raw = tag
+            return
+        while True:  # what the tag closes
+            x = self.at
+            while x[0] and x[0] not in h._CLOSES.get(tag, ()) and x[0] not in h._FENCES:
+                x = x[2]
+            if not x[0] or x[0] not in h._CLOSES.get(tag, ()):
+                break
+            self.at = x[2]
+            if tag != "tr":
+                break
+        names = sorted({re.sub("[0-9]+", "#", c) for c in (dict(attrs).get("class") or "").split()})
+        node = [tag, ".".join([tag, *names]), self.at, []]
+        self.at[3].append(node)
+        if tag not in h._VOID:
+            self.at = node
+
+    def handle_endtag(self, tag):
+        if self.raw:
+            self.raw = None if tag == self.raw else self.raw
+            return
+        x = self.at
+        while x[0] and x[0] != tag:
+            x = x[2]
+        if x[0]:
+            self.at = x[2]
+
+    def handle_data(self, data):
+        if not self.raw and self.at[0] not in ("script", "style"):
+            self.at[3].append(data)
+
+    def handle_entityref(self, name):
+        self.handle_data(f"&{name};")
+
+    def handle_charref(self, name):
+        self.handle_data(f"&#{name};")
+
+    def containers(self):
+        """(path, score, node) in document order."""
+        found = []
+
+        def walk(node, path, around, links, aside):
+            texts = "".join(c if isinstance(c, str) else "\0" for c in node[3]).split("\0")
+            for s in texts:
+                if s.strip() and around and not aside:
+                    n = -len(s) if links else len(s)
+                    found[around[-1]][1] += n
+                    if len(around) > 1:
+                        found[around[-2]][1] += n / 2
+            for c in node[3]:
+                if not isinstance(c, str):
+                    inner, below = [*path, c[1]], around
+                    if c[0] in html_consensus._CONTAINERS:
+                        below = [*around, len(found)]
+                        found.append([">".join(inner), 0.0, c])
+                    walk(c, inner, below, links or c[0] == "a", aside or c[0] in html_consensus._ASIDE)
+
+        walk(self.root, [], [], False, False)
+        return found
+
+    @staticmethod
+    def text(nodes):
+        out, done = [], set()
+
+        def walk(node):
+            done.add(id(node))
+            for c in node[3]:
+                if isinstance(c, str):
+                    out.append(c)
+                elif c[0] not in ("script", "style"):
+                    block = c[0] in html_consensus._BLOCKS
+                    out.append("\n" * block)
+                    if c[0] not in html_consensus._ASIDE:
+                        walk(c)
+                    out.append("\n" * block)
+
+        for node in nodes:
+            if id(node) not in done:
+                walk(node)
+            out.append("\n")
+        lines = (" ".join(x.split()) for x in html.unescape("".join(re.sub(r"\s+", " ", x) if x.strip("\n") else x for x in out)).split("\n"))
+        return "\n".join(x for x in lines if x)
+
+
+def test_html_equals_another_parser(spark):
+    """Votes and texts of all pages by a reading that shares nothing but the lists of tags."""
+    pages = table(spark, SF, "pages").collect()
+    trees = {p.page_id: _Tree(p.html) for p in pages if p.html is not None}
+    host = {p.page_id: m[1].lower() if p.url and (m := re.match(r"https?://([^/?#:]+)", p.url)) else None for p in pages}
+    votes: dict = {}
+    best = {}
+    for i, tree in trees.items():
+        boxes = tree.containers()
+        top = max(boxes, key=lambda b: b[1], default=None)
+        if top and top[1] > 0:
+            best[i] = top
+            v = votes.setdefault(host[i], {}).setdefault(top[0], [0, 0.0])
+            v[0] += 1
+            v[1] += top[1]
+    winner = {h: min(v, key=lambda k: (-v[k][0], -v[k][1], k)) for h, v in votes.items()}
+    want = {}
+    for i, tree in trees.items():
+        chosen = [b for b in tree.containers() if b[0] == winner.get(host[i])] or [best[i]] * (i in best)
+        want[i] = (chosen[0][0] if chosen else None, tree.text([b[2] for b in chosen]))
+    got = {r.page_id: (r.path, r.text) for r in queries.QUERIES["op6_html_consensus"](spark, SF).collect()}
+    assert got == want and len(want) > 100
+
+
+@pytest.mark.parametrize("source", ["<div>" * 200_000 + "x", '<a "' * 250_000, "<p><div>" + "<span>" * 80_000 + "<h1>" * 120_000, "<div>" * 100_000 + "</span>" * 70_000, "<!-" * 300_000, "<table>" + "<tr><td><b>" * 90_000, """<a "<b '<c '""" * 80_000 + ">"])
+def test_long_pages_take_time_in_proportion(source):
+    began = time.process_time()
+    page = html_consensus.Page(source)
+    if (i := page.best()) >= 0:
+        assert page.of_path(page.path(i)) == [i]
+    assert time.process_time() - began < 10  # a second or three; a page that is read again for each tag takes hours
+
+
 # --- URLs -----------------------------------------------------------------------------------------------------------
 
 
