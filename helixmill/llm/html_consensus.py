@@ -37,8 +37,11 @@ from helixmill.session import cut
 MAX_BROADCAST_BYTES = 32 << 20
 _NAME = re.compile("(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 _SIGN = re.compile("[>\"']")
+#: Characters within which most tags end.
+_NEAR = 1000
 #: Elements whose content is no markup, and what ends them.
 _RAW = re.compile("(?i)(script|style|noscript|template|svg|iframe|textarea|select)\\b")
+_RAW_FIRST = frozenset("sntiSNTI")
 _RAW_END = {t: re.compile(rf"(?i)</{t}\s*>") for t in "script style noscript template svg iframe textarea select".split()}
 _CLASS = re.compile(r"""(?i)\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -93,22 +96,26 @@ def tags(source: str) -> Iterator[tuple[int, int, bool, str, str]]:
     last = source.rfind(">")
     while (i := source.find("<", at)) >= 0:
         at = i + 1
-        if source.startswith("<!--", i):
+        if i < last and (m := _NAME.match(source, at)):
+            if source[at] in _RAW_FIRST and (raw := _RAW.match(source, at)):
+                end = _RAW_END[raw[1].lower()].search(source, source.find(">", i) + 1)
+                at = end.end() if end else len(source)
+                yield i, at, False, "", ""
+                continue
+            a = m.end()
+            j = source.find(">", a, a + _NEAR)
+            attributes = source[a:j] if j >= 0 else "'"
+            if "'" in attributes or attributes.count('"') & 1:  # else the ">" stands outside of quotes
+                j = ends.find(a)
+                attributes = source[a:j]
+            if j >= 0:
+                at = j + 1
+                yield i, at, m[1] == "/", m[2].lower(), attributes
+        elif source.startswith("<!--", i):
             j = source.find("-->", i + 4)
             at = j + 3 if j >= 0 else len(source)
             yield i, at, False, "", ""
-        elif i > last:
-            continue
-        elif m := _RAW.match(source, i + 1):
-            end = _RAW_END[m[1].lower()].search(source, source.find(">", i) + 1)
-            at = end.end() if end else len(source)
-            yield i, at, False, "", ""
-        elif m := _NAME.match(source, i + 1):
-            j = ends.find(m.end())
-            if j >= 0:
-                at = j + 1
-                yield i, at, bool(m[1]), m[2].lower(), source[m.end() : j]
-        elif source.startswith(("<!", "<?"), i):
+        elif i < last and source.startswith(("<!", "<?"), i):
             at = source.find(">", i) + 1
             yield i, at, False, "", ""
 
