@@ -1,22 +1,27 @@
 """Line deduplication by a deletion-neighbourhood join.
 
 A line is compared in its normal form: lower-cased, white space collapsed and trimmed. Lines of fewer than ``least_chars``
-characters of it (by default ``MIN_CHARS``, as in the SQL; 1 for all that aren't empty) are never duplicates, and of
-those of fewer than ``MIN_CHARS`` only equal ones are: one edit makes another word of a short line. A longer line is a duplicate if an earlier one (smaller doc_id, or the same and a
-smaller line number) has the same normal form or is one edit away: one character inserted, deleted or replaced.
-``kept_doc_id`` and ``kept_line`` are the earliest such line, whether or not that is itself a duplicate of another.
-
-Equal lines meet by hash. Of the distinct ones, two that are one edit apart share their first or their last half: the
-half of the shorter. So each line has the hashes of either half, for the lengths it can be matched at, as keys. Lines
-that share a key go out under it with their other part. Among these, each emits the hashes of all variants of its other
-part with one character deleted, and of the part itself; equal variants join, and the two texts are then compared for
-their edit distance. Only lines that share half their text make variants, and variants never leave their task.
-
-Defined results. Null texts and rows of null doc_id have no lines here. Rows that repeat a doc_id are told apart by
-nothing, so lines of the same doc_id and number count as one. Empty texts have one empty line, which is too short.
-Lines of any length are compared whole. Other columns are carried along by ``without_duplicate_lines``, which removes
-duplicate lines from texts and drops the documents of which no line is left; nulls and documents without duplicates stay
-as they are.
+characters of it (by default ``LEAST_CHARS``: all that aren't empty count) are never duplicates, and of those of fewer than
+``EDIT_CHARS`` only equal ones are: one edit makes another word of a short line. A longer line is a duplicate if an
+earlier one (smaller doc_id, or the same and a smaller line number) has the same normal form or is one edit away: one
+character inserted, deleted or replaced. ``kept_doc_id`` and ``kept_line`` are the earliest such line, whether or not that
+is itself a duplicate of another.
+
+Equal lines meet by hash: an aggregation, combined where lines are read, finds the earliest of each, so that a line that
+stands in every document is no more work for one task than another; the numbers of lines that repeat then join it. Of the
+distinct ones, two that are one edit apart share their first or their last half: the half of the shorter. So each line has
+the hashes of either half, for the lengths it can be matched at, as keys. Lines that share a key go out under it with their
+other part. Among these, each emits the hashes of all variants of its other part with one character deleted, and of the
+part itself; equal variants join, and the two texts are then compared for their edit distance. Only lines that share half
+their text make variants, and variants never leave their task.
+
+Defined results. Null texts and rows of null doc_id have no lines here. Rows that repeat a doc_id with other texts are told
+apart: of equal lines in them the earliest is that of the row of the smaller hash of its text, and
+``without_duplicate_lines`` takes lines out of the row they stand in. Rows that repeat doc_id and text are one row:
+``duplicate_lines`` counts their lines once, ``without_duplicate_lines`` keeps one of them. Empty texts have one empty line,
+which is too short. Lines of any length are compared whole. Other columns, whatever their names, are carried along by
+``without_duplicate_lines``, which removes duplicate lines from texts and drops the documents of which no line is left;
+nulls and documents without duplicates stay as they are.
 """
 
 from __future__ import annotations
@@ -29,9 +34,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixmill.llm._text import _PINV, _TABLE, _power, mix
+from helixmill.llm._rows import text_hash, unused, without_repeats
+from helixmill.llm._text import _PINV, _power, mix
+from helixmill.session import cut
 
-MIN_CHARS = 24
+#: Characters of the shortest line that can be a duplicate, and of the shortest that one edit makes one: below, an edit is
+#: more than a twelfth of the line, and "she is" is no "she it".
+LEAST_CHARS, EDIT_CHARS = 1, 12
 
 
 def normal(line: Column) -> Column:
@@ -115,7 +124,7 @@ def _join(t: pa.Table) -> Iterator[pa.RecordBatch]:
 
 def _join_groups(t: pa.Table) -> Iterator[pa.RecordBatch]:
     key, long = t.column("key").to_numpy().view(np.uint64), t.column("longer").to_numpy(zero_copy_only=False).astype(bool)
-    doc, line = t.column("doc_id").to_numpy(), t.column("line").to_numpy()
+    doc, th, line = t.column("doc_id").to_numpy(), t.column("th").to_numpy(), t.column("line").to_numpy()
     rests = t.column("rest").combine_chunks()
     texts = rests.to_pylist()
     whole, cut, owner, pos = _variants(*_codes(rests))
@@ -130,11 +139,11 @@ def _join_groups(t: pa.Table) -> Iterator[pa.RecordBatch]:
     new = np.r_[True, k[1:] != k[:-1]]
     runs = np.flatnonzero(np.r_[new, True])
     multi = np.flatnonzero(np.diff(runs) > 1)
-    found: dict[tuple[int, int], tuple[int, int]] = {}
+    found: dict[tuple[int, int, int], tuple[int, int, int]] = {}
 
     def note(i: int, j: int) -> None:
         """Of lines i and j, the later is a duplicate of the earlier."""
-        x, y = (int(doc[i]), int(line[i])), (int(doc[j]), int(line[j]))
+        x, y = (int(doc[i]), int(th[i]), int(line[i])), (int(doc[j]), int(th[j]), int(line[j]))
         if x == y or not _one_edit(texts[i], texts[j]):
             return
         if x < y:
@@ -146,38 +155,41 @@ def _join_groups(t: pa.Table) -> Iterator[pa.RecordBatch]:
         run = order[runs[r] : runs[r + 1]]
         members, kinds = who[run], kind[run]
         if kinds[0] == 0:
-            first = min(members, key=lambda i: (doc[i], line[i]))
+            first = min(members, key=lambda i: (doc[i], th[i], line[i]))
             for i in members:
                 note(int(i), int(first))
         else:
             shorter, longer = members[kinds == 1], np.unique(members[kinds == 2])
             if len(shorter) and len(longer):
-                first = min(longer, key=lambda i: (doc[i], line[i]))
+                first = min(longer, key=lambda i: (doc[i], th[i], line[i]))
                 for i in shorter:
                     note(int(i), int(first))
                     for j in longer:
                         note(int(i), int(j))
     if found:
         rows = [(*x, *y) for x, y in found.items()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int32()))], ["doc_id", "line", "near_doc_id", "near_line"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32()) * 2)], ["doc_id", "th", "line", "near_doc_id", "near_th", "near_line"])
 
 
-def duplicate_lines(docs: DataFrame, least_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, line, kept_doc_id, kept_line) of every duplicate line of ``least_chars`` or more; lines count from 0."""
+_ID = ("doc_id", "th", "line")
+
+
+def _duplicates(docs: DataFrame, least_chars: int) -> DataFrame:
+    """(doc_id, th, line, kept) of every duplicate line; th is the hash of its row's text, kept (doc_id, th, line)."""
     lines = (
         docs.select("doc_id", "text")
         .filter("doc_id is not null and text is not null")
-        .select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
-        .select("doc_id", "line", normal(F.col("raw")).alias("s"))
+        .select("doc_id", text_hash().alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
+        .select(*_ID, normal(F.col("raw")).alias("s"))
         .filter(F.length("s") >= max(1, least_chars))
         .withColumns({"h": F.xxhash64("s"), "g": F.xxhash64(F.lit("again"), "s")})
-        .repartition("h")
     )
-    # the one exchange that holds text: all that follows reads it again, or moves hashes and numbers
-    same = Window.partitionBy("h", "g").orderBy("doc_id", "line")
-    marked = lines.withColumns({"first": F.first(F.struct("doc_id", "line")).over(same), "k": F.row_number().over(same)})
-    # (octet_length keeps this branch's exchange equal to the others')
-    twins = marked.filter("k > 1 and octet_length(s) > 0 and (doc_id <> first.doc_id or line <> first.line)").select("doc_id", "line", "first")
+    # the one exchange that holds text, of each line once for each task that reads it; all that follows reads it again, or
+    # moves hashes and numbers (k > 0 in each branch, so that the exchange is the same)
+    firsts = lines.groupBy("h", "g").agg(F.min(F.struct(*_ID, "s")).alias("f"), F.count(F.lit(1)).alias("k"))
+    often = cut(firsts.filter("k > 1 and octet_length(f.s) > 0").select("h", "g", F.struct(*(f"f.{c}" for c in _ID)).alias("first")))
+    twins = lines.select("h", "g", F.struct(*_ID).alias("id")).join(often, ["h", "g"]).filter("id <> first").select("id", "first").distinct()
+    distinct = firsts.filter("k > 0").select("h", "g", *(f"f.{c}" for c in (*_ID, "s"))).filter(F.length("s") >= EDIT_CHARS)
     n = F.length("s")
 
     def keyed(longer: bool, back: bool, with_rest: bool) -> Column:
@@ -189,43 +201,48 @@ def duplicate_lines(docs: DataFrame, least_chars: int = MIN_CHARS) -> DataFrame:
 
     def under(rows: DataFrame, with_rest: bool) -> DataFrame:
         keys = F.array(*(keyed(x, y, with_rest) for x in (False, True) for y in (False, True)))
-        return rows.select(*(c for c in rows.columns if c not in ("s", "g", "k", "first")), F.explode(keys).alias("e")).select("*", "e.*").drop("e")
+        return rows.select(*(c for c in rows.columns if c != "s"), F.explode(keys).alias("e")).select("*", "e.*").drop("e")
 
     # keys under which two distinct lines stand, one of them as the shorter or equal; and the lines that have such a key
     by_key = Window.partitionBy("key")
     shared = (
-        under(marked.filter("k = 1" if least_chars >= MIN_CHARS else f"k = 1 and length(s) >= {MIN_CHARS}").select("h", "s"), False)
+        under(distinct.select("h", "g", "s"), False)
         .withColumns({"n": F.count(F.lit(1)).over(by_key), "short": F.min("longer").over(by_key)})
         .filter("n > 1 and not short")
-        .groupBy("h")
+        .groupBy("h", "g")
         .agg(F.collect_set("key").alias("keys"))
     )
-    picked = lines.join(shared.hint("shuffle_hash"), "h")
-    picked = picked.withColumn("k", F.row_number().over(same)).filter("k = 1")
     near = (
-        under(picked.select("doc_id", "line", "s", "keys"), True)
+        under(distinct.join(shared.hint("shuffle_hash"), ["h", "g"]).select(*_ID, "s", "keys"), True)
         .filter(F.array_contains("keys", F.col("key")))
-        .select("doc_id", "line", "key", "longer", "rest")
+        .select(*_ID, "key", "longer", "rest")
         .repartition("key")
         .sortWithinPartitions("key")
-        .mapInArrow(_neighbours, "doc_id long, line int, near_doc_id long, near_line int")
+        .mapInArrow(_neighbours, "doc_id long, th long, line int, near_doc_id long, near_th long, near_line int")
     )
-    near = near.groupBy("doc_id", "line").agg(F.min(F.struct(F.col("near_doc_id").alias("doc_id"), F.col("near_line").alias("line"))).alias("near"))
-    through = twins.join(near.select(F.struct("doc_id", "line").alias("first"), "near"), "first", "left").select("doc_id", "line", F.coalesce("near", "first").alias("kept"))
-    return through.union(near.select("doc_id", "line", F.col("near").alias("kept"))).select("doc_id", "line", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line").alias("kept_line"))
+    near = near.groupBy(F.struct(*_ID).alias("id")).agg(F.min(F.struct(F.col("near_doc_id").alias("doc_id"), F.col("near_th").alias("th"), F.col("near_line").alias("line"))).alias("near"))
+    through = twins.join(near.withColumnRenamed("id", "first"), "first", "left").select("id", F.coalesce("near", "first").alias("kept"))
+    return through.union(near.select("id", F.col("near").alias("kept"))).select("id.*", "kept")
+
+
+def duplicate_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """(doc_id, line, kept_doc_id, kept_line) of every duplicate line of ``least_chars`` or more; lines count from 0."""
+    return _duplicates(docs, least_chars).select("doc_id", "line", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line").alias("kept_line"))
 
 
-def without_duplicate_lines(docs: DataFrame, least_chars: int = MIN_CHARS) -> DataFrame:
+def without_duplicate_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     """``docs`` with the duplicate lines taken out of text (and n_chars, if there is one, counted again)."""
-    dropped = duplicate_lines(docs, least_chars).groupBy("doc_id").agg(F.collect_set("line").alias("__dropped"))
-    out = docs.join(dropped.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left").drop("__id")
-    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__dropped", i))
-    touched = F.col("__dropped").isNotNull() & F.col("text").isNotNull()
-    out = out.withColumn("__kept", F.when(touched, kept)).filter("__kept is null or size(__kept) > 0")
-    names = docs.columns
-    text = F.when(F.col("__kept").isNotNull(), F.array_join("__kept", "\n")).otherwise(F.col("text"))
-    columns = {"text": text} | ({"n_chars": F.when(F.col("__kept").isNotNull(), F.length(F.array_join("__kept", "\n")).cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))} if "n_chars" in names else {})
-    return out.select(*(columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in names))
+    docs = without_repeats(docs)
+    d, h, gone, kept = unused(docs, "d", "h", "gone", "kept")
+    dropped = _duplicates(docs, least_chars).groupBy(F.col("doc_id").alias(d), F.col("th").alias(h)).agg(F.collect_set("line").alias(gone))
+    out = docs.join(dropped, (F.col("doc_id") == F.col(d)) & (text_hash() == F.col(h)), "left")
+    left = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(gone, i))
+    out = out.withColumn(kept, F.when(F.col(gone).isNotNull() & F.col("text").isNotNull(), left)).filter(F.col(kept).isNull() | (F.size(kept) > 0))
+    text = F.array_join(kept, "\n")
+    columns = {"text": F.when(F.col(kept).isNull(), F.col("text")).otherwise(text)}
+    if "n_chars" in docs.columns:
+        columns["n_chars"] = F.when(F.col(kept).isNull(), F.col("n_chars")).otherwise(F.length(text).cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(*(columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in docs.columns))
 
 
 #: The same in DuckDB: lines one edit apart share a half, and a deletion variant of one position or of the longer.
@@ -233,11 +250,12 @@ ORACLE_SQL = r"""
 WITH raw AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 num AS (SELECT doc_id, CAST(unnest(range(0, len(a))) AS INTEGER) AS line, a FROM raw),
 l AS (SELECT doc_id, line, lower(trim(regexp_replace(a[line + 1], '[ \t\n\r\f\x0B]+', ' ', 'g'))) AS s FROM num),
-f AS (SELECT s, length(s) AS n, min(struct_pack(doc_id := doc_id, line := line)) AS id FROM l WHERE length(s) >= 24 GROUP BY s),
-c AS (SELECT a.s AS x, b.s AS y, a.id AS i, b.id AS j FROM f a JOIN f b ON b.n = a.n AND a.s < b.s AND left(a.s, a.n // 2) = left(b.s, a.n // 2)
-      UNION SELECT a.s, b.s, a.id, b.id FROM f a JOIN f b ON b.n = a.n AND a.s < b.s AND right(a.s, a.n // 2) = right(b.s, a.n // 2)
-      UNION SELECT a.s, b.s, a.id, b.id FROM f a JOIN f b ON b.n = a.n + 1 AND left(a.s, a.n // 2) = left(b.s, a.n // 2)
-      UNION SELECT a.s, b.s, a.id, b.id FROM f a JOIN f b ON b.n = a.n + 1 AND right(a.s, a.n // 2) = right(b.s, a.n // 2)),
+f AS (SELECT s, length(s) AS n, min(struct_pack(doc_id := doc_id, line := line)) AS id FROM l WHERE length(s) >= 1 GROUP BY s),
+w AS (SELECT * FROM f WHERE n >= 12),
+c AS (SELECT a.s AS x, b.s AS y, a.id AS i, b.id AS j FROM w a JOIN w b ON b.n = a.n AND a.s < b.s AND left(a.s, a.n // 2) = left(b.s, a.n // 2)
+      UNION SELECT a.s, b.s, a.id, b.id FROM w a JOIN w b ON b.n = a.n AND a.s < b.s AND right(a.s, a.n // 2) = right(b.s, a.n // 2)
+      UNION SELECT a.s, b.s, a.id, b.id FROM w a JOIN w b ON b.n = a.n + 1 AND left(a.s, a.n // 2) = left(b.s, a.n // 2)
+      UNION SELECT a.s, b.s, a.id, b.id FROM w a JOIN w b ON b.n = a.n + 1 AND right(a.s, a.n // 2) = right(b.s, a.n // 2)),
 v AS (SELECT i, j FROM (SELECT *, unnest(range(1, length(y) + 1)) AS p FROM c)
       WHERE (length(x) = length(y) AND left(x, p - 1) || substr(x, p + 1) = left(y, p - 1) || substr(y, p + 1))
          OR (length(x) < length(y) AND x = left(y, p - 1) || substr(y, p + 1))),

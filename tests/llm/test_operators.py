@@ -145,10 +145,10 @@ def _distance(a: str, b: str) -> int:
 
 def _line_duplicates(rows):
     lines = [(d, k, " ".join(x.split()).lower()) for d, t in rows if d is not None and t is not None for k, x in enumerate(t.split("\n"))]
-    lines = sorted((d, k, s) for d, k, s in lines if len(s) >= line_dedup.MIN_CHARS)
+    lines = sorted((d, k, s) for d, k, s in lines if s)
     out = set()
     for i, (d, k, s) in enumerate(lines):
-        near = [(e, m) for e, m, t in lines[:i] if abs(len(s) - len(t)) < 2 and _distance(s, t) <= 1]
+        near = [(e, m) for e, m, t in lines[:i] if s == t or (min(len(s), len(t)) >= 12 and abs(len(s) - len(t)) < 2 and _distance(s, t) <= 1)]
         if near:
             out.add((d, k, *min(near)))
     return out
@@ -156,7 +156,7 @@ def _line_duplicates(rows):
 
 def test_lines_equal_brute_force(spark):
     rng = random.Random(11)
-    base = ["the quick brown fox jumps over it", "a line that has thirty one letters", "éàü ñandú çedilla straße und mehr", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa"]
+    base = ["the quick brown fox jumps over it", "a line that has thirty one letters", "éàü ñandú çedilla straße und mehr", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "twelve chars", "eleven char"]
     rows = []
     for d in range(60):
         lines = []
@@ -175,10 +175,10 @@ def test_short_lines_that_are_equal(spark):
     long = "a line that has thirty one letters"
     rows = [(1, f"Share\n\n{long}\nyes"), (2, "  SHARE \n\n" + long[:-1] + "\nyet"), (3, "share\nYes\nshares\n" + long)]
     df = spark.createDataFrame(rows, DOCS).repartition(3)
-    got = {tuple(r) for r in line_dedup.duplicate_lines(df, 1).collect()}
-    assert got == {(2, 0, 1, 0), (3, 0, 1, 0), (3, 1, 1, 3), (2, 2, 1, 2), (3, 3, 1, 2)}
-    assert {tuple(r) for r in line_dedup.duplicate_lines(df).collect()} == {(2, 2, 1, 2), (3, 3, 1, 2)}
-    assert {tuple(r) for r in line_dedup.without_duplicate_lines(df, 1).collect()} == {rows[0], (2, "\nyet"), (3, "shares")}
+    got = {tuple(r) for r in line_dedup.duplicate_lines(df).collect()}
+    assert got == {(2, 0, 1, 0), (3, 0, 1, 0), (3, 1, 1, 3), (2, 2, 1, 2), (3, 3, 1, 2)} == _line_duplicates(rows)
+    assert {tuple(r) for r in line_dedup.duplicate_lines(df, 24).collect()} == {(2, 2, 1, 2), (3, 3, 1, 2)}
+    assert {tuple(r) for r in line_dedup.without_duplicate_lines(df).collect()} == {rows[0], (2, "\nyet"), (3, "shares")}
 
 
 def test_lines_are_cut_out(spark):
