@@ -6,11 +6,12 @@ by word; a document and an item match when the longest shared span has ``MIN_SPA
 
 The benchmark's fingerprints and words go to every task while they take no more than ``MAX_BROADCAST_BYTES``, which is
 counted first; the documents are then read once and never shuffled. A larger benchmark is joined by shuffling
-fingerprints, with the same result.
+fingerprints, and the texts of the documents and items that have one in common, with the same result.
 
 Defined results. Null texts and rows of null id match nothing; an item of fewer than ``MIN_SPAN`` words is too short to
-be recognised. Rows that repeat a doc_id (or item_id) are one document (item), whose longest span counts; of spans of
-one length the first in the document, then in the item. Texts are searched whole. Other columns are ignored. Against an
+be recognised. Rows that repeat a doc_id (or item_id) are one document (item) to ``contaminated``: the longest span of any
+of its rows counts, of spans of one length the first in the document, then in the item; ``without_contaminated`` judges each
+row by its own text. Texts are searched whole. Other columns are ignored. Against an
 empty benchmark nothing matches.
 """
 
@@ -24,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixmill.llm._rows import text_hash, without_rows
 from helixmill.llm._text import Words, chunks, grams, winnow
 
 GRAM = 6
@@ -104,24 +106,25 @@ def _search(shared):
     return run
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in chunks(batch, "text"):
-            w, at, h = _prints(part.column("text"))
-            ids = part.column("id").to_numpy()[w.doc[at]]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids)], ["h", "id"])
+def _fingerprints(ids: tuple[str, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                w, at, h = _prints(part.column("text"))
+                rows = pa.array(w.doc[at])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *(part.column(c).take(rows) for c in ids)], ["h", *ids])
+
+    return run
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents with the items that they share a fingerprint with."""
     for batch in batches:
         rows = []
-        for doc_id, text, item_id, item in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "item_id", "item_text"))):
-            items = _Items([item_id], [item])
-            w, at, h = _prints(pa.array([text], pa.string()))
-            hits = [(int(at[k]), int(f)) for k in range(len(h)) for f in range(np.searchsorted(items.h, h[k], "left"), np.searchsorted(items.h, h[k], "right"))]
-            rows += [(doc_id, *m) for m in items.matches(w.hash, hits)]
+        for doc_id, th, text, items in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "text", "items"))):
+            rows += [(doc_id, th, *m) for m in _matches(_Items([i["item_id"] for i in items], [i["text"] for i in items]), pa.array([text], pa.string()))[0]]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["doc_id", "item_id", "span_words", "doc_start", "item_start"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["doc_id", "th", "item_id", "span_words", "doc_start", "item_start"])
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -137,32 +140,37 @@ def _shared(items: DataFrame, most: int):
     return items.sparkSession.sparkContext.broadcast(_Items([r[0] for r in rows], [r[1] for r in rows]))
 
 
+def _found_by_shuffle(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Matches with th, the hash of the row's text: fingerprints meet by a shuffle, then each document that has some meets
+    its items' texts at once."""
+    rows = docs.select("doc_id", text_hash().alias("th"), "text")
+    prints = rows.mapInArrow(_fingerprints(("doc_id", "th")), "h long, doc_id long, th long")
+    tests = items.mapInArrow(_fingerprints(("item_id",)), "h long, item_id long").distinct()
+    pairs = prints.join(tests, "h").select("doc_id", "th", "item_id").distinct()
+    of_doc = pairs.join(items, "item_id").groupBy("doc_id", "th").agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
+    return of_doc.join(rows, ["doc_id", "th"]).select("doc_id", "th", "text", "items").mapInArrow(_verify, _MATCH.replace("doc_id long,", "doc_id long, th long,"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """(doc_id, item_id, span_words, doc_start, item_start) of each document and item that share a long span."""
     docs = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
     items = _items(benchmark)
     shared = _shared(items, max_broadcast_bytes)
-    if shared is not None:
-        found = docs.mapInArrow(_search(shared), _MATCH)
-    else:
-        prints = docs.select(F.col("doc_id").alias("id"), "text").mapInArrow(_fingerprints, "h long, id long").withColumnRenamed("id", "doc_id")
-        tests = items.select(F.col("item_id").alias("id"), "text").mapInArrow(_fingerprints, "h long, id long").withColumnRenamed("id", "item_id")
-        pairs = prints.join(tests.distinct(), "h").select("doc_id", "item_id").distinct()
-        found = pairs.join(items.withColumnRenamed("text", "item_text"), "item_id").join(docs, "doc_id").select("doc_id", "text", "item_id", "item_text").mapInArrow(_verify, _MATCH)
+    found = docs.mapInArrow(_search(shared), _MATCH) if shared is not None else _found_by_shuffle(docs, items)
     best = F.max(F.struct("span_words", (-F.col("doc_start")).alias("d"), (-F.col("item_start")).alias("i")))
     return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.span_words", (-F.col("b.d")).alias("doc_start"), (-F.col("b.i")).alias("item_start"))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """``docs`` without the documents that share a long span with the benchmark; rows of null doc_id or text stay.
+    """``docs`` without the rows that share a long span with the benchmark; rows of null doc_id or text stay.
 
     While the benchmark goes to every task, rows are judged where they are read and no document is shuffled.
     """
     items = _items(benchmark)
     shared = _shared(items, max_broadcast_bytes)
     if shared is None:
-        hit = contaminated(docs, benchmark, max_broadcast_bytes).select(F.col("doc_id").alias("__id")).distinct()
-        return docs.join(hit, F.col("doc_id") == F.col("__id"), "left_anti")
+        known = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
+        return without_rows(docs, _found_by_shuffle(known, items).select("doc_id", F.col("th").alias("h")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
