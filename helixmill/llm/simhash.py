@@ -1,14 +1,19 @@
 """SimHash near-duplicates by bit-sliced comparison.
 
 Each document gets a 256-bit SimHash of its distinct lower-cased words, weighted by their length (long words say more
-than "of" and "the"). Documents of equal fingerprint collapse to one. Candidates share some sampled bits in one of
-at most ``MAX_TABLES`` tables, so many that a pair ``radius`` bits apart is found with a chance of ``RECALL``; a bucket's fingerprints stand vertically as bit planes, 64 to a machine word, and each is compared
-with 64 others at a time: exclusive-or with a plane, added into carry-save bitwise counters, a block being abandoned once
-all its lanes exceed ``radius``. Buckets send spanning forests only, so a group of n copies costs n edges. Groups are the
-connected components of pairs within the radius.
-
-Defined results. A null or wordless text is in no group, nor is a row of null doc_id. Rows of one doc_id are one
-document. Very long texts are hashed whole. Other columns are ignored. An empty table has no groups.
+than "of" and "the"). Documents of equal fingerprint collapse to one. Candidates share some sampled bits in one of many
+tables. The number of bits grows with the logarithm of the number of documents, so that about ``BUCKET`` unrelated ones
+share a table with one, and the number of tables follows from the bits: as many as it takes for a pair ``radius`` bits apart
+to be found with a chance of ``RECALL``. A bucket's fingerprints stand vertically as bit planes, 64 to a machine word, and
+each is compared with 64 others at a time: exclusive-or with a plane, added into carry-save bitwise counters, a block being
+abandoned once all its lanes exceed ``radius``. Buckets send spanning forests only, so a group of n copies costs n edges.
+Groups are the connected components of pairs within the radius.
+
+Defined results. A null or wordless text is in no group, nor is a row of null doc_id. Every row is a document of its own,
+also where a doc_id repeats: rows of one doc_id with unlike texts are in groups of their own, those that repeat doc_id and
+text are copies of each other, and ``without_near_duplicates`` keeps one. The first of a group is that of the least doc_id,
+then of the least hash of its text. Very long texts are hashed whole. Other columns, whatever their names, are ignored, or
+kept by ``without_near_duplicates``. An empty table has no groups.
 """
 
 from __future__ import annotations
@@ -22,28 +27,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixmill.llm._rows import text_hash, without_repeats, without_rows
 from helixmill.llm._text import Words, chunks, mix
 from helixmill.session import cut
 
 BITS = 256
 #: Bits that may differ: one word in eight or so. Unrelated texts of one language differ in about 107 of 256 (sd 8).
 RADIUS = 50
-#: Chance that a pair at the radius shares a table, at least; and the most tables.
-RECALL, MAX_TABLES = 0.91, 96
+#: Chance that a pair at the radius shares a table, at least; fingerprints of unrelated texts in a bucket, about; share of
+#: the bits in which such texts agree.
+RECALL, BUCKET, AGREE = 0.91, 512, 0.58
+#: Bits of a table at least: with fewer, pairs well within the radius would be found hardly more often than those at it.
+LEAST_BITS = 12
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Pairs of a fingerprint and a block that are compared at once.
 STEP = 1 << 16
 
 
 @lru_cache
-def tables(radius: int) -> np.ndarray:
-    """Positions of the bits that each table samples: as many bits as ``MAX_TABLES`` tables allow, as few tables as they need."""
-    for bits in range(24, 0, -1):
-        share = math.comb(BITS - radius, bits) / math.comb(BITS, bits)
-        n = 1 if share >= RECALL else math.ceil(math.log(1 - RECALL) / math.log(1 - share)) if share else MAX_TABLES + 1
-        if n <= MAX_TABLES:
-            return np.stack([np.random.Generator(np.random.PCG64(77 + t)).choice(BITS, bits, replace=False) for t in range(n)])
-    raise ValueError(f"radius {radius} of {BITS} bits is more than {MAX_TABLES} tables can search")
+def tables(radius: int, n: int) -> np.ndarray:
+    """Positions of the bits that each table samples for ``n`` fingerprints."""
+    bits = max(LEAST_BITS, math.ceil(math.log(max(n, BUCKET) / BUCKET) / -math.log(AGREE)))
+    share = math.comb(BITS - radius, bits) / math.comb(BITS, bits)
+    many = 1 if share >= RECALL else math.ceil(math.log(1 - RECALL) / math.log(1 - share))
+    return np.stack([np.random.Generator(np.random.PCG64(77 + t)).choice(BITS, bits, replace=False) for t in range(many)])
 
 
 def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -77,16 +84,17 @@ def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for part in chunks(batch, "text"):
             fp, count = fingerprints(part.column("text"))
             keep = np.flatnonzero(count > 0)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(keep)), pa.array([fp[i].tobytes() for i in keep], pa.binary())], ["doc_id", "fp"])
+            at = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), part.column("h").take(at), pa.array([fp[i].tobytes() for i in keep], pa.binary())], ["doc_id", "h", "fp"])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BITS // 8)
 
 
-def _band_batches(radius: int):
+def _band_batches(radius: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        positions = tables(radius)
+        positions = tables(radius, n)
         power = (1 << np.arange(positions.shape[1], dtype=np.int64)).astype(np.float64)
         for batch in batches:
             for a in range(0, batch.num_rows, 2000):
@@ -204,22 +212,19 @@ def _forest(i: np.ndarray, j: np.ndarray, label: np.ndarray) -> None:
 
 def _buckets(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: pa.Table | None = None
+        held: list[pa.RecordBatch] = []  # of the last key so far
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            if kept is not None and kept.num_rows:
-                t = pa.concat_tables([kept, t])
-            key = t.column("key").to_numpy()
-            if not len(key):
+            if not batch.num_rows:
                 continue
-            if key[0] == key[-1]:
-                kept = t
+            key = batch.column("key").to_numpy()
+            if held and held[-1].column("key")[0].as_py() == key[-1]:
+                held.append(batch)
                 continue
             cutoff = int(np.searchsorted(key, key[-1]))
-            kept = t.slice(cutoff)
-            yield from _compare(t.slice(0, cutoff), radius)
-        if kept is not None:
-            yield from _compare(kept, radius)
+            yield from _compare(pa.Table.from_batches([*held, batch.slice(0, cutoff)]), radius)
+            held = [batch.slice(cutoff)]
+        if held:
+            yield from _compare(pa.Table.from_batches(held), radius)
 
     return run
 
@@ -270,19 +275,25 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _groups(docs: DataFrame, radius: int) -> DataFrame:
+    """(doc_id, h, group_id, kept): h is the hash of the row's text."""
+    rows = docs.filter("doc_id is not null and text is not null").select("doc_id", text_hash().alias("h"), "text")
+    prints = cut(rows.mapInArrow(_hash_batches, "doc_id long, h long, fp binary").withColumn("row", F.monotonically_increasing_id()))
+    reps = prints.groupBy("fp").agg(F.min("row").alias("rep"))
+    bands = reps.select("rep", "fp").mapInArrow(_band_batches(radius, prints.count()), "key long, rep long, fp binary")
+    edges = bands.repartition("key").sortWithinPartitions("key").mapInArrow(_buckets(radius), "a long, b long")
+    same = prints.join(reps, "fp").filter("row > rep").select(F.col("row").alias("a"), F.col("rep").alias("b"))
+    members = components(edges.union(same)).join(prints.select("row", "doc_id", "h"), F.col("id") == F.col("row"))
+    first = members.groupBy("root").agg(F.min(F.struct("doc_id", "h", "row")).alias("first"))
+    return members.join(first, "root").select("doc_id", "h", F.col("first.doc_id").alias("group_id"), (F.col("row") == F.col("first.row")).alias("kept"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, group_id, kept): every document of a group of two or more; the one of least doc_id is its group_id and is kept."""
-    prints = docs.select("doc_id", "text").filter("doc_id is not null and text is not null").mapInArrow(_hash_batches, "doc_id long, fp binary")
-    prints = cut(prints)
-    reps = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    bands = reps.select("rep", "fp").mapInArrow(_band_batches(radius), "key long, rep long, fp binary")
-    edges = bands.repartition("key").sortWithinPartitions("key").mapInArrow(_buckets(radius), "a long, b long")
-    same = prints.join(reps, "fp").filter("doc_id > rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    roots = components(edges.union(same))
-    return roots.select(F.col("id").alias("doc_id"), F.col("root").alias("group_id"), (F.col("id") == F.col("root")).alias("kept"))
+    return _groups(docs, radius).drop("h")
 
 
 def without_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one document of each group; rows of null doc_id or text stay."""
-    gone = near_duplicates(docs, radius).filter("not kept").select(F.col("doc_id").alias("__id"))
-    return docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+    docs = without_repeats(docs)
+    return without_rows(docs, _groups(docs, radius).filter("not kept"))

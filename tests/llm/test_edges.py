@@ -53,6 +53,42 @@ def test_simhash(odd, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.without_near_duplicates(none).count() == 0
 
 
+#: Names that joins made, or might make; and others that only differ in letter case.
+INNER = ("__id", "__dropped", "__kept", "__host", "d", "gone", "row", "_d", "_h", "th", "group", "copies", "win", "_k")
+
+
+@pytest.fixture(scope="module")
+def repeats(spark):
+    """A doc_id whose rows differ, and one whose rows are the same."""
+    other = PASSAGE.replace("passage", "quite another text of")
+    rows = [(1, PASSAGE), (2, PASSAGE), (2, other), (3, other + " more"), (4, "so it is\nnobody else's words, in a line of their own"), (4, "so it is\nnobody else's words, in a line of their own"), (4, PASSAGE.upper() + " end"), (None, other), (5, None), (5, None)]
+    return spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in (*CLASHING, *INNER)}).repartition(3), other
+
+
+def test_simhash_keeps_rows_that_share_only_a_doc_id(repeats):
+    docs, other = repeats
+    left = simhash.without_near_duplicates(docs)
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == sorted([(1, PASSAGE), (2, other), (4, "so it is\nnobody else's words, in a line of their own"), (0, other), (5, ""), (5, "")])
+    groups = sorted((r.doc_id, r.group_id, r.kept) for r in simhash.near_duplicates(docs).collect())
+    assert groups == [(1, 1, True), (2, 1, False), (2, 2, True), (3, 2, False), (4, 1, False), (4, 4, False), (4, 4, True)]
+
+
+def test_lines_of_rows_that_share_only_a_doc_id(repeats):
+    docs, other = repeats
+    left = line_dedup.without_duplicate_lines(docs)
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == sorted([(1, PASSAGE), (2, other), (3, other + " more"), (4, "so it is\nnobody else's words, in a line of their own"), (4, PASSAGE.upper() + " end"), (0, other), (5, ""), (5, "")])
+
+
+@pytest.mark.parametrize("most", [decontaminate.MAX_BROADCAST_BYTES, 0])
+def test_decontamination_of_rows_that_share_only_a_doc_id(spark, repeats, most):
+    docs, other = repeats
+    left = decontaminate.without_contaminated(docs, bench(spark, [(1, PASSAGE)]), most)
+    assert left.columns == docs.columns and {r.doc_id for r in left.filter("contains(text, 'quite another')").collect()} == {2, 3, None}
+    assert left.filter("contains(lower(text), 'passage')").count() == 0 and left.count() == 7
+
+
 def test_lines(odd, none):
     got = {tuple(r) for r in line_dedup.duplicate_lines(odd).collect()}
     assert got == {(2, 0, 1, 0), (2, 1, 1, 1), (6, 0, 5, 0)}

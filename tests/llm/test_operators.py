@@ -100,22 +100,30 @@ def test_simhash_recall_and_groups(spark):
     assert all(top(d) == top(g) for d, g in group.items())
 
 
-@pytest.mark.parametrize("radius", [10, 35, 44, simhash.RADIUS])
-def test_isolated_pairs_are_found_at_any_distance(radius):
+@pytest.mark.parametrize(("radius", "size"), [(10, 3000), (35, 3000), (44, 250_000), (simhash.RADIUS, 3000), (simhash.RADIUS, 250_000), (simhash.RADIUS, 10**7)])
+def test_isolated_pairs_are_found_at_any_distance(radius, size):
     rng = np.random.default_rng(radius)
     for far in sorted({1, radius // 2, radius - 5, radius}):
-        n = 1500
+        n = 1500 if size < 10**6 else 300
         fp = rng.integers(0, 2, (n, simhash.BITS), dtype=np.uint8)
         twin = fp.copy()
         for row in twin:
             row[rng.choice(simhash.BITS, far, replace=False)] ^= 1
         both = pa.array([x.tobytes() for x in np.packbits(np.concatenate([fp, twin]), axis=1)], pa.binary())
         batch = pa.RecordBatch.from_arrays([pa.array(range(2 * n)), both], ["rep", "fp"])
-        t = pa.Table.from_batches(simhash._band_batches(radius)([batch])).sort_by("key")
+        t = pa.Table.from_batches(simhash._band_batches(radius, size)([batch])).sort_by("key")
         pairs = {(min(r.values()), max(r.values())) for b in simhash._buckets(radius)(t.to_batches()) for r in b.to_pylist()}
         assert len(pairs & {(i, i + n) for i in range(n)}) >= (0.9 if far == radius else 0.93 if far > radius - 6 else 0.99) * n
 
 
+def test_buckets_stay_small_as_documents_grow():
+    """Bits follow the number of documents, tables the bits; a bucket holds about as many unrelated ones at any size, tables grow less than as the root."""
+    sizes = [10**k for k in range(5, 11)]
+    found = [simhash.tables(simhash.RADIUS, n).shape for n in sizes]
+    assert [x for _, x in found] == sorted(x for _, x in found) and [x for x, _ in found] == sorted(x for x, _ in found)
+    assert all(n * simhash.AGREE**bits <= simhash.BUCKET * 4 for n, (_, bits) in zip(sizes, found)) and all(many <= n**0.4 for n, (many, _) in zip(sizes, found))
+
+
 def test_simhash_planted(spark):
     rng = random.Random(5)
     vocabulary = ["".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(3, 9))) for _ in range(5000)]
