@@ -22,7 +22,7 @@ _PINV = pow(_P, -1, 1 << 64)
 _TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64)
 _powers: dict[str, np.ndarray] = {"p": np.ones(1, _U), "q": np.ones(1, _U)}
 #: Bytes of text that one step of the kernel works on; a longer text is worked on alone and whole.
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
