@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixmill.functions.collections import merge_maps
 from helixmill.functions.text import clean_ocr_text, content_hash, sanitize_text
 
 MIN_CHARS_PER_PAGE, MIN_UNIQUE_RATIO, MAX_REPETITION, MAX_INDICATORS = 100, 0.15, 0.5, 0.3
@@ -15,7 +16,7 @@ _INDICATORS = ("@", "engineer", "http", "linkedin", "page", "senior", "www.")
 _BLANK = "[ \\t\\n\\r\\f\\x0B]+"
 
 
-# --- chunking -------------------------------------------------------------------------------------------------------
+# --- chunking ---
 
 
 def split_text(text: str, size: int, overlap: int, separators: tuple[str, ...] = ("\n\n", "\n", " ", "")) -> list[str]:
@@ -86,13 +87,19 @@ def number_chunks(chunks: DataFrame, *order: str) -> DataFrame:
     return chunks.withColumn("chunk_index", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)) - 1)
 
 
-def index_documents(docs: DataFrame, indexed_hashes: DataFrame, embed: Column | None = None, size: int = 1000, overlap: int = 200) -> DataFrame:
+def index_documents(docs: DataFrame, indexed_hashes: DataFrame, embed: Column | None = None, size: int = 1000, overlap: int = 200, metadata: DataFrame | None = None, base: dict[str, str] | None = None) -> DataFrame:
     """What a new document adds to the store: texts seen before (by hash), and repeats among the new, are left out; the
-    rest is cut into chunks, each with its document's hash and an embedding if ``embed`` (of ``content``) is given."""
+    rest is cut into chunks, each with its document's hash and an embedding if ``embed`` (of ``content``) is given.
+
+    ``base`` and ``metadata`` (doc_id, metadata: a map), if given, become each chunk's metadata; a document's own keys win."""
     new = docs.filter("text is not null").withColumn("file_hash", content_hash(F.col("text")))
     new = new.join(indexed_hashes.select("file_hash"), "file_hash", "left_anti")
     first = new.groupBy("file_hash").agg(F.min("doc_id").alias("doc_id"), F.min_by("text", "doc_id").alias("text"))
     out = chunk(first, size, overlap).join(first.select("doc_id", "file_hash"), "doc_id")
+    if metadata is not None or base:
+        common = F.create_map(*[F.lit(x) for kv in (base or {}).items() for x in kv]).cast("map<string,string>")
+        own = F.coalesce("metadata", F.create_map().cast("map<string,string>")) if metadata is not None else F.create_map().cast("map<string,string>")
+        out = (out if metadata is None else out.join(metadata.select("doc_id", "metadata"), "doc_id", "left")).withColumn("metadata", merge_maps(common, own))
     return out if embed is None else out.withColumn("embedding", embed)
 
 
@@ -106,7 +113,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     return docs.filter("text is not null").groupBy(content_hash(F.col("text")).alias("file_hash")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
 
 
-# --- quality of extracted pages -------------------------------------------------------------------------------------
+# --- quality of extracted pages ---
 
 
 def extraction_quality(pages: DataFrame) -> DataFrame:
@@ -123,12 +130,14 @@ def extraction_quality(pages: DataFrame) -> DataFrame:
     same = per.filter("c <> ''").groupBy("doc_id", F.xxhash64(F.trim("c")).alias("h"), F.md5(F.trim("c")).alias("m")).agg(F.count(F.lit(1)).alias("n"))
     same = same.groupBy("doc_id").agg(F.max("n").alias("most"), F.sum("n").alias("n_filled"))
     out = base.join(words, "doc_id", "left").join(same, "doc_id", "left").na.fill(0, ["n_words", "n_distinct", "most", "n_filled"])
-    out = out.select(
-        "doc_id", "n_pages", F.round(F.col("n_chars") / F.col("n_pages"), 6).alias("chars_per_page"), F.when(F.col("n_words") > 0, F.round(F.col("n_distinct") / F.col("n_words"), 6)).alias("unique_ratio"),
-        F.when(F.col("n_filled") > 1, F.round(F.col("most") / F.col("n_filled"), 6)).alias("repetition"), F.when(F.col("n_words") > 0, F.round(F.col("n_indicators") / F.col("n_words"), 6)).alias("indicator_ratio"),
-    )
+    def share(part: str, whole: str, least: int = 0) -> Column:
+        return F.when(F.col(whole) > least, F.col(part) / F.col(whole))
+
+    out = out.select("doc_id", "n_pages", (F.col("n_chars") / F.col("n_pages")).alias("chars_per_page"), share("n_distinct", "n_words").alias("unique_ratio"), share("most", "n_filled", 1).alias("repetition"), share("n_indicators", "n_words").alias("indicator_ratio"))
     reason = F.when(F.col("chars_per_page") < MIN_CHARS_PER_PAGE, "insufficient_text").when(F.col("unique_ratio") < MIN_UNIQUE_RATIO, "repetitive_content").when(F.col("repetition") > MAX_REPETITION, "duplicate_pages").when(F.col("indicator_ratio") > MAX_INDICATORS, "metadata_only").otherwise("sufficient")
-    return out.withColumn("reason", reason).withColumn("is_sufficient", F.col("reason") == "sufficient")
+    # ratios are compared as they are, and rounded to be shown
+    shown = out.withColumn("reason", reason).withColumn("is_sufficient", F.col("reason") == "sufficient")
+    return shown.withColumns({c: F.round(c, 6) for c in ("chars_per_page", "unique_ratio", "repetition", "indicator_ratio")})
 
 
 def merge_scan(text_pages: DataFrame, scan_pages: DataFrame) -> DataFrame:
@@ -163,7 +172,7 @@ def merge_chunk_entities(entities: DataFrame) -> DataFrame:
     return entities.withColumn("k", k).filter("k = 1").drop("k")
 
 
-# --- summaries ------------------------------------------------------------------------------------------------------
+# --- summaries ---
 
 
 def summary_strategy(total_chars: Column, n_chunks: Column, max_context_chars: int = 12_000, override: str = "", refine: bool = False) -> Column:
@@ -184,3 +193,26 @@ def tree_reduce(chunks: DataFrame, combine, batch: int = 5) -> DataFrame:
         most = -(-most // batch)
         if most <= 1:
             return level.select("doc_id", "content")
+
+
+def refine(chunks: DataFrame, combine, start: Column | None = None) -> DataFrame:
+    """Summary by refinement: a document's chunks one after the other, each with the summary so far: ``combine`` (summary,
+    content) as a column. (doc_id, chunk_index, content) to (doc_id, content)."""
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "content"))), lambda x: x["content"])
+    return chunks.groupBy("doc_id").agg(parts.alias("p")).select("doc_id", F.aggregate("p", F.lit("") if start is None else start, combine).alias("content"))
+
+
+def summarize(chunks: DataFrame, combine_all, combine_next, max_context_chars: int = 12_000, override: str = "", use_refine: bool = False, batch: int = 5) -> DataFrame:
+    """(doc_id, content, strategy): each document by the strategy that is chosen for it: at once (``combine_all`` over its
+    chunks), by refinement (``combine_next``) or by a tree of batches."""
+    size = chunks.groupBy("doc_id").agg(F.sum(F.length("content")).alias("chars"), F.count(F.lit(1)).alias("n"))
+    chosen = size.select("doc_id", summary_strategy(F.col("chars"), F.col("n"), max_context_chars, override, use_refine).alias("strategy"))
+    tagged = chunks.join(chosen, "doc_id")
+
+    def of(name: str) -> DataFrame:
+        return tagged.filter(F.col("strategy") == name).drop("strategy")
+
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "content"))), lambda x: x["content"])
+    out = of("stuff").groupBy("doc_id").agg(combine_all(parts).alias("content")).withColumn("strategy", F.lit("stuff"))
+    out = out.unionByName(refine(of("refine"), combine_next).withColumn("strategy", F.lit("refine")))
+    return out.unionByName(tree_reduce(of("map_reduce"), combine_all, batch).withColumn("strategy", F.lit("map_reduce")))

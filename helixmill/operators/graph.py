@@ -13,11 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixmill.functions.collections import distinct_lists
-from helixmill.functions.text import make_node_id, normalize_entity_text
+from helixmill.functions.text import make_node_id, node_id_of, normalize_entity_text
 from helixmill.session import cut
 
 W_JOBS, W_NEIGHBOURS, W_BETWEENNESS = 0.45, 0.25, 0.30
@@ -26,33 +27,51 @@ EXACT_NODES, SAMPLED_SOURCES, SEED = 800, 400, 42
 MAX_BROADCAST_BYTES = 256 << 20
 
 
-# --- building -------------------------------------------------------------------------------------------------------
+# --- building ---
 
 
-def with_node_ids(mentions: DataFrame, exact: bool = False) -> DataFrame:
+def with_node_ids(mentions: DataFrame, exact: bool = True) -> DataFrame:
     """Mentions of non-blank text with node_id, surface and seq."""
-    seq = F.struct("article_seq", "type_seq", "entity_seq")
-    return mentions.filter(F.trim("text") != "").withColumns(
-        {"node_id": make_node_id(F.col("entity_type"), F.col("text"), F.col("concept_id"), exact), "surface": normalize_entity_text(F.col("text"), exact), "seq": seq}
-    )
+    m = mentions.filter(F.trim("text") != "").withColumn("surface", normalize_entity_text(F.col("text"), exact))
+    return m.withColumns({"node_id": node_id_of(F.col("entity_type"), F.col("surface"), F.col("concept_id")), "seq": F.struct("article_seq", "type_seq", "entity_seq")})
 
 
-def build_nodes(mentions: DataFrame, exact: bool = False) -> DataFrame:
-    """One row per node_id: mentions merged, first label, distinct sources, jobs and aliases in order, best confidence."""
+def provenance(mentions: DataFrame, exact: bool = True) -> DataFrame:
+    """(id, pmid, job_id, n): the articles of each node, one row each, with how often it is mentioned: what ``sources`` and
+    ``job_ids`` hold, as a table that grows by rows."""
+    return with_node_ids(mentions, exact).groupBy(F.col("node_id").alias("id"), "pmid", "job_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def build_nodes(mentions: DataFrame, exact: bool = True, lists: bool = True) -> DataFrame:
+    """One row per node_id: mentions merged, first label, best confidence, and distinct sources, jobs and aliases in order.
+
+    Lists are as long as a node is old; without them (``lists=False``) no row grows, and ``provenance`` has the same as a table.
+    """
     m = with_node_ids(mentions, exact).withColumnRenamed("node_id", "id")
     some = F.coalesce("concept_id", F.lit("")) != ""
-    # what comes first is found apart from what is counted, which then needs no sort
-    counted = m.groupBy("id").agg(F.count(F.lit(1)).alias("frequency"), F.max("confidence").alias("confidence_max"))
-    first = m.groupBy("id").agg(F.min(F.struct("seq", "surface", F.upper("entity_type").alias("entity_type"))).alias("f"), F.min(F.when(some, F.struct("seq", "concept_id", "concept_source"))).alias("c"))
-    lists = distinct_lists(m, ["id"], "seq", sources="pmid", job_ids="job_id", aliases="surface")
-    none = F.array().cast("array<string>")
-    return counted.join(first, "id").join(lists, "id", "left").select(
-        "id", F.col("f.surface").alias("label"), F.col("f.entity_type").alias("entity_type"), "frequency", F.coalesce("sources", none).alias("sources"), F.coalesce("job_ids", none).alias("job_ids"),
-        "confidence_max", F.col("c.concept_id").alias("concept_id"), F.col("c.concept_source").alias("concept_source"), F.coalesce("aliases", none).alias("aliases"),
-    )
+    parts = [F.count(F.lit(1)).alias("frequency"), F.max("confidence").alias("confidence_max"), F.min(F.struct("seq", "surface", F.upper("entity_type").alias("entity_type"))).alias("f"), F.min(F.when(some, F.struct("seq", "concept_id", "concept_source"))).alias("c")]
+    found = m.groupBy("id").agg(*parts, *[_articles().alias("all")] * lists)
+    head = [F.col("f.entity_type").alias("entity_type"), "frequency"]
+    tail = ["confidence_max", F.col("c.concept_id").alias("concept_id"), F.col("c.concept_source").alias("concept_source")]
+    if not lists:
+        return found.select("id", F.col("f.surface").alias("label"), *head, *tail)
+    # only what a concept names has more than one surface
+    aliases = distinct_lists(m.filter(some), ["id"], "seq", aliases="surface")
+    known = F.coalesce("aliases", F.array_compact(F.array(F.nullif(F.col("f.surface"), F.lit("")))))
+    return found.join(aliases, "id", "left").select("id", F.col("f.surface").alias("label"), *head, _distinct("pmid").alias("sources"), _distinct("job_id").alias("job_ids"), *tail, known.alias("aliases"))
+
+
+def _articles() -> Column:
+    """Aggregate: the articles of a node or an edge, once each, as they are combined where mentions are read."""
+    return F.collect_set(F.struct("seq.article_seq", "pmid", "job_id"))
+
 
+def _distinct(name: str) -> Column:
+    """A field of ``all``, in the order of articles."""
+    return F.array_distinct(F.array_remove(F.array_compact(F.sort_array("all")[name]), ""))
 
-def edge_mentions(triplets: DataFrame, mentions: DataFrame, exact: bool = False) -> DataFrame:
+
+def edge_mentions(triplets: DataFrame, mentions: DataFrame, exact: bool = True) -> DataFrame:
     """Triplets whose both ends are mentioned in their article, as pairs of node ids in order; of equal texts the last mention counts."""
     key = F.lower(F.trim("text"))
     text = with_node_ids(mentions, exact).groupBy("pmid", key.alias("key")).agg(F.max_by("node_id", "seq").alias("node_id"))
@@ -63,17 +82,16 @@ def edge_mentions(triplets: DataFrame, mentions: DataFrame, exact: bool = False)
     return found.select(F.least("a", "b").alias("source_id"), F.greatest("a", "b").alias("target_id"), "relation", "pmid", "job_id", F.struct("article_seq", "triplet_seq").alias("seq"))
 
 
-def merge_edges(pairs: DataFrame, by_relation: bool = False) -> DataFrame:
-    """Edges of pairs (source_id, target_id, relation, pmid, job_id, seq): weights over all relations, or one edge for each."""
-    keys = ["source_id", "target_id"] + ["relation"] * by_relation
-    each = F.sort_array(F.collect_list(F.struct("seq", "pmid", "job_id", *["relation"] * (not by_relation))))
-    e = pairs.groupBy(*keys).agg(each.alias("all"))  # an edge's list is as long as its weight, which its sources are too
-
-    def distinct(name: str) -> Column:
-        return F.array_distinct(F.array_remove(F.array_compact(F.col("all")[name]), ""))
+def merge_edges(pairs: DataFrame, by_relation: bool = False, lists: bool = True) -> DataFrame:
+    """Edges of pairs (source_id, target_id, relation, pmid, job_id, seq): weights over all relations, or one edge for each.
 
-    relation = F.col("relation") if by_relation else F.col("all")[0]["relation"]
-    return e.select("source_id", "target_id", F.size("all").cast("long").alias("weight"), relation.alias("relation_type"), distinct("pmid").alias("sources"), distinct("job_id").alias("job_ids"))
+    Counts, firsts and the articles, once each, are combined where pairs are read. Without lists (``lists=False``) no row
+    grows with an edge's history.
+    """
+    keys = ["source_id", "target_id"] + ["relation"] * by_relation
+    first = F.col("relation") if by_relation else F.col("f.relation")
+    e = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("weight"), *[F.min(F.struct("seq", "relation")).alias("f")] * (not by_relation), *[_articles().alias("all")] * lists)
+    return e.select("source_id", "target_id", "weight", first.alias("relation_type"), *([_distinct("pmid").alias("sources"), _distinct("job_id").alias("job_ids")] if lists else []))
 
 
 def build_graph(mentions: DataFrame, triplets: DataFrame | None = None, edge_mode: str = "relations") -> tuple[DataFrame, DataFrame]:
@@ -113,7 +131,7 @@ def entity_aggregates(mentions: DataFrame, seen_at: Column) -> DataFrame:
     return with_node_ids(mentions).groupBy(F.col("surface").alias("normalized_text"), F.upper("entity_type").alias("entity_type")).agg(F.count(F.lit(1)).alias("frequency"), F.min(seen_at).alias("first_seen"), F.max(seen_at).alias("last_seen"), F.round(F.avg("confidence"), 6).alias("confidence_avg"))
 
 
-# --- neighbours and statistics --------------------------------------------------------------------------------------
+# --- neighbours and statistics ---
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -231,7 +249,7 @@ def relation_graph(triplets: DataFrame, mentions: DataFrame) -> tuple[DataFrame,
     return nodes, triplets.select(F.trim("subject").alias("source"), F.trim("object").alias("target"), "relation")
 
 
-# --- paths ----------------------------------------------------------------------------------------------------------
+# --- paths ---
 
 
 def within_hops(edges: DataFrame, node_id: str, hops: int = 2) -> DataFrame:
@@ -265,7 +283,7 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, start: str, end: str) -> D
         seen = cut(seen.union(front.select("id")))
 
 
-# --- bridges --------------------------------------------------------------------------------------------------------
+# --- bridges ---
 
 
 def job_breadth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -300,21 +318,52 @@ def _brandes(indptr: np.ndarray, near: np.ndarray, source: int) -> np.ndarray:
     return delta
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, exact_nodes: int = EXACT_NODES, samples: int = SAMPLED_SOURCES, seed: int = SEED) -> DataFrame:
+def _dependencies(sym: DataFrame, sources: DataFrame) -> DataFrame:
+    """(id, part): dependencies of all nodes on ``sources`` (source, id), summed: Brandes' two passes as joins of frontiers."""
+    front = cut(sources.withColumns({"paths": F.lit(1.0), "hop": F.lit(0)}))
+    levels, seen = [front], front.select("source", "id")
+    while True:
+        step = front.join(sym, "id").groupBy("source", F.col("neighbor").alias("id")).agg(F.sum("paths").alias("paths"))
+        front = cut(step.join(seen, ["source", "id"], "left_anti").withColumn("hop", F.lit(len(levels))))
+        if front.isEmpty():
+            break
+        levels.append(front)
+        seen = cut(seen.union(front.select("source", "id")))
+    total, below = None, None
+    for level in reversed(levels[1:]):
+        if below is None:
+            now = level.withColumn("delta", F.lit(0.0))
+        else:
+            up = below.select("source", F.col("id").alias("neighbor"), ((1 + F.col("delta")) / F.col("paths")).alias("share"))
+            got = level.join(sym, "id").join(up, ["source", "neighbor"]).groupBy("source", "id").agg(F.sum("share").alias("share"))
+            now = level.join(got, ["source", "id"], "left").withColumn("delta", F.col("paths") * F.coalesce("share", F.lit(0.0))).drop("share")
+        below = cut(now)
+        part = below.select("id", F.col("delta").alias("part"))
+        total = part if total is None else total.union(part)
+    return sources.sparkSession.createDataFrame([], "id string, part double") if total is None else total.groupBy("id").agg(F.sum("part").alias("part"))
+
+
+def betweenness(nodes: DataFrame, edges: DataFrame, exact_nodes: int = EXACT_NODES, samples: int = SAMPLED_SOURCES, seed: int = SEED, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """(id, betweenness), normalised; exact up to ``exact_nodes`` nodes, else from that many sampled sources.
 
-    The adjacency (8 bytes an edge end) goes to every task while it takes no more than ``MAX_BROADCAST_BYTES``; a
-    larger graph is refused: its centrality needs another approximation. Sources are what is parallel.
+    The adjacency, by number, goes to every task while it and the ids take no more than ``max_broadcast_bytes``, and sources
+    are what is parallel. The passes over a larger graph are joins of each source's frontier with the edges.
     """
     spark = nodes.sparkSession
-    n, e = nodes.count(), edges.count()
+    size = nodes.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("id") + 16).alias("b")).first()
+    n, e = size.n, edges.count()
     if n == 0:
         return nodes.select("id", F.lit(0.0).alias("betweenness"))
-    if (2 * e + n) * 8 > MAX_BROADCAST_BYTES:
-        raise ValueError(f"betweenness: {n} nodes and {e} edges are more than {MAX_BROADCAST_BYTES} bytes of adjacency")
-    ids = nodes.select("id").orderBy("id").toPandas()["id"].to_numpy()
-    pairs = edges.select("source_id", "target_id").toPandas()
-    a, b = np.searchsorted(ids, pairs["source_id"].to_numpy()), np.searchsorted(ids, pairs["target_id"].to_numpy())
+    if size.b + (4 * e + n) * 8 > max_broadcast_bytes:
+        chosen = nodes.select("id") if n <= exact_nodes else nodes.select("id").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(min(samples, n))
+        m = n if n <= exact_nodes else min(samples, n)
+        scale = (n / m) / ((n - 1) * (n - 2)) if n > 2 else 0.0
+        sums = _dependencies(cut(both_ways(edges.select("source_id", "target_id"))), chosen.select(F.col("id").alias("source"), "id"))
+        return nodes.select("id").join(sums, "id", "left").select("id", (F.coalesce("part", F.lit(0.0)) * scale).alias("betweenness"))
+    ids = nodes.select("id").orderBy("id").toArrow().column("id").combine_chunks()
+    numbers = spark.createDataFrame(pa.table({"id": ids, "k": pa.array(np.arange(n))}))
+    ends = edges.join(numbers.select(F.col("id").alias("source_id"), F.col("k").alias("a")), "source_id").join(numbers.select(F.col("id").alias("target_id"), F.col("k").alias("b")), "target_id").select("a", "b").toArrow()
+    a, b = ends.column("a").to_numpy(), ends.column("b").to_numpy()
     src, dst = np.r_[a, b], np.r_[b, a]
     order = np.lexsort((dst, src))
     indptr, near = np.r_[0, np.cumsum(np.bincount(src, minlength=n))], dst[order]
@@ -333,8 +382,7 @@ def betweenness(nodes: DataFrame, edges: DataFrame, exact_nodes: int = EXACT_NOD
     parts = spark.createDataFrame(pd.DataFrame({"id": chosen})).repartition(min(len(chosen), spark.sparkContext.defaultParallelism * 2)).mapInPandas(run, "k long, part double")
     scale = (n / len(chosen)) / ((n - 1) * (n - 2)) if n > 2 else 0.0
     sums = parts.groupBy("k").agg((F.sum("part") * scale).alias("betweenness"))
-    names = spark.createDataFrame(pd.DataFrame({"k": np.arange(n), "id": ids}))
-    return names.join(sums, "k", "left").select("id", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
+    return numbers.join(sums, "k", "left").select("id", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
 
 
 def bridge_scores(nodes: DataFrame, edges: DataFrame, centrality: DataFrame | None = None) -> DataFrame:

@@ -64,7 +64,7 @@ def entity_count(results: DataFrame) -> DataFrame:
     return results.agg(F.coalesce(F.sum(sizes), F.lit(0)).alias("entities_extracted"))
 
 
-# --- rows with soft deletion ----------------------------------------------------------------------------------------
+# --- rows with soft deletion ---
 
 
 def active(rows: DataFrame, user_id: Column | None = None, only_active: bool = False) -> DataFrame:
@@ -100,7 +100,7 @@ def invalid_topics(topics: DataFrame) -> DataFrame:
     return topics.filter(~F.coalesce(F.col("max_results").between(1, 100) & F.length("query").between(3, 500), F.lit(False)))
 
 
-# --- topics ---------------------------------------------------------------------------------------------------------
+# --- topics ---
 
 
 def new_articles(found: DataFrame, user_articles: DataFrame) -> DataFrame:
@@ -143,13 +143,13 @@ def pick_pmids(text: Column, limit: int = 50) -> Column:
     return F.slice(F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != ""), 1, limit)
 
 
-# --- caches ---------------------------------------------------------------------------------------------------------
+# --- caches ---
 
 
-def cache_stats(requests: DataFrame) -> DataFrame:
-    """One row of hits, misses, rate in percent and distinct keys, of requests (key, hit)."""
+def cache_stats(requests: DataFrame, *by: str) -> DataFrame:
+    """Hits, misses, rate in percent and distinct keys, of requests (key, hit): one row, or one for each of ``by``."""
     hits, n = F.count_if(F.col("hit")), F.count(F.lit(1))
-    return requests.agg(hits.alias("hits"), (n - hits).alias("misses"), F.when(n > 0, F.round(hits / n * 100, 2)).otherwise(0.0).alias("hit_rate"), F.countDistinct("key").alias("size"))
+    return requests.groupBy(*by).agg(hits.alias("hits"), (n - hits).alias("misses"), F.when(n > 0, F.round(hits / n * 100, 2)).otherwise(0.0).alias("hit_rate"), F.countDistinct("key").alias("size"))
 
 
 def cache_after(entries: DataFrame, now: Column, ttl_seconds: int, max_size: int) -> DataFrame:

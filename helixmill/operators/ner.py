@@ -12,8 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixmill.functions.text import ENTITY_TYPES, RELATION_OF_ANNOTATION, RELATION_TYPES, lookup, normalize_relation, resolve_concept
+from helixmill.functions.text import ENTITY_TYPES, RELATION_OF_ANNOTATION, RELATION_TYPES, assertion_status, find_offset, lookup, mark_entities, normalize_relation, parse_model_json, reply_status, resolve_concept
 from helixmill.operators.graph import pairs_of
+from helixmill.session import cut
 
 DEFAULT_TYPES = ("DISEASE", "DRUG", "GENE", "MUTATION")
 CONFIDENCE = {"openmed": 0.7, "gliner": 0.7, "zero_shot": 0.5, "relations": 0.5}
@@ -22,7 +23,7 @@ CONTRAST_LABELS = ("date", "location", "number", "organization", "other", "perso
 ENTITY_SCHEMA = "pmid string, entity_type string, entity_seq int, text string, confidence double, start int, end int"
 
 
-# --- annotation documents -------------------------------------------------------------------------------------------
+# --- annotation documents ---
 
 
 def document_entities(documents: DataFrame, keep: tuple[str, ...] = DEFAULT_TYPES) -> DataFrame:
@@ -83,7 +84,7 @@ def fill_missing(requested: DataFrame, found: DataFrame) -> DataFrame:
     return requested.join(grouped, "pmid", "left").select("pmid", "position", "entities", F.when(F.col("entities").isNull(), "no annotations available").alias("error"))
 
 
-# --- providers ------------------------------------------------------------------------------------------------------
+# --- providers ---
 
 
 def article_text(title: Column, abstract: Column) -> Column:
@@ -138,14 +139,15 @@ def dictionary_provider(gazetteer: DataFrame) -> Callable[[DataFrame], DataFrame
 class Providers:
     """Providers by name; "dictionary" needs no model."""
 
-    def __init__(self, **providers: Callable[[DataFrame], DataFrame]):
-        self._by_name = dict(providers)
+    def __init__(self, default: str | None = None, **providers: Callable[[DataFrame], DataFrame]):
+        self._by_name, self._default = dict(providers), default
 
     def register(self, name: str, provider: Callable[[DataFrame], DataFrame]) -> None:
         self._by_name[name] = provider
 
     def extract(self, name: str, articles: DataFrame, types: tuple[str, ...] | None = None) -> DataFrame:
-        """Entities of the types asked for; a name that isn't registered is an error."""
+        """Entities of the types asked for; a name that isn't registered stands for the default, and is an error without one."""
+        name = name if name in self._by_name else self._default or name
         if name not in self._by_name:
             raise KeyError(f"no provider {name!r}; there are {sorted(self._by_name)}")
         found = self._by_name[name](articles).filter(F.trim("text") != "")
@@ -154,6 +156,22 @@ class Providers:
         return found if not types else found.filter(F.col("entity_type").isin(*types))
 
 
+def with_fallback(provider: Callable[[DataFrame], DataFrame], other: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """A provider that takes the articles of which the first finds nothing, or fails with, to another."""
+
+    def find(articles: DataFrame) -> DataFrame:
+        found = cut(provider(articles))
+        return found.unionByName(other(articles.join(found.select("pmid").distinct(), "pmid", "left_anti")))
+
+    return find
+
+
+def with_assertions(entities: DataFrame, articles: DataFrame) -> DataFrame:
+    """Entities with the assertion status that the sentence says in which each stands (articles: pmid, text)."""
+    known = entities.join(articles.select("pmid", F.col("text").alias("__text")), "pmid", "left")
+    return known.withColumn("assertion_status", assertion_status(F.col("__text"), F.col("text"))).drop("__text")
+
+
 def valid_types(asked: list[str], known: tuple[str, ...], strict: bool = False) -> list[str]:
     """The known of the types asked for; strict: an unknown one is an error; else all where none is left."""
     found = [t.upper() for t in asked]
@@ -173,6 +191,49 @@ def entity_pairs(entities: DataFrame, limit: int | None = MAX_PAIRS) -> DataFram
     return pairs_of(entities.withColumn("__o", F.struct("entity_type", "entity_seq")), "pmid", "__o", limit)
 
 
+RELATION_SCHEMA = "pmid string, pair_no int, subject string, object string, relation string, confidence double"
+
+
+def pair_relations(predict: Callable[[list[str]], list[tuple[str, float]]]) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """A provider of relations by a model that scores pairs: of an article's first ``MAX_PAIRS`` pairs of entities, marked in
+    its text, ``predict`` gives (relation, confidence) for each marked text. What is below the least confidence, or no
+    relation, or about texts that don't stand in the article, is left out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            said = predict(b["marked"].tolist()) if len(b) else []
+            yield b[["pmid", "pair_no", "subject", "object"]].assign(relation=[r for r, _ in said], confidence=[float(c) for _, c in said])
+
+    def find(entities: DataFrame, articles: DataFrame) -> DataFrame:
+        pairs = entity_pairs(entities).select("pmid", F.col("pair_no").cast("int"), F.col("text_a").alias("subject"), F.col("text_b").alias("object"))
+        t = pairs.join(articles.select("pmid", "text"), "pmid")
+        t = t.withColumns({"i": find_offset(F.col("text"), F.col("subject")), "j": find_offset(F.col("text"), F.col("object"))}).filter("i is not null and j is not null and i <> j")
+        marked = mark_entities(F.col("text"), F.col("i"), F.col("i") + F.length("subject"), F.col("j"), F.col("j") + F.length("object"))
+        return accept_relations(t.select("pmid", "pair_no", "subject", "object", marked.alias("marked")).mapInPandas(run, RELATION_SCHEMA))
+
+    return find
+
+
+MAX_PROMPT_ENTITIES, MAX_PROMPT_CHARS = 30, 1500
+
+
+def relation_prompts(entities: DataFrame, articles: DataFrame) -> DataFrame:
+    """(pmid, prompt, status) for a model that writes relations as JSON: the first 30 entities and 1,500 characters; articles
+    of fewer than two entities are skipped and have no prompt."""
+    e = entities.groupBy("pmid").agg(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("entity_type", "entity_seq", "text"))), lambda x: F.concat(x["text"], F.lit(" ("), x["entity_type"], F.lit(")"))), 1, MAX_PROMPT_ENTITIES).alias("e"))
+    known = articles.select("pmid", "text").join(e, "pmid", "left")
+    enough = F.coalesce(F.size("e") >= 2, F.lit(False)) & (F.coalesce("text", F.lit("")) != "")
+    prompt = F.concat(F.lit("Entities: "), F.array_join("e", ", "), F.lit("\nRelations: " + ", ".join(RELATION_TYPES) + "\nText: "), F.left("text", F.lit(MAX_PROMPT_CHARS)), F.lit('\nAnswer as JSON: {"relations": [{"subject": "", "relation": "", "object": ""}]}'))
+    return known.select("pmid", F.when(enough, prompt).alias("prompt"), F.when(enough, "ok").otherwise("skipped").alias("status"))
+
+
+def relations_of_replies(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of replies (pmid, reply): triplets of known relations, and (pmid, status): ok, empty or error."""
+    parsed = parse_model_json(F.col("reply"), "relations array<struct<subject: string, relation: string, object: string>>")["relations"]
+    t = replies.select("pmid", F.posexplode(parsed).alias("triplet_seq", "r")).select("pmid", "triplet_seq", "r.*").filter("subject is not null and relation is not null and object is not null")
+    return known_relations(t)[0], replies.select("pmid", reply_status(F.col("reply")).alias("status"))
+
+
 def accept_relations(predicted: DataFrame, least: float = CONFIDENCE["relations"]) -> DataFrame:
     return predicted.filter((F.col("relation") != "NO_RELATION") & (F.col("confidence") >= least))
 

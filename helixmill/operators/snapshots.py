@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixmill.operators.graph import induced
+from helixmill.session import exists
 
 
 def save(nodes: DataFrame, edges: DataFrame, folder: str, scope: str, label: str) -> None:
@@ -24,6 +25,19 @@ def load(spark: SparkSession, folder: str, scope: str, label: str) -> tuple[Data
     return part("nodes"), part("edges")
 
 
+def load_first(spark: SparkSession, folders: tuple[str, ...], scope: str, label: str) -> tuple[DataFrame, DataFrame]:
+    """The snapshot from the first place that holds one of the label, such as a database before files; no rows if none does."""
+    found = None
+    for folder in folders:
+        if exists(spark, f"{folder}/nodes"):
+            found = load(spark, folder, scope, label)
+            if not found[0].isEmpty():
+                return found
+    if found is None:
+        raise FileNotFoundError(f"no snapshots in {', '.join(folders)}")
+    return found
+
+
 def labels(spark: SparkSession, *folders: str, scope: str = "week") -> DataFrame:
     """Labels of all places that hold snapshots, once each, in order."""
     out = None

@@ -41,14 +41,14 @@ def triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "pmid").filter("i < j").select("pmid", "article_seq", F.struct("i", "j").alias("triplet_seq"), "subject", relation.alias("relation"), "object", "job_id", "day")
 
 
-def node_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.build_nodes(mentions(spark, sf_dir))
+def node_table(spark: SparkSession, sf_dir: str, lists: bool = True) -> DataFrame:
+    return G.build_nodes(mentions(spark, sf_dir), lists=lists)
 
 
-def edge_table(spark: SparkSession, sf_dir: str, first: str = "1990-01-01", last: str = "2100-01-01") -> DataFrame:
+def edge_table(spark: SparkSession, sf_dir: str, first: str = "1990-01-01", last: str = "2100-01-01", lists: bool = True) -> DataFrame:
     """Edges of the articles of [first, last)."""
     within = span(first, last)
-    return G.merge_edges(G.edge_mentions(triplets(spark, sf_dir).filter(within), mentions(spark, sf_dir).filter(within)))
+    return G.merge_edges(G.edge_mentions(triplets(spark, sf_dir).filter(within), mentions(spark, sf_dir).filter(within)), lists=lists)
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:

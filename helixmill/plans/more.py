@@ -25,7 +25,7 @@ from helixmill.sources import articles as SRC
 from helixmill.sources import store
 from helixmill.streaming import graph_stream
 
-# --- scores and scalar functions ------------------------------------------------------------------------------------
+# --- scores and scalar functions ---
 
 
 @query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS c, l_linenumber * 3 - 3 AS p, l_linenumber AS n FROM lineitem)
@@ -81,7 +81,7 @@ def array_and_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(appended, ",").alias("appended"), entity.alias("entity"))
 
 
-# --- graph and snapshots --------------------------------------------------------------------------------------------
+# --- graph and snapshots ---
 
 
 @query(f"{WITH_GRAPH} SELECT '{HUB}' AS id, x.neighbor, n.label, n.entity_type, x.weight, x.relation_type FROM (SELECT CASE WHEN source_id = '{HUB}' THEN target_id ELSE source_id END AS neighbor, weight, relation_type FROM e WHERE '{HUB}' IN (source_id, target_id)) x JOIN n ON n.id = x.neighbor")
@@ -104,28 +104,45 @@ def fully_related_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("source_id", "target_id").agg(F.count(F.lit(1)).alias("n_parallel"), F.countDistinct("relation").alias("k")).filter("k = 3").drop("k")
 
 
-@query(f"{WITH_NODES} SELECT '2000-W26' AS snapshot, count(*) AS nodes, CAST(sum(frequency) AS BIGINT) AS mentions FROM (SELECT node_id, count(*) AS frequency FROM m WHERE day < TIMESTAMP '{NOW}' GROUP BY 1)")
-def snapshot_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A snapshot written to the shared folder twice (the second replaces the first) and read again."""
+def _saved(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a snapshot that was written twice (the second replaces the first), and one of another label."""
     m = A.mentions(spark, sf_dir).filter(f"day < timestamp_ntz '{NOW}'")
     folder = f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}"
-    nodes, edges = G.build_nodes(m), A.edge_table(spark, sf_dir, "2000-06-29", NOW)
-    for _ in range(2):
-        SN.save(nodes, edges, folder, "week", "2000-W26")
-    return SN.load(spark, folder, "week", "2000-W26")[0].agg(F.lit("2000-W26").alias("snapshot"), F.count(F.lit(1)).alias("nodes"), F.sum("frequency").alias("mentions"))
+    nodes, edges = G.build_nodes(m), A.edge_table(spark, sf_dir, "2000-06-01", NOW)
+    SN.save(nodes.limit(3), edges.limit(3), folder, "week", "2000-W26")
+    SN.save(nodes.limit(2), edges.limit(2), folder, "week", "2000-W25")
+    SN.save(nodes, edges, folder, "week", "2000-W26")
+    return folder
+
+
+@query(f"{WITH_NODES} SELECT node_id AS id, count(*) AS frequency, count(DISTINCT pmid) AS n_sources, max(confidence) AS confidence_max FROM m WHERE day < TIMESTAMP '{NOW}' GROUP BY 1")
+def snapshot_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, _ = SN.load(spark, _saved(spark, sf_dir), "week", "2000-W26")
+    return n.select("id", "frequency", F.size("sources").alias("n_sources"), "confidence_max")
+
+
+@query(f"WITH {A.MENTIONS_SQL},{A.edges_sql('2000-06-01', NOW)} SELECT source_id, target_id, weight, relation_type, n_sources FROM e")
+def snapshot_round_trip_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, e = SN.load(spark, _saved(spark, sf_dir), "week", "2000-W26")
+    return e.select("source_id", "target_id", "weight", "relation_type", F.size("sources").alias("n_sources"))
 
 
 @query("SELECT DISTINCT strftime(o_orderdate, '%G-W%V') AS snapshot FROM orders")
 def snapshot_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select(D.week_label(F.col("o_orderdate")).alias("snapshot")).distinct()
+    """The weeks of two stores, some in both, that hold an empty graph of each."""
+    stores = [f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}" for _ in range(2)]
+    weeks = table(spark, sf_dir, "orders").select(D.week_label(F.col("o_orderdate")).alias("snapshot"), "o_orderkey").withColumn("scope", F.lit("week"))
+    for k, folder in enumerate(stores):
+        weeks.filter(F.col("o_orderkey") % 3 != k).write.partitionBy("scope", "snapshot").parquet(f"{folder}/nodes")
+    return SN.labels(spark, *stores)
 
 
-# --- entities and relations -----------------------------------------------------------------------------------------
+# --- entities and relations ---
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders below 300 as annotation documents in JSON: parts are annotations; relations name two of them, by identifier, id or reference."""
-    m = A.mentions(spark, sf_dir).filter("article_seq < 300")
+    m = A.mentions(spark, sf_dir)
     kind = F.when(F.col("entity_type") == "PROMO", "Gene").when(F.col("entity_type") == "SMALL", "Disease").when(F.col("entity_type") == "LARGE", "Chemical").otherwise("Odd")
     a = F.struct(F.struct("type_seq", "entity_seq").alias("o"), F.struct(F.col("entity_seq").cast("string").alias("id"), F.when(F.col("type_seq") % 2 == 0, F.upper("text")).otherwise(F.col("text")).alias("text"), F.struct(kind.alias("type"), F.concat(F.lit("X:"), F.col("entity_seq") % 100_000).alias("identifier")).alias("infons"), F.array(F.struct(F.lit(3).alias("offset"), F.length("text").alias("length"))).alias("locations")).alias("v"))
     docs = m.groupBy("pmid").agg(F.transform(F.sort_array(F.collect_list(a)), lambda x: x["v"]).alias("annotations"))
@@ -134,7 +151,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.to_json(F.struct(F.array(F.struct(F.concat("pmid", F.lit("|None")).alias("_id"), F.array(F.struct("annotations")).alias("passages"), F.array(relation).alias("relations"))).alias("PubTator3"))).alias("json"))
 
 
-_ANNOTATED = f"""WITH {A.MENTIONS_SQL}, a AS (SELECT pmid, CASE entity_type WHEN 'PROMO' THEN 'GENE' WHEN 'SMALL' THEN 'DISEASE' WHEN 'LARGE' THEN 'DRUG' END AS entity_type, CASE WHEN type_seq % 2 = 0 THEN upper(text) ELSE text END AS text, entity_seq, seq FROM m WHERE article_seq < 300)"""
+_ANNOTATED = f"""WITH {A.MENTIONS_SQL}, a AS (SELECT pmid, CASE entity_type WHEN 'PROMO' THEN 'GENE' WHEN 'SMALL' THEN 'DISEASE' WHEN 'LARGE' THEN 'DRUG' END AS entity_type, CASE WHEN type_seq % 2 = 0 THEN upper(text) ELSE text END AS text, entity_seq, seq FROM m)"""
 
 
 @query(f"{_ANNOTATED}, k AS (SELECT *, row_number() OVER (PARTITION BY pmid, entity_type, lower(text) ORDER BY seq) AS k FROM a WHERE entity_type IS NOT NULL) SELECT pmid, entity_type, text, 3 AS start, CAST(3 + length(text) AS INTEGER) AS \"end\", 'X:' || (entity_seq % 100000) AS concept_id FROM k WHERE k = 1")
@@ -147,9 +164,9 @@ def annotation_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.document_relations(SRC.annotations_of(_documents(spark, sf_dir))).select("pmid", "subject", "relation", "object")
 
 
-@query(f"WITH {A.MENTIONS_SQL} SELECT CAST(o_orderkey AS VARCHAR) AS pmid, CASE WHEN NOT EXISTS (SELECT 1 FROM m WHERE m.article_seq = o_orderkey AND entity_type IN ('PROMO', 'SMALL', 'LARGE')) THEN 'no annotations available' END AS error FROM orders WHERE o_orderkey < 300")
+@query(f"WITH {A.MENTIONS_SQL} SELECT CAST(o_orderkey AS VARCHAR) AS pmid, CASE WHEN NOT EXISTS (SELECT 1 FROM m WHERE m.article_seq = o_orderkey AND entity_type IN ('PROMO', 'SMALL', 'LARGE')) THEN 'no annotations available' END AS error FROM orders")
 def missing_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = table(spark, sf_dir, "orders").filter("o_orderkey < 300").select(F.col("o_orderkey").cast("string").alias("pmid"), F.col("o_orderkey").alias("position"))
+    asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("pmid"), F.col("o_orderkey").alias("position"))
     return N.fill_missing(asked, N.document_entities(SRC.annotations_of(_documents(spark, sf_dir)))).select("pmid", "error")
 
 
@@ -173,15 +190,24 @@ def accepted_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.accept_relations(p, 0.95).groupBy("pmid").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {A.MENTIONS_SQL}, k AS (SELECT DISTINCT pmid, text FROM m WHERE article_seq < 500) SELECT count(*) AS nodes, (SELECT count(*) FROM (SELECT DISTINCT text FROM k)) AS n_texts FROM (SELECT DISTINCT text FROM k)")
+def _relation_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Lines and the priorities of their orders; parts of some types have no annotation."""
+    m = A.mentions(spark, sf_dir)
+    t = m.select(F.concat(F.lit(" "), "text").alias("subject"), F.lit("treats").alias("relation"), F.col("job_id").alias("object"))
+    return G.relation_graph(t, m.filter("entity_type <> 'ECONOMY'"))
+
+
+@query(f"WITH {A.MENTIONS_SQL}, e AS (SELECT DISTINCT trim(text) AS text FROM m UNION SELECT DISTINCT job_id FROM m), k AS (SELECT lower(trim(text)) AS key, arg_min(entity_type, seq) AS entity_type FROM m WHERE entity_type <> 'ECONOMY' GROUP BY 1) SELECT e.text, coalesce(k.entity_type, 'UNKNOWN') AS entity_type FROM e LEFT JOIN k ON k.key = lower(e.text)")
 def relation_graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = A.mentions(spark, sf_dir).filter("article_seq < 500")
-    t = m.select(F.col("text").alias("subject"), F.lit("treats").alias("relation"), F.col("text").alias("object"))
-    nodes, _ = G.relation_graph(t, m)
-    return nodes.agg(F.count(F.lit(1)).alias("nodes"), F.countDistinct("text").alias("n_texts"))
+    return _relation_graph(spark, sf_dir)[0].select("text", "entity_type")
+
+
+@query(f"WITH {A.MENTIONS_SQL} SELECT trim(text) AS source, job_id AS target, 'treats' AS relation, count(*) AS n FROM m GROUP BY 1, 2")
+def relation_graph_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _relation_graph(spark, sf_dir)[1].groupBy("source", "target", "relation").agg(F.count(F.lit(1)).alias("n"))
 
 
-# --- documents ------------------------------------------------------------------------------------------------------
+# --- documents ---
 
 
 @query("WITH h AS (SELECT sha256(text) AS file_hash, min(doc_id) AS doc_id, min(length(trim(text))) AS n FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 10 = 0) GROUP BY 1) SELECT doc_id, file_hash FROM h WHERE n > 0")
@@ -210,21 +236,21 @@ def better_loader(spark: SparkSession, sf_dir: str) -> DataFrame:
     return DOC.better_loader(fewer, p).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages"))
 
 
-@query("SELECT page_id FROM pages WHERE length(trim(url)) > 45")
+@query("SELECT page_id, regexp_replace(regexp_replace(replace(replace(trim(url), '0', 'O'), '|', 'I'), '\\s+', ' ', 'g'), '([0-9]) ?\\. ', '\\1. ', 'g') AS content FROM (SELECT page_id, CASE WHEN length(trim(url)) > 45 THEN 'no ' || page_id || '1 .   ' || url || ' |f  end' ELSE 'short ' END AS url FROM pages) WHERE length(trim(url)) > 20")
 def page_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").select("page_id", F.when(F.length(F.trim("url")) > 45, F.concat(F.lit(" "), "url", F.lit("\n"))).otherwise(" short ").alias("content"))
-    return DOC.clean_pages(p, clean=False).select("page_id")
+    shown = F.when(F.length(F.trim("url")) > 45, F.concat(F.lit("\tno "), "page_id", F.lit("1 .   "), "url", F.lit(" |f  end\n"))).otherwise(" short ")
+    return DOC.clean_pages(table(spark, sf_dir, "pages").select("page_id", shown.alias("content"))).select("page_id", "content")
 
 
-@query("SELECT query_id, string_agg('[Source ' || rank || ': d' || id || ']' || chr(10) || 'label ' || label || chr(10) || 'Relations: ' || rank, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM (SELECT vec_id % 50 AS query_id, vec_id AS id, label, row_number() OVER (PARTITION BY vec_id % 50 ORDER BY vec_id) AS rank FROM embeddings) GROUP BY 1")
+@query("SELECT query_id, string_agg('[Source ' || rank || ': d' || id || ']' || chr(10) || 'label ' || label || chr(10) || CASE WHEN id % 3 > 0 THEN 'Entities: ' || array_to_string(list_slice(['e' || id, 'x', 'y', 'z'], 1, 3), ', ') || chr(10) ELSE '' END || 'Relations: ' || rank, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM (SELECT vec_id % 50 AS query_id, vec_id AS id, label, row_number() OVER (PARTITION BY vec_id % 50 ORDER BY vec_id) AS rank FROM embeddings) GROUP BY 1")
 def context_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
-    v = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 50).alias("query_id"), F.concat(F.lit("d"), "vec_id").alias("name"), F.concat(F.lit("label "), "label").alias("content"), F.array().cast("array<string>").alias("entities"), F.row_number().over(Window.partitionBy(F.col("vec_id") % 50).orderBy("vec_id")).alias("rank"))
+    v = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 50).alias("query_id"), F.concat(F.lit("d"), "vec_id").alias("name"), F.concat(F.lit("label "), "label").alias("content"), F.when(F.col("vec_id") % 3 > 0, F.array(F.concat(F.lit("e"), "vec_id"), F.lit("x"), F.lit("y"), F.lit("z"))).otherwise(F.array().cast("array<string>")).alias("entities"), F.row_number().over(Window.partitionBy(F.col("vec_id") % 50).orderBy("vec_id")).alias("rank"))
     return R.format_context(v.withColumn("n_relations", F.col("rank")))
 
 
-# --- bookkeeping ----------------------------------------------------------------------------------------------------
+# --- bookkeeping ---
 
 
 def _topics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,14 +314,14 @@ def messages_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.append(m.filter("created_at % 2 = 0"), m, 4).select("conversation_id", F.col("created_at").alias("turn"))
 
 
-@query(f"WITH {A.MENTIONS_SQL} SELECT count(*) AS entities_extracted FROM m WHERE article_seq < 500")
+@query(f"WITH {A.MENTIONS_SQL} SELECT count(*) AS entities_extracted FROM m")
 def entities_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = A.mentions(spark, sf_dir).filter("article_seq < 500")
+    m = A.mentions(spark, sf_dir)
     lists = m.groupBy("pmid", "entity_type").agg(F.collect_list("text").alias("l")).groupBy("pmid").agg(F.map_from_entries(F.collect_list(F.struct("entity_type", "l"))).alias("entities"))
     return J.entity_count(lists)
 
 
-# --- stores and streams ---------------------------------------------------------------------------------------------
+# --- stores and streams ---
 
 
 @query(f"{WITH_EDGES}, h AS (SELECT * FROM e WHERE weight % 2 = 0) SELECT source_id, target_id, CASE WHEN weight % 2 = 0 THEN -1 ELSE weight END AS weight FROM e")
@@ -315,11 +341,11 @@ def store_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read_current(spark, folder)
 
 
-@query(f"{WITH_NODES} SELECT node_id AS id, count(*) AS frequency, max(confidence) AS confidence_max, count(DISTINCT pmid) AS n_sources FROM m WHERE article_seq < 2000 GROUP BY 1")
+@query(f"{WITH_NODES} SELECT node_id AS id, count(*) AS frequency, max(confidence) AS confidence_max, count(DISTINCT pmid) AS n_sources FROM m GROUP BY 1")
 def streamed_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mentions as a stream of files, merged by micro-batch, and once more, which changes nothing."""
     folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    m = A.mentions(spark, sf_dir).filter("article_seq < 2000").drop("day", "flag")
+    m = A.mentions(spark, sf_dir).drop("day", "flag")
     m.withColumn("part", F.col("article_seq") % 3).write.partitionBy("part").parquet(f"{folder}/in")
     for _ in range(2):
         graph_stream.merge_batches(graph_stream.mention_stream(spark, f"{folder}/in", m.schema, 100), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()

@@ -60,7 +60,7 @@ s AS (SELECT *, CASE WHEN pw = 0 AND cw > 0 THEN 'new_relation' WHEN cw = 0 THEN
 _CLASS = "CASE WHEN emergence_score >= 70 THEN 'EMERGING_SIGNAL' WHEN emergence_score >= 50 THEN 'ACCELERATING_TREND' WHEN emergence_score >= 30 THEN 'STABLE' ELSE 'DECLINING' END"
 
 
-# --- graph ----------------------------------------------------------------------------------------------------------
+# --- graph ---
 
 
 @query(f"{WITH_NODES} SELECT id, label, entity_type, frequency, n_sources, array_to_string(job_ids, ',') AS job_ids, confidence_max, array_to_string(aliases, ',') AS aliases FROM n")
@@ -78,32 +78,32 @@ def kg_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{WITH_EDGES} SELECT source_id, target_id, relation AS relation_type, count(*) AS weight FROM p GROUP BY ALL")
 def kg_edges_by_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = G.edge_mentions(A.triplets(spark, sf_dir), A.mentions(spark, sf_dir))
-    return G.merge_edges(pairs, by_relation=True).select("source_id", "target_id", "relation_type", "weight")
+    return G.merge_edges(pairs, by_relation=True, lists=False).select("source_id", "target_id", "relation_type", "weight")
 
 
 @query(f"WITH {A.MENTIONS_SQL}, d AS (SELECT DISTINCT pmid, node_id FROM m) SELECT a.node_id AS source_id, b.node_id AS target_id, count(*) AS weight FROM d a JOIN d b ON a.pmid = b.pmid AND a.node_id < b.node_id GROUP BY ALL")
 def kg_co_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.merge_edges(G.co_occurrences(A.mentions(spark, sf_dir))).select("source_id", "target_id", "weight")
+    return G.merge_edges(G.co_occurrences(A.mentions(spark, sf_dir)), lists=False).select("source_id", "target_id", "weight")
 
 
 @query(f"{WITH_NODES} SELECT id, label, entity_type, frequency FROM n ORDER BY frequency DESC, id LIMIT 20")
 def top_nodes_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.top_nodes(A.node_table(spark, sf_dir), None, 20).select("id", "label", "entity_type", "frequency")
+    return G.top_nodes(A.node_table(spark, sf_dir, lists=False), None, 20).select("id", "label", "entity_type", "frequency")
 
 
 @query(f"{WITH_GRAPH}, d AS (SELECT id, count(*) AS degree FROM (SELECT source_id AS id FROM e UNION ALL SELECT target_id FROM e) GROUP BY 1) SELECT n.id, frequency, coalesce(degree, 0) AS degree FROM n LEFT JOIN d USING (id) ORDER BY degree DESC, id LIMIT 20")
 def top_nodes_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.top_nodes(A.node_table(spark, sf_dir), A.edge_table(spark, sf_dir), 20, "degree").select("id", "frequency", "degree")
+    return G.top_nodes(A.node_table(spark, sf_dir, lists=False), A.edge_table(spark, sf_dir, lists=False), 20, "degree").select("id", "frequency", "degree")
 
 
 @query(f"{WITH_GRAPH} SELECT n.id, (SELECT count(*) FROM e WHERE source_id = n.id OR target_id = n.id) AS degree FROM n")
 def node_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.degrees(A.node_table(spark, sf_dir), A.edge_table(spark, sf_dir))
+    return G.degrees(A.node_table(spark, sf_dir, lists=False), A.edge_table(spark, sf_dir, lists=False))
 
 
 @query(f"{WITH_EDGES} SELECT source_id, target_id, weight, relation_type FROM e ORDER BY weight DESC, source_id, target_id LIMIT 20")
 def top_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.top_edges(A.edge_table(spark, sf_dir)).select("source_id", "target_id", "weight", "relation_type")
+    return G.top_edges(A.edge_table(spark, sf_dir, lists=False)).select("source_id", "target_id", "weight", "relation_type")
 
 
 _COMPONENTS = f"""WITH RECURSIVE {A.NODES_SQL},{A.edges_sql("2000-06-29", NOW)},
@@ -118,29 +118,42 @@ def _small_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return G.build_nodes(m), A.edge_table(spark, sf_dir, "2000-06-29", NOW)
 
 
-@query(f"{_COMPONENTS} SELECT id, component FROM l")
+_SLICED = f"""WITH RECURSIVE {A.MENTIONS_SQL}, z AS (SELECT *, CAST(epoch(day) AS BIGINT) // 345600 || '/' || node_id AS zid FROM m),
+b AS (SELECT DISTINCT a.zid AS x, c.zid AS y FROM z a JOIN z c ON a.pmid = c.pmid AND a.zid <> c.zid),
+v AS (SELECT DISTINCT zid AS id FROM z),
+r(id, root) AS (SELECT id, id FROM v UNION SELECT b.y, r.root FROM r JOIN b ON b.x = r.id WHERE r.root < b.y),
+l AS (SELECT id, min(root) AS component FROM r GROUP BY 1)"""
+
+
+def _sliced_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All articles, every four days' a graph of their own: many components of all sizes."""
+    m = A.mentions(spark, sf_dir).withColumn("entity_type", F.concat(F.floor(F.unix_seconds(F.col("day").cast("timestamp")) / 345_600), F.lit("/"), "entity_type"))
+    return G.build_nodes(m, lists=False), G.merge_edges(G.co_occurrences(m), lists=False)
+
+
+@query(f"{_SLICED} SELECT id, component FROM l")
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.components(*_small_graph(spark, sf_dir))
+    return G.components(*_sliced_graph(spark, sf_dir))
 
 
-@query(f"{_COMPONENTS} SELECT (SELECT count(*) FROM v) AS node_count, (SELECT count(*) FROM e) AS edge_count, (SELECT count(DISTINCT component) FROM l) AS components, round(2.0 * (SELECT count(*) FROM e) / ((SELECT count(*) FROM v) * ((SELECT count(*) FROM v) - 1)), 6) AS density")
+@query(f"{_SLICED}, n AS (SELECT (SELECT count(*) FROM v) AS v, (SELECT count(*) FROM b) // 2 AS e) SELECT v AS node_count, e AS edge_count, (SELECT count(DISTINCT component) FROM l) AS components, round(2.0 * e / (v * (v - 1.0)), 6) AS density FROM n")
 def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.graph_stats(*_small_graph(spark, sf_dir))
+    return G.graph_stats(*_sliced_graph(spark, sf_dir))
 
 
 @query(f"{WITH_NODES} SELECT entity_type, count(*) AS n FROM n GROUP BY 1")
 def entity_type_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.type_histogram(A.node_table(spark, sf_dir))
+    return G.type_histogram(A.node_table(spark, sf_dir, lists=False))
 
 
 @query(f"{WITH_EDGES} SELECT CASE WHEN source_id = '{HUB}' THEN target_id ELSE source_id END AS neighbor, weight, relation_type FROM e WHERE '{HUB}' IN (source_id, target_id)")
 def node_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.neighbors(A.edge_table(spark, sf_dir), HUB)
+    return G.neighbors(A.edge_table(spark, sf_dir, lists=False), HUB)
 
 
 @query(f"{WITH_GRAPH}, x AS (SELECT id FROM n WHERE entity_type = 'PROMO') SELECT source_id, target_id, weight FROM e WHERE source_id IN (SELECT id FROM x) AND target_id IN (SELECT id FROM x)")
 def subgraph_of_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.subgraph_of_type(A.node_table(spark, sf_dir), A.edge_table(spark, sf_dir), "promo")[1].select("source_id", "target_id", "weight")
+    return G.subgraph_of_type(A.node_table(spark, sf_dir, lists=False), A.edge_table(spark, sf_dir, lists=False), "promo")[1].select("source_id", "target_id", "weight")
 
 
 _NODE_LINK = f"""{WITH_GRAPH}, x AS (SELECT * FROM n WHERE list_has_any(job_ids, ['1-URGENT', '2-HIGH']) AND entity_type = 'SMALL' AND frequency >= 2 ORDER BY frequency DESC, id LIMIT 30),
@@ -161,12 +174,12 @@ def node_link_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{WITH_EDGES} SELECT source_id, target_id, string_agg(DISTINCT relation, '+' ORDER BY relation) AS relation_types, max(w) AS weight FROM (SELECT source_id, target_id, relation, count(*) AS w FROM p GROUP BY ALL) GROUP BY ALL")
 def merged_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = G.edge_mentions(A.triplets(spark, sf_dir), A.mentions(spark, sf_dir))
-    return G.merge_links(G.merge_edges(pairs, by_relation=True))
+    return G.merge_links(G.merge_edges(pairs, by_relation=True, lists=False))
 
 
 @query(f"{WITH_EDGES}, b AS (SELECT source_id AS x, target_id AS y FROM e UNION SELECT target_id, source_id FROM e), one AS (SELECT DISTINCT y AS id FROM b WHERE x = '{HUB}'), two AS (SELECT DISTINCT b.y AS id FROM b JOIN one ON b.x = one.id) SELECT id, 1 AS hop FROM one UNION ALL SELECT id, 2 FROM two WHERE id <> '{HUB}' AND id NOT IN (SELECT id FROM one)")
 def k_hop_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.within_hops(A.edge_table(spark, sf_dir), HUB, 2)
+    return G.within_hops(A.edge_table(spark, sf_dir, lists=False), HUB, 2)
 
 
 @query(f"""{_COMPONENTS.replace("r(id, root)", "w(id, path) AS (SELECT (SELECT min(id) FROM v), [(SELECT min(id) FROM v)] UNION SELECT b.y, list_append(w.path, b.y) FROM w JOIN b ON b.x = w.id WHERE len(w.path) < 5 AND NOT list_contains(w.path, b.y)), r(id, root)")},
@@ -205,10 +218,10 @@ def entity_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.entity_aggregates(A.mentions(spark, sf_dir), F.col("day"))
 
 
-@query(f"WITH {A.MENTIONS_SQL}, r AS (SELECT pmid, text, seq, row_number() OVER (PARTITION BY pmid ORDER BY seq) AS i FROM m), q AS (SELECT a.pmid, row_number() OVER (PARTITION BY a.pmid ORDER BY a.i, b.i) AS pair_no, a.text AS text_a, b.text AS text_b FROM r a JOIN r b ON a.pmid = b.pmid AND a.i < b.i) SELECT * FROM q WHERE pair_no <= 5")
+@query(f"WITH {A.MENTIONS_SQL}, q AS (SELECT a.pmid, row_number() OVER (PARTITION BY a.pmid ORDER BY a.seq, b.seq) AS pair_no, a.text AS text_a, b.text AS text_b FROM m a JOIN m b ON a.pmid = b.pmid AND a.seq < b.seq) SELECT * FROM q WHERE pair_no <= 100")
 def entity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = A.mentions(spark, sf_dir).select("pmid", "text", F.struct("type_seq", "entity_seq").alias("o"))
-    return G.pairs_of(m, "pmid", "o", 5).select("pmid", "pair_no", "text_a", "text_b")
+    return G.pairs_of(m, "pmid", "o").select("pmid", "pair_no", "text_a", "text_b")
 
 
 @query(f"{WITH_NODES} SELECT node_id, count(*) AS frequency, count(DISTINCT pmid) AS n_sources FROM m WHERE job_id = '1-URGENT' GROUP BY 1")
@@ -217,10 +230,14 @@ def kg_of_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.build_nodes(m).select(F.col("id").alias("node_id"), "frequency", F.size("sources").alias("n_sources"))
 
 
-@query(f"{WITH_GRAPH} SELECT (SELECT count(*) FROM n WHERE list_contains(job_ids, '1-URGENT')) AS nodes, (SELECT count(*) FROM e JOIN n a ON a.id = source_id JOIN n b ON b.id = target_id WHERE list_contains(e.job_ids, '1-URGENT') AND list_contains(a.job_ids, '1-URGENT') AND list_contains(b.job_ids, '1-URGENT')) AS edges")
-def job_snapshot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, e = SN.job_snapshot(A.node_table(spark, sf_dir), A.edge_table(spark, sf_dir), "1-URGENT")
-    return n.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(e.agg(F.count(F.lit(1)).alias("edges")))
+@query(f"{WITH_GRAPH} SELECT id, frequency FROM n WHERE list_contains(job_ids, '1-URGENT')")
+def job_snapshot_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SN.job_snapshot(A.node_table(spark, sf_dir), A.edge_table(spark, sf_dir), "1-URGENT")[0].select("id", "frequency")
+
+
+@query(f"{WITH_GRAPH} SELECT source_id, target_id, weight FROM e JOIN n a ON a.id = source_id JOIN n b ON b.id = target_id WHERE list_contains(e.job_ids, '1-URGENT') AND list_contains(a.job_ids, '1-URGENT') AND list_contains(b.job_ids, '1-URGENT')")
+def job_snapshot_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SN.job_snapshot(A.node_table(spark, sf_dir), A.edge_table(spark, sf_dir), "1-URGENT")[1].select("source_id", "target_id", "weight")
 
 
 @query(f"{WITH_NODES} SELECT node_id AS id, CAST(sum(CASE WHEN day < TIMESTAMP '{NOW}' THEN 1 ELSE 0 END) + sum(CASE WHEN day >= TIMESTAMP '{NOW}' THEN 1 ELSE 0 END) AS BIGINT) AS frequency, max(confidence) AS confidence_max FROM m GROUP BY 1")
@@ -231,7 +248,7 @@ def kg_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("id", "frequency", "confidence_max")
 
 
-# --- snapshots and signals ------------------------------------------------------------------------------------------
+# --- snapshots and signals ---
 
 
 @query(f"WITH {A.MENTIONS_SQL}, a AS (SELECT DISTINCT node_id AS id FROM m WHERE day >= TIMESTAMP '2000-06-29' AND day < TIMESTAMP '{NOW}'), b AS (SELECT DISTINCT node_id AS id FROM m WHERE day >= TIMESTAMP '2000-06-22' AND day < TIMESTAMP '2000-06-29') SELECT id, 'new_node' AS change FROM a WHERE id NOT IN (SELECT id FROM b) UNION ALL SELECT id, 'disappeared_node' FROM b WHERE id NOT IN (SELECT id FROM a)")
@@ -322,16 +339,16 @@ def consensus_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("part", F.round(F.col("p") / F.col("t"), 4).alias("positive"), S.consensus_label_display(F.col("p"), F.col("n"), F.col("h")).alias("label"))
 
 
-# --- text -----------------------------------------------------------------------------------------------------------
+# --- text ---
 
 
 _NORM = r"trim(regexp_replace(regexp_replace(lower(strip_accents(text)), '^[ \t\n\r\f\x0b]+|[ \t\n\r\f\x0b]+$', '', 'g'), '[ \t\n\r\f\x0b]+', ' ', 'g'), '.,;:!?()[]{}""''')".replace('""', '"')
 
 
-@query(f"SELECT doc_id, md5({_NORM}) AS h, length({_NORM}) AS n FROM documents WHERE lang <> 'de'")
+@query(f"SELECT doc_id, md5({_NORM}) AS h, length({_NORM}) AS n FROM documents")
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = T.normalize_entity_text(F.col("text"))
-    return table(spark, sf_dir, "documents").filter("lang <> 'de'").select("doc_id", F.md5(n).alias("h"), F.length(n).alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(n).alias("h"), F.length(n).alias("n"))
 
 
 @query("SELECT p_partkey, upper(trim(p_brand)) || ':' || trim(p_name) AS concept, upper(p_type) || '::' || upper(trim(p_brand)) || ':' || trim(p_name) AS node_id FROM part")
@@ -375,9 +392,9 @@ def poor_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.is_poor_scan(F.col("text")).alias("poor"))
 
 
-@query("SELECT doc_id, instr(lower(text), 'tion') - 1 AS at, left(text, instr(lower(text), 'tion') - 1) || '[E]' || substr(text, instr(lower(text), 'tion'), 4) || '[/E]' || substr(text, instr(lower(text), 'tion') + 4) AS marked FROM documents WHERE instr(lower(text), 'tion') > 0 AND length(text) < 2000")
+@query("SELECT doc_id, instr(lower(text), 'tion') - 1 AS at, left(text, instr(lower(text), 'tion') - 1) || '[E]' || substr(text, instr(lower(text), 'tion'), 4) || '[/E]' || substr(text, instr(lower(text), 'tion') + 4) AS marked FROM documents WHERE instr(lower(text), 'tion') > 0")
 def entity_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").filter("length(text) < 2000").withColumn("at", T.find_offset(F.col("text"), F.lit("TION"))).filter("at is not null")
+    d = table(spark, sf_dir, "documents").withColumn("at", T.find_offset(F.col("text"), F.lit("TION"))).filter("at is not null")
     return d.select("doc_id", "at", T.mark_entity(F.col("text"), F.col("at"), F.col("at") + 4).alias("marked"))
 
 
@@ -398,7 +415,7 @@ def next_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", D.next_run(d, F.lit("weekly")).alias("weekly"), D.next_run(d, F.lit("monthly")).alias("monthly"))
 
 
-# --- retrieval ------------------------------------------------------------------------------------------------------
+# --- retrieval ---
 
 
 _COSINE = "WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings), c AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings), s AS (SELECT query_id, id, list_cosine_similarity(e, q) AS sim, label FROM q CROSS JOIN c)"
@@ -419,14 +436,14 @@ def cosine_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.nearest(*_vectors(spark, sf_dir), 20, doc_id=3, threshold=0.3).withColumn("similarity", F.round("similarity", 6))
 
 
-_WORDS = "SELECT doc_id AS id, list_slice(regexp_extract_all(lower(text), '[a-z]+'), 1, 30) AS w FROM documents WHERE doc_id < 500"
+_WORDS = "SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents"
 
 
 @query(f"""{_COSINE}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, id) AS rank FROM s), d AS ({_WORDS}), x AS (SELECT ['and', 'are', 'ering', 'of', 'the'] AS y),
 r AS (SELECT query_id, k.id, rank, CASE WHEN len(coalesce(w, [])) = 0 THEN 0.0 ELSE len(list_intersect(list_distinct(w), y)) / len(list_distinct(list_concat(w, y))) END AS kg, sim FROM k LEFT JOIN d ON d.id = k.id CROSS JOIN x WHERE rank <= 10),
-h AS (SELECT *, round(sim * 0.7 + kg * 0.3, 9) AS hy FROM r), f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hy DESC, rank) AS new_rank FROM h) SELECT query_id, id, new_rank, round(kg, 6) AS kg_score, round(hy, 6) AS hybrid_score FROM f WHERE new_rank <= 5""")
+h AS (SELECT *, sim * 0.7 + kg * 0.3 AS hy FROM r), f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(hy, 9) DESC, rank) AS new_rank FROM h) SELECT query_id, id, new_rank, round(kg, 6) AS kg_score, round(hy, 6) AS hybrid_score FROM f WHERE new_rank <= 5""")
 def hybrid_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").filter("doc_id < 500").select(F.col("doc_id").alias("id"), F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0), 1, 30).alias("doc_entities"))
+    words = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0).alias("doc_entities"))
     context = spark.createDataFrame([(w,) for w in ("the", "of", "and", "ering", "are")], "label string")
     return R.retrieve(*_vectors(spark, sf_dir), words, context, 5).select("query_id", "id", "new_rank", F.round("kg_score", 6).alias("kg_score"), F.round("hybrid_score", 6).alias("hybrid_score"))
 
@@ -441,7 +458,7 @@ _CONTEXT = f"{WITH_GRAPH}, q AS (SELECT unnest(['red widget', 'Bolt', 'a very gr
 
 def _context(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     entities = spark.createDataFrame([("red widget",), ("Bolt",), ("a very green ring indeed",)], "entity string")
-    return R.graph_context(A.node_table(spark, sf_dir), A.edge_table(spark, sf_dir), entities)
+    return R.graph_context(A.node_table(spark, sf_dir, lists=False), A.edge_table(spark, sf_dir, lists=False), entities)
 
 
 @query(f"{_CONTEXT} SELECT id, label, entity_type, frequency FROM h")
@@ -462,7 +479,7 @@ def articles_by_pmids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup(a, a.filter("doc_id % 97 = 3").select("pmid")).select("pmid", "lang")
 
 
-# --- conversations --------------------------------------------------------------------------------------------------
+# --- conversations ---
 
 
 @query("SELECT conv_id AS conversation_id, count(*) AS n_messages, substr(arg_max(text, turn), 1, 100) AS last_message FROM conversations GROUP BY 1")
@@ -490,7 +507,7 @@ def history_last_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.history_last(A.messages(spark, sf_dir), 3).select("conversation_id", "created_at", "role")
 
 
-# --- documents ------------------------------------------------------------------------------------------------------
+# --- documents ---
 
 
 @query("SELECT sha256(text) AS file_hash, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY 1")
@@ -500,11 +517,11 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUALITY = r"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS c FROM documents),
 h AS (SELECT doc_id, c, len(string_split(lower(c), '@')) + len(string_split(lower(c), 'engineer')) + len(string_split(lower(c), 'http')) + len(string_split(lower(c), 'linkedin')) + len(string_split(lower(c), 'page')) + len(string_split(lower(c), 'senior')) + len(string_split(lower(c), 'www.')) - 7 AS hits FROM p),
-b AS (SELECT doc_id, count(*) AS n_pages, round(sum(length(c)) / count(*), 6) AS chars_per_page, sum(hits) AS hits FROM h GROUP BY 1),
+b AS (SELECT doc_id, count(*) AS n_pages, sum(length(c)) / count(*) AS chars_per_page, sum(hits) AS hits FROM h GROUP BY 1),
 w AS (SELECT doc_id, count(*) AS nw, count(DISTINCT t) AS nd FROM (SELECT doc_id, unnest(string_split_regex(lower(c), '[ \t\n\r\f]+')) AS t FROM p) WHERE t <> '' GROUP BY 1),
 s AS (SELECT doc_id, max(n) AS most, sum(n) AS filled FROM (SELECT doc_id, trim(c) AS c, count(*) AS n FROM p WHERE c <> '' GROUP BY 1, 2) GROUP BY 1),
-r AS (SELECT b.doc_id, n_pages, chars_per_page, round(nd / nw, 6) AS unique_ratio, CASE WHEN filled > 1 THEN round(most / filled, 6) END AS repetition, round(hits / nw, 6) AS indicator_ratio FROM b LEFT JOIN w USING (doc_id) LEFT JOIN s USING (doc_id))
-SELECT *, CASE WHEN chars_per_page < 100 THEN 'insufficient_text' WHEN unique_ratio < 0.15 THEN 'repetitive_content' WHEN repetition > 0.5 THEN 'duplicate_pages' WHEN indicator_ratio > 0.3 THEN 'metadata_only' ELSE 'sufficient' END AS reason FROM r"""
+r AS (SELECT b.doc_id, n_pages, chars_per_page, nd / nw AS unique_ratio, CASE WHEN filled > 1 THEN most / filled END AS repetition, hits / nw AS indicator_ratio FROM b LEFT JOIN w USING (doc_id) LEFT JOIN s USING (doc_id))
+SELECT doc_id, n_pages, round(chars_per_page, 6) AS chars_per_page, round(unique_ratio, 6) AS unique_ratio, round(repetition, 6) AS repetition, round(indicator_ratio, 6) AS indicator_ratio, CASE WHEN chars_per_page < 100 THEN 'insufficient_text' WHEN unique_ratio < 0.15 THEN 'repetitive_content' WHEN repetition > 0.5 THEN 'duplicate_pages' WHEN indicator_ratio > 0.3 THEN 'metadata_only' ELSE 'sufficient' END AS reason FROM r"""
 
 
 @query(_QUALITY)
@@ -513,13 +530,17 @@ def page_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return DOC.extraction_quality(pages).drop("is_sufficient")
 
 
-@query("""WITH t AS (SELECT doc_id, trim(text) AS t FROM documents), s AS (SELECT doc_id, trim(CASE doc_id % 3 WHEN 0 THEN left(text, length(text) // 3) WHEN 1 THEN text || '. extra' ELSE text || text END) AS s FROM documents WHERE doc_id % 5 <> 0)
-SELECT doc_id, CASE WHEN ns > nt * 1.5 THEN 'ocr_preferred' WHEN nt > ns * 1.5 THEN 'text_preferred' WHEN ns > 0 AND nt > 0 THEN 'combined' ELSE 'fallback' END AS merge_method FROM (SELECT doc_id, length(coalesce(t, '')) AS nt, length(coalesce(s, '')) AS ns FROM t LEFT JOIN s USING (doc_id))""")
+@query("""WITH t AS (SELECT doc_id, trim(text) AS t FROM documents), s AS (SELECT doc_id, trim(CASE doc_id % 3 WHEN 0 THEN left(text, length(text) // 3) WHEN 1 THEN text || '. extra' ELSE text || text END) AS s FROM documents WHERE doc_id % 5 <> 0),
+x AS (SELECT doc_id, coalesce(t, '') AS t, coalesce(s, '') AS s, length(coalesce(t, '')) AS nt, length(coalesce(s, '')) AS ns FROM t LEFT JOIN s USING (doc_id)),
+k AS (SELECT doc_id, p, min(i) AS i FROM (SELECT doc_id, unnest(string_split(s, '. ')) AS p, unnest(range(0, len(string_split(s, '. ')))) AS i, string_split(t, '. ') AS ts FROM x) WHERE NOT list_contains(ts, p) GROUP BY 1, 2),
+e AS (SELECT doc_id, string_agg(p, '. ' ORDER BY i) AS extra FROM k GROUP BY 1),
+y AS (SELECT *, CASE WHEN ns > nt * 1.5 THEN 'ocr_preferred' WHEN nt > ns * 1.5 THEN 'text_preferred' WHEN ns > 0 AND nt > 0 THEN 'combined' ELSE 'fallback' END AS merge_method FROM x LEFT JOIN e USING (doc_id))
+SELECT doc_id, merge_method, md5(CASE merge_method WHEN 'ocr_preferred' THEN s WHEN 'combined' THEN CASE WHEN extra IS NULL THEN t ELSE t || chr(10) || chr(10) || extra END ELSE t END) AS content FROM y""")
 def scan_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     scan = F.when(F.col("doc_id") % 3 == 0, F.left("text", F.floor(F.length("text") / 3).cast("int"))).when(F.col("doc_id") % 3 == 1, F.concat("text", F.lit(". extra"))).otherwise(F.concat("text", "text"))
     merged = DOC.merge_scan(d.select("doc_id", F.lit(0).alias("page_no"), F.col("text").alias("content")), d.filter("doc_id % 5 <> 0").select("doc_id", F.lit(0).alias("page_no"), scan.alias("content")))
-    return merged.select("doc_id", "merge_method")
+    return merged.select("doc_id", "merge_method", F.md5("content").alias("content"))
 
 
 @query()
@@ -544,16 +565,16 @@ def summary_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", DOC.summary_strategy(F.length("text"), F.ceil(F.length("text") / 1000)).alias("strategy"))
 
 
-@query("WITH g AS (SELECT lower(p_name) AS key, upper(min(p_type)) AS entity_type FROM part GROUP BY 1), o AS (SELECT o_orderkey, 'a ' || upper(p_name) || ', then ' || p_name AS t FROM orders JOIN part ON p_partkey = o_orderkey % 2000 WHERE o_orderkey < 1000) SELECT CAST(o_orderkey AS VARCHAR) AS pmid, entity_type, substr(t, 3, length(key)) AS text FROM o JOIN g ON regexp_matches(lower(t), '(^|[^a-z])' || key || '([^a-z]|$)')")
+@query("WITH g AS (SELECT lower(p_name) AS key, upper(min(p_type)) AS entity_type FROM part GROUP BY 1), o AS (SELECT o_orderkey, 'a ' || upper(p_name) || ', then ' || p_name AS t FROM orders JOIN part ON p_partkey = o_orderkey % (SELECT count(*) FROM part)) SELECT CAST(o_orderkey AS VARCHAR) AS pmid, entity_type, substr(t, 3, length(key)) AS text FROM o JOIN g ON regexp_matches(lower(t), '(^|[^a-z])' || key || '([^a-z]|$)')")
 def dictionary_ner(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     gazetteer = part.groupBy(F.lower("p_name").alias("term")).agg(F.upper(F.min("p_type")).alias("entity_type"))
-    o = table(spark, sf_dir, "orders").filter("o_orderkey < 1000").join(part, F.col("p_partkey") == F.col("o_orderkey") % 2000)
+    o = table(spark, sf_dir, "orders").join(part, F.col("p_partkey") == F.col("o_orderkey") % part.count())
     texts = o.select(F.col("o_orderkey").cast("string").alias("pmid"), F.concat(F.lit("a "), F.upper("p_name"), F.lit(", then "), "p_name").alias("text"))
     return N.dictionary_provider(gazetteer)(texts).select("pmid", "entity_type", "text")
 
 
-# --- bookkeeping ----------------------------------------------------------------------------------------------------
+# --- bookkeeping ---
 
 _STATUS = {"purchase": "completed", "error": "failed", "click": "cancelled", "view": "running", "signup": "pending"}
 _STATUS_CASE = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _STATUS.items()) + " END"
@@ -589,7 +610,7 @@ def batch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT user_id, CAST(count_if(event_type <> 'error') AS BIGINT) AS hits, CAST(count_if(event_type = 'error') AS BIGINT) AS misses FROM events GROUP BY 1")
 def cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("user_id", (F.col("event_type") != "error").alias("hit"))
-    return e.groupBy("user_id").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+    return J.cache_stats(e.withColumn("key", F.col("user_id")), "user_id").select("user_id", "hits", "misses")
 
 
 @query("SELECT CAST(count_if(event_type <> 'error') AS BIGINT) AS hits, CAST(count_if(event_type = 'error') AS BIGINT) AS misses, round(count_if(event_type <> 'error') / count(*) * 100, 2) AS hit_rate, count(DISTINCT user_id) AS size FROM events")
@@ -635,3 +656,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 from helixmill.plans import more as _more  # noqa: E402, F401 - registers further queries
+from helixmill.plans import rest as _rest  # noqa: E402, F401

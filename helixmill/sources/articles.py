@@ -5,13 +5,14 @@ Articles: pmid, title, abstract, journal, pub_date, authors[], mesh_terms[], pmc
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -19,6 +20,7 @@ ARTICLE = "pmid string, title string, abstract string, journal string, pub_date
 #: An article the annotation service always has: asked for along with others, and left out of what comes back.
 SENTINEL = "12068308"
 _ANNOTATION = "struct<id: string, text: string, infons: struct<type: string, identifier: string, id: string>, locations: array<struct<offset: int, length: int>>>"
+BUCKET = 100_000
 _ROLE = "struct<normalized_name: string, identifier: string>"
 DOCUMENT = f"struct<pmid: string, id: string, _id: string, passages: array<struct<annotations: array<{_ANNOTATION}>>>, relations: array<struct<infons: struct<type: string, entity1: string, entity2: string, role1: {_ROLE}, role2: {_ROLE}>, nodes: array<struct<refid: string>>>>>"
 
@@ -111,18 +113,19 @@ def annotations_of(replies: DataFrame, column: str = "json", sentinel: str | Non
 
 
 def request_chunks(pmids: DataFrame, size: int = 50, sentinel: str = SENTINEL) -> DataFrame:
-    """(chunk, pmids): what to ask the annotation service for, the sentinel added to each chunk that lacks it."""
-    numbered = pmids.select("pmid", F.floor((F.row_number().over(_by("pmid")) - 1) / size).alias("chunk"))
+    """(chunk, pmids): what to ask the annotation service for, the sentinel added to each chunk that lacks it.
+
+    Numbers are given within buckets of about ``BUCKET`` ids, so that no task has all of them; a bucket's last chunk is short.
+    """
+    buckets = -(-pmids.count() // BUCKET) or 1
+    bucket = F.pmod(F.xxhash64("pmid"), F.lit(buckets))
+    order = Window.partitionBy("bucket").orderBy("pmid")
+    chunk = F.col("bucket") * -(-2 * BUCKET // size) + F.floor((F.row_number().over(order) - 1) / size)
+    numbered = pmids.select("pmid", bucket.alias("bucket")).select("pmid", chunk.alias("chunk"))
     lists = numbered.groupBy("chunk").agg(F.sort_array(F.collect_list("pmid")).alias("pmids"))
     return lists.withColumn("pmids", F.when(F.array_contains("pmids", sentinel), F.col("pmids")).otherwise(F.concat("pmids", F.array(F.lit(sentinel)))))
 
 
-def _by(column: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(column)
-
-
 def search_request(term: str, max_results: int = 20, start: int = 0, sort: str = "relevance", mindate: str = "", maxdate: str = "", history: bool = False) -> dict[str, str]:
     """Parameters of a search: 1 to 10,000 results from 0 on; dates are publication dates; with history none come back but the cursor."""
     out = {"db": "pubmed", "term": term, "retmode": "json", "sort": sort, "retmax": "0" if history else str(max(1, min(max_results, 10_000)))}
@@ -147,31 +150,138 @@ def pages(total: int, batch_size: int, start: int = 0, max_batches: int | None =
     return found if max_batches is None else found[:max_batches]
 
 
+# --- transports: how requests are sent ---
+
+MOST_IDS = 200  # of articles asked for by id in one request
+
+
+class HttpTransport:
+    """Requests to a literature service at ``base``, so far apart as it allows, again after errors."""
+
+    def __init__(self, base: str, key: str = "", timeout: float = 60.0):
+        from helixmill.functions.scoring import least_interval
+        from helixmill.operators.jobs import RateLimiter
+
+        self.base, self.key, self.timeout = base.rstrip("/"), key, timeout
+        self._limit = RateLimiter(1 / least_interval(bool(key)))
+
+    def get(self, endpoint: str, params: dict[str, str]) -> str:
+        from urllib.parse import urlencode
+        from urllib.request import urlopen
+
+        from helixmill.operators.jobs import with_retries
+
+        def once() -> str:
+            self._limit.wait()
+            with urlopen(f"{self.base}/{endpoint}?{urlencode(params | ({'api_key': self.key} if self.key else {}))}", timeout=self.timeout) as reply:
+                return reply.read().decode("utf-8", "replace")
+
+        return with_retries(once)
+
+
+class RecordedTransport:
+    """Replies that were stored: one file for each request, named by ``name_of``; a request without one is an OSError."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    @staticmethod
+    def name_of(endpoint: str, params: dict[str, str]) -> str:
+        return hashlib.sha256(json.dumps([endpoint, sorted(params.items())]).encode()).hexdigest()[:32]
+
+    def get(self, endpoint: str, params: dict[str, str]) -> str:
+        with open(os.path.join(self.folder, self.name_of(endpoint, params)), encoding="utf-8") as f:
+            return f.read()
+
+
+def fetch_request(cursor: dict, start: int, size: int) -> dict[str, str]:
+    """Parameters of a page of what a search with history found: 1 to 500 articles from 0 on."""
+    return {"db": "pubmed", "WebEnv": str(cursor["web_env"]), "query_key": str(cursor["query_key"]), "retstart": str(max(0, start)), "retmax": str(max(1, min(size, 500))), "retmode": "xml"}
+
+
+def fetch_by_id_request(pmids: list[str]) -> dict[str, str]:
+    """Parameters of a request for articles by id: the first ``MOST_IDS``."""
+    return {"db": "pubmed", "id": ",".join(pmids[:MOST_IDS]), "retmode": "xml"}
+
+
+def search_with_history(transport, term: str, **filters) -> dict[str, str | int]:
+    """web_env, query_key and count of a search."""
+    return search_cursor(transport.get("esearch.fcgi", search_request(term, history=True, **filters)))
+
+
+def search_ids(transport, term: str, max_results: int = 20, start: int = 0, **filters) -> list[str]:
+    """Ids of one page of a search."""
+    return json.loads(transport.get("esearch.fcgi", search_request(term, max_results, start, **filters))).get("esearchresult", {}).get("idlist", [])
+
+
+def fetch_pages(spark: SparkSession, transport, cursor: dict, pages: list[tuple[int, int]]) -> DataFrame:
+    """Articles of some pages, with their page's number; each page is asked for by an executor, which needs no other."""
+    rows = spark.createDataFrame([(k, a, n) for k, (a, n) in enumerate(pages)], "page int, retstart int, retmax int")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            replies = [transport.get("efetch.fcgi", fetch_request(cursor, a, n)) for a, n in zip(b.column("retstart").to_pylist(), b.column("retmax").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(replies, pa.string())], ["xml"])
+
+    return articles_of(rows.repartition(max(1, len(pages)), "page").mapInArrow(run, "xml string"))
+
+
+def fetch_articles(spark: SparkSession, transport, pmids: list[str]) -> DataFrame:
+    """Articles by id, the first ``MOST_IDS`` of them."""
+    return articles_of(spark.createDataFrame([(transport.get("efetch.fcgi", fetch_by_id_request(pmids)),)] if pmids else [], "xml string"))
+
+
 class _Page(InputPartition):
-    def __init__(self, start: int, size: int):
-        self.start, self.size = start, size
+    def __init__(self, start: int, size: int, cursor: dict | None = None):
+        self.start, self.size, self.cursor = start, size, cursor
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.folder = options["path"]
+        self.options = dict(options)
         self.size = int(options.get("batchsize", "200"))
-        self.total = int(options.get("total", str(len(os.listdir(self.folder)))))
+
+    def _transport(self):
+        if "path" in self.options and "term" in self.options:
+            return RecordedTransport(self.options["path"])
+        return HttpTransport(self.options["url"], self.options.get("key", ""))
 
     def partitions(self) -> list[InputPartition]:
-        return [_Page(a, n) for a, n in pages(self.total, self.size)]
+        o = self.options
+        if "term" in o or "pmids" in o:
+            if "pmids" in o:
+                return [_Page(0, MOST_IDS)]
+            filters = {k: o[k] for k in ("sort", "mindate", "maxdate") if k in o}
+            cursor = search_with_history(self._transport(), o["term"], **filters)
+            return [_Page(a, n, cursor) for a, n in pages(min(cursor["count"], int(o.get("total", cursor["count"]))), self.size)]
+        return [_Page(a, n) for a, n in pages(int(o.get("total", str(len(os.listdir(o["path"]))))), self.size)]
+
+    def _replies(self, partition: _Page) -> Iterator[str]:
+        o = self.options
+        if partition.cursor is not None:
+            yield self._transport().get("efetch.fcgi", fetch_request(partition.cursor, partition.start, partition.size))
+        elif "pmids" in o:
+            transport = RecordedTransport(o["path"]) if "path" in o else HttpTransport(o["url"], o.get("key", ""))
+            yield transport.get("efetch.fcgi", fetch_by_id_request([p.strip() for p in o["pmids"].split(",") if p.strip()]))
+        else:
+            for name in sorted(os.listdir(o["path"]))[partition.start : partition.start + partition.size]:
+                with open(os.path.join(o["path"], name), encoding="utf-8") as f:
+                    yield f.read()
 
     def read(self, partition: _Page) -> Iterator[tuple]:
-        names = sorted(os.listdir(self.folder))[partition.start : partition.start + partition.size]
-        for name in names:
-            with open(os.path.join(self.folder, name), encoding="utf-8") as f:
-                for a in parse_articles(f.read()):
-                    yield tuple(a[c.split(" ")[0]] for c in ARTICLE.split(", "))
+        for reply in self._replies(partition):
+            for a in parse_articles(reply):
+                yield tuple(a[c.split(" ")[0]] for c in ARTICLE.split(", "))
 
 
 class ArticleSource(DataSource):
-    """``spark.dataSource.register(ArticleSource)``, then ``spark.read.format("articles")``: a page of replies for each
-    partition, read from a folder of stored XML replies (the network stays behind the same two methods)."""
+    """``spark.dataSource.register(ArticleSource)``, then ``spark.read.format("articles")`` with these options:
+
+    ``term`` (and ``sort``, ``mindate``, ``maxdate``, ``total``, ``batchsize``): a search with history, then a partition for
+    each page of it; ``pmids``: articles by id, with commas; each from the service at ``url`` (and ``key``), or from replies
+    recorded in ``path``. Only ``path``: a folder, which all executors see, of XML replies in order of their names, so many
+    to a partition.
+    """
 
     @classmethod
     def name(cls) -> str:

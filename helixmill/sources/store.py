@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
+from helixmill.session import newest
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: Column | None = None) -> DataFrame:
-    """Rows by key, those of ``new`` in place of the old; of several new rows of a key the last by ``order``."""
-    last = F.desc(F.lit(0)) if order is None else order.desc()
-    n = new.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(last))).filter("__k = 1").drop("__k")
+    """Rows by key, those of ``new`` in place of the old; of several new rows of a key the last by ``order``, and of equal
+    ones, or without an order, the greatest by its other columns as JSON: a table has no last row otherwise."""
+    rest = F.to_json(F.struct(*sorted(c for c in new.columns if c not in keys)) if len(new.columns) > len(keys) else F.struct(F.lit(0)), {"ignoreNullFields": "false"})
+    last = [] if order is None else [order.desc()]
+    n = new.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(*last, rest.desc()))).filter("__k = 1").drop("__k")
     return old.join(n.select(*keys), keys, "left_anti").unionByName(n)
 
 
@@ -38,17 +43,33 @@ def upsert_edges(old: DataFrame, new: DataFrame) -> DataFrame:
     return upsert(old, ordered, ["source_id", "target_id"])
 
 
-def write_version(df: DataFrame, folder: str) -> str:
-    """Write a new version; readers of the old one aren't disturbed, and a write that fails leaves it current."""
-    version = uuid.uuid4().hex
+def write_version(df: DataFrame, folder: str) -> int:
+    """Write the next version; readers of the one before aren't disturbed, and a write that fails leaves it current. Of two
+    writers of one number the later fails."""
+    last = newest(df.sparkSession, folder, "v-")
+    version = 0 if last is None else last + 1
     df.write.parquet(f"{folder}/v-{version}")
-    df.sparkSession.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").json(f"{folder}/versions")
     return version
 
 
 def read_current(spark: SparkSession, folder: str) -> DataFrame:
-    last = spark.read.schema("version string").json(f"{folder}/versions").select("version", F.col("_metadata.file_modification_time").alias("t")).orderBy(F.desc("t")).first()
-    return spark.read.parquet(f"{folder}/v-{last.version}")
+    """The version of the highest number that was written to its end."""
+    last = newest(spark, folder, "v-")
+    if last is None:
+        raise FileNotFoundError(f"no version in {folder}")
+    return spark.read.parquet(f"{folder}/v-{last}")
+
+
+def first_graph(spark: SparkSession, sources: Iterable[Callable[[], tuple[DataFrame, DataFrame]]], empty: tuple[str, str] = ("id string", "source_id string, target_id string")) -> tuple[DataFrame, DataFrame]:
+    """The graph of the first source that can be read and has a node, without rows that lack an id; else an empty one."""
+    for source in sources:
+        try:
+            nodes, edges = load_graph(*source())
+            if not nodes.isEmpty():
+                return nodes, edges
+        except (AnalysisException, FileNotFoundError):  # a cache or table that isn't there
+            continue
+    return spark.createDataFrame([], empty[0]), spark.createDataFrame([], empty[1])
 
 
 def load_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -64,3 +85,34 @@ def articles_by_pmids(articles: DataFrame, pmids: DataFrame) -> DataFrame:
 def write_events(events: DataFrame, path: str) -> None:
     """Events as lines of JSON."""
     events.write.mode("append").json(path)
+
+
+def store_objects(files: DataFrame, put: Callable[[str, bytes], str], fallback: Callable[[str, bytes], str]) -> DataFrame:
+    """(name, address, error) of files (name, content): each is put where ``put`` (name, content) says, or where that fails
+    by ``fallback``, which is noted. Both are called on executors, and may be called again for a task that is repeated."""
+
+    def run(rows: Iterable[Row]) -> Iterable[tuple]:
+        for r in rows:
+            try:
+                yield r.name, put(r.name, bytes(r.content)), None
+            except OSError as e:
+                yield r.name, fallback(r.name, bytes(r.content)), str(e)
+
+    return files.select("name", "content").rdd.mapPartitions(run).toDF("name string, address string, error string")
+
+
+def notify(events: DataFrame, post: Callable[[str], None], attempts: int = 3) -> DataFrame:
+    """(event, status) after each event (as JSON) was posted by its executor: sent, or the error of the last attempt."""
+    names = events.columns
+
+    def run(rows: Iterable[Row]) -> Iterable[tuple]:
+        from helixmill.operators.jobs import with_retries
+
+        for r in rows:
+            try:
+                with_retries(lambda r=r: post(r.event), attempts)
+                yield r.event, "sent"
+            except OSError as e:
+                yield r.event, str(e)
+
+    return events.select(F.to_json(F.struct(*names)).alias("event")).rdd.mapPartitions(run).toDF("event string, status string")

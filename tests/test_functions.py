@@ -41,6 +41,63 @@ def test_normalize_equals_python(spark, values):
         assert column(spark, values, lambda x, e=exact: T.normalize_entity_text(x, e)) == [_normalize(v) for v in values]
 
 
+@QUICK
+@given(st.lists(st.text(max_size=30), min_size=1, max_size=200))
+def test_normalize_equals_python_on_all_of_unicode(spark, values):
+    assert column(spark, values, T.normalize_entity_text) == [_normalize(v) for v in values]
+
+
+def test_normalize_compatibility_forms(spark):
+    cases = {"\ufb01brosis": "fibrosis", "CO\u2082": "co2", "Vi\u1ec7t": "viet", "\uff15": "5", "\u0391\u03ac": "\u03b1\u03b1", "a\u00a0b": "a b", "\u2460x": "1x"}
+    assert column(spark, cases, T.normalize_entity_text) == list(cases.values())
+
+
+def _repaired(s: str) -> str:
+    """Repairs of scans, sign by sign."""
+    word = lambda c: c.isalnum() or c == "_"
+    s = s.replace("|", "I").replace("0", "O")
+
+    def joined(s: str, wanted) -> str:
+        out, i = "", 0
+        while i < len(s):
+            j = i + 1
+            while j < len(s) and s[j].isspace():
+                j += 1
+            if word(s[i]) and j > i + 1 and j < len(s) and word(s[j]) and wanted(s, i, j):
+                out, i = out + s[i], j
+            else:
+                out, i = out + s[i], i + 1
+        return out
+
+    def three(s, i, j):
+        for _ in range(2):  # one sign, blanks, one sign, blanks, one sign
+            k = j + 1
+            while k < len(s) and s[k].isspace():
+                k += 1
+            if k == j + 1 or k >= len(s) or not word(s[k]):
+                return False
+            j = k
+        return True
+
+    def single(s, i, j):
+        return (i == 0 or not word(s[i - 1])) and (j + 1 == len(s) or not word(s[j + 1]))
+
+    t = " ".join(joined(joined(s, three), single).split())
+    for d in "123456789":
+        t = t.replace(f"{d} . ", f"{d}. ")
+    return t
+
+
+@QUICK
+@given(st.lists(st.text(alphabet="ab é|0 1.\n\tüñ日5_-", max_size=25).map(lambda x: x.strip()), min_size=1, max_size=100))
+def test_scan_repairs_equal_another_program(spark, values):
+    assert column(spark, values, T.clean_ocr_text) == [_repaired(v) for v in values]
+
+
+def test_scan_repairs_know_accented_letters(spark):
+    assert column(spark, ["é t u d e de l"], T.clean_ocr_text) == ["étud e de l"]
+
+
 def test_concepts_and_node_ids(spark):
     assert column(spark, ["mesh:D009369", " NCBIGene:673 ", "x", "a:b:c"], T.normalize_concept_id) == ["MESH:D009369", "NCBIGENE:673", "x", "A:b:c"]
     row = spark.range(1).select(T.make_node_id(F.lit("disease"), F.lit("Cancer"), F.lit("mesh:D009369")), T.make_node_id(F.lit("drug"), F.lit("Aspirin"))).first()
