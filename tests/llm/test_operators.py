@@ -571,6 +571,24 @@ def test_search_groups_of_queries(spark, monkeypatch):
     whole = {tuple(r) for r in topk.search(docs, items).collect()}
     monkeypatch.setattr(topk, "QUERIES", 2)
     assert {tuple(r) for r in topk.search(docs, items).collect()} == whole and len(whole) == 50
+    monkeypatch.setattr(topk, "VOCABULARY_BYTES", 0)  # an index for each group
+    monkeypatch.setattr(topk, "STEP", 2)
+    assert {tuple(r) for r in topk.search(docs, items).collect()} == whole
+
+
+def test_scores_that_are_started_from_lose_nothing():
+    """Of the blocks one in three gives each query's least score; the rest are searched from there, two at a time."""
+    rng = np.random.default_rng(4)
+    searcher = topk.Searcher(np.repeat(np.arange(9), 4), rng.integers(0, 30, 36), np.ones(36, int), 9, rng.integers(1, 400, 30).astype(float), 2000, 200_000)
+    rows = []
+    for b in range(30):
+        key = np.unique(rng.integers(0, 64 * 30, 150))
+        rows.append({"n": 64, "doc_ids": (np.arange(64) + b * 64).astype("<i8").tobytes(), "lengths": rng.integers(20, 300, 64).astype("<i8").tobytes(), "owners": (key // 30).astype("<u1").tobytes(), "terms": (key % 30).astype("<i4").tobytes(), "counts": rng.integers(1, 9, len(key)).astype("<i4").tobytes()})
+    whole = {q: list(zip(i.tolist(), s.tolist())) for q, i, s in searcher.search(rows, 10)}
+    for q, _, s in searcher.search(rows[::3], 10):
+        searcher.least[q] = s[-1] if len(s) == 10 else 0
+    again = {q: list(zip(i.tolist(), s.tolist())) for q, i, s in searcher.search(iter(rows), 10)}
+    assert again == whole and len(whole) == 9
 
 
 # --- toxicity -------------------------------------------------------------------------------------------------------
