@@ -536,7 +536,31 @@ def test_urls(spark):
     cases = {"http://xxx.example": (1, 0, True), "http://essex.example/sextant": (0, 0, False), "http://free.example/bets": (0, 2, True), "http://free.example/free/freedom": (0, 1, False), "http://a/c%61sino": (1, 0, True), "http://a/CASINO1": (1, 0, True), "": (0, 0, False), None: (0, 0, False), "ports": (0, 0, False)}
     df = spark.createDataFrame([(i, u) for i, u in enumerate(cases)], "page_id long, url string")
     assert [(r.n_strict, r.n_soft, r.rejected) for r in url_filter.judge(df).orderBy("page_id").collect()] == list(cases.values())
-    assert url_filter.judge(df, (), ()).filter("rejected").count() == 0
+    assert url_filter.judge(df, {}).filter("rejected").count() == 0
+
+
+def test_url_weights_and_tables(spark, tmp_path):
+    rows = [("Spam", "strict", None), ("deal", "soft", 0.5), ("win", "soft", 1.5), ("win", "soft", 1.0), ("x9", "soft", 2.0), (None, "soft", 1.0), ("odd", "other", 9.0)]
+    spark.createDataFrame(rows, "term string, kind string, weight double").write.parquet(str(tmp_path / "v"))
+    terms = url_filter.vocabulary(spark, str(tmp_path / "v"))
+    assert terms == {"spam": float("inf"), "deal": 0.5, "win": 1.5, "x9": 2.0}
+    (tmp_path / "v.csv").write_text("term,kind,weight\nspam,strict,\ndeal,soft,0.5\nwin,soft,1.5\nx9,soft,2\n")
+    assert url_filter.vocabulary(spark, str(tmp_path / "v.csv")) == terms
+    cases = {"a/spam": True, "a/deal": False, "a/deal/win": True, "a/win/win": False, "a/x9": False, "a/x9/deal": True, "a/x99/deal": False, "ax9-deal": False}
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(cases)], "page_id long, url string")
+    assert [r.rejected for r in url_filter.judge(df, terms).orderBy("page_id").collect()] == list(cases.values())
+
+
+def test_url_query_equals_another_search(spark):
+    """Every term is looked for in every URL by a pattern of its own."""
+    terms = url_filter.vocabulary()
+    assert len(terms) > 150
+    for r in queries.QUERIES["op7_url_filter"](spark, SF).collect():
+        plain = re.sub("%([2-7][0-9a-fA-F])", lambda m: chr(int(m[1], 16)), r.url or "").lower()
+        want = {t for t in terms if t in plain and re.search(rf"(?<![^\W\d_]){t}(?![^\W\d_])", plain)}
+        hard = {t for t in want if terms[t] == float("inf")}
+        soft = want - hard
+        assert set(filter(None, r.terms.split(","))) == want and r.rejected == bool(hard or (len(soft) > 1 and sum(terms[t] for t in soft) >= 2))
 
 
 # --- search ---------------------------------------------------------------------------------------------------------
