@@ -41,9 +41,12 @@ from helixmill.session import cut
 MAX_LABELLED = 20_000
 #: A term's shortest beginning, and the longest that is told from the whole word; whole words may be of any length.
 SHORT, LONG = 4, 9
-#: Least log likelihood ratio of a term; contexts (pairs of words around it) that it must stand in; share of its rows
-#: that may be clean.
-LEAST_G2, LEAST_CONTEXTS, MOST_CLEAN = 35.0, 5, 0.5
+#: Chance that any of the words and beginnings that are tested passes for a term though toxic rows hold it no more than
+#: others: with so many tested, it says how large the log likelihood ratio of a term must be.
+SIGNIFICANCE = 1e-4
+#: Contexts (pairs of words around it) that a term must stand in: this share of the toxic rows, within these bounds; and the
+#: share of a term's rows that may be clean.
+CONTEXTS, FEWEST, MOST, MOST_CLEAN = 0.05, 3, 5, 0.5
 #: Words for which the sum of weights counts half: a long text holds more of what only looks like a term.
 HALF_WORDS = 2000
 #: Words in a row that are judged by themselves within a longer text, so that what is toxic stays so among clean text.
@@ -57,6 +60,8 @@ JOIN = 3.0
 #: Single letters that a stretch goes on for at most beyond what may be a term.
 MORE_LETTERS = 32
 RESEMBLES = {"0": "o", "1": "il", "!": "il", "|": "il", "3": "e", "€": "e", "4": "a", "@": "a", "5": "s", "$": "s", "7": "t", "+": "t", "8": "b", "9": "g", "6": "g", "2": "z"}
+#: Letters of other scripts that look like Latin ones.
+RESEMBLES |= dict(zip("аеорсухіѕјԁһӏαοειντκρυ", "aeopcyxisjdhlaoeivtkpu"))
 
 _SKELETON = np.zeros(256, np.uint8)
 for _b in range(97, 123):
@@ -283,14 +288,17 @@ def learn_terms(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABE
     total = {bool(r[0]): r[1] for r in grouped.groupBy("toxic").agg(F.count_distinct("copies")).collect()}
     n1, n0 = total[True], total[False]
     counted = grouped.mapInArrow(_teach, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    likely = counted.filter((F.col("bad") >= LEAST_CONTEXTS) & (F.col("good") <= F.col("bad") * MOST_CLEAN / (1 - MOST_CLEAN))).collect()
-    likely = [(r.term, r.bad, r.good) for r in likely if _g2(r.bad, r.good, n1, n0) >= LEAST_G2]
+    least = min(MOST, max(FEWEST, round(CONTEXTS * n1)))
+    tested = counted.filter(F.col("bad") >= least).toArrow().to_pylist()
+    least_g2 = _critical(SIGNIFICANCE / max(len(tested), 1))
+    clean_enough = lambda bad, good: good <= bad * MOST_CLEAN / (1 - MOST_CLEAN)
+    likely = [(r["term"], r["bad"], r["good"]) for r in tested if clean_enough(r["bad"], r["good"]) and _g2(r["bad"], r["good"], n1, n0) >= least_g2]
     wanted = docs.sparkSession.sparkContext.broadcast({t for t, _, _ in likely})
     around = rows.mapInArrow(_contexts(wanted), "term string, around string").distinct().groupBy("term").count()
     contexts = {r[0]: r[1] for r in around.collect()}
     # a term that always stands between the same words has no more evidence than these; copies take none away
-    varied = [(t, min(bad, contexts.get(t, 0)), good) for t, bad, good in likely if contexts.get(t, 0) >= LEAST_CONTEXTS]
-    return choose_terms([x for x in varied if x[2] <= x[1] * MOST_CLEAN / (1 - MOST_CLEAN)], n1, n0), rows
+    varied = [(t, min(bad, contexts.get(t, 0)), good) for t, bad, good in likely if contexts.get(t, 0) >= least]
+    return choose_terms([x for x in varied if clean_enough(*x[1:])], n1, n0, least_g2), rows
 
 
 def _g2(bad: int, good: int, n1: int, n0: int) -> float:
@@ -299,9 +307,18 @@ def _g2(bad: int, good: int, n1: int, n0: int) -> float:
     return 2 * (bad * math.log(bad / (bad + good) / base) + (good * math.log(good / (bad + good) / (1 - base)) if good else 0))
 
 
-def choose_terms(counts: list[tuple[str, int, int]], n1: int, n0: int) -> dict[str, float]:
+def _critical(chance: float) -> float:
+    """The value that a chi-square variable of one degree of freedom exceeds with this chance."""
+    low, high = 0.0, 2000.0
+    while high - low > 1e-6:
+        middle = (low + high) / 2
+        low, high = (middle, high) if math.erfc(math.sqrt(middle / 2)) > chance else (low, middle)
+    return high
+
+
+def choose_terms(counts: list[tuple[str, int, int]], n1: int, n0: int, least_g2: float) -> dict[str, float]:
     """Of terms (text, toxic rows, clean rows) the most telling ones, none of which begins another."""
-    kept = {term: (bad, good) for term, bad, good in counts if bad and _g2(bad, good, n1, n0) >= LEAST_G2}
+    kept = {term: (bad, good) for term, bad, good in counts if bad and _g2(bad, good, n1, n0) >= least_g2}
     out: dict[str, float] = {}
     within: set[str] = set()  # beginnings of chosen terms
     for term in sorted(kept, key=lambda t: (-_g2(*kept[t], n1, n0), -len(t), t)):

@@ -658,6 +658,16 @@ def test_toxicity_on_labels_not_learned_from(spark):
     assert found / (found + missed) > 0.7 and wrong / (wrong + right) < 0.01
 
 
+def test_toxicity_on_a_split_that_settled_nothing(spark):
+    """Two thirds of the labels teach and one tests, by a hash; no constant was chosen on this split."""
+    d, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
+    third = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3))
+    x = {tuple(r[:2]): r[2] for r in toxicity.judge(d, labels.filter(third > 0)).join(labels.filter(third == 0), "doc_id").groupBy("toxic", "rejected").count().collect()}
+    found, missed, wrong, right = x.get((1, True), 0), x.get((1, False), 0), x.get((0, True), 0), x.get((0, False), 0)
+    print("fresh split", found, missed, wrong, right)
+    assert found / (found + missed) > 0.7 and wrong / (wrong + right) < 0.01
+
+
 def test_long_texts_are_judged_by_their_densest_window():
     scorer = toxicity.Scorer({"grumbol.": 7.6, "snarf": 7.6}, None, 5.4)
     toxic, clean = "he is a grumbol", " and so it goes on"
@@ -691,7 +701,7 @@ def test_near_copies_take_no_evidence_away(spark):
 def test_gate_lets_through_what_the_lattice_can_read(spark):
     model = toxicity.language_model(table(spark, SF, "documents"))
     scorer = toxicity.Scorer({"idiot.": 7.0, "loser.": 7.0, "trash.": 7.0, "moron.": 7.0, "idiôt.": 7.0}, model, 5.0)
-    hidden = ["i - d - i - o - t", "i. d. i. o. t.", "i d i ô t", "tr ash", "mo ron", "los€r", "i·d·i·o·t", "i\u200bd\u200bi\u200bo\u200bt", "gas tr ash", "l0ser", "i d i o t"]
+    hidden = ["\u0456d\u0456\u043et", "l\u03bf\u0455\u0435r", "i - d - i - o - t", "i. d. i. o. t.", "i d i ô t", "tr ash", "mo ron", "los€r", "i·d·i·o·t", "i\u200bd\u200bi\u200bo\u200bt", "gas tr ash", "l0ser", "i d i o t"]
     got = scorer.judge(pa.array([f"{a}{h}{b}" for h in hidden for a, b in (("", ""), ("you are such a ", " and more"))]))[1]
     assert min(got) > 5, [h for i, h in enumerate(hidden) if min(got[2 * i : 2 * i + 2]) <= 5]
     clean = ["todos los errores de la lista", "los eruditos", "the extra shelf", "gas stupor, 100 % of it", "id io tas", "\u20ac 100", "", "é", "«»"]
