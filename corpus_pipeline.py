@@ -3,7 +3,8 @@
 Each stage works on all that the one before kept, which is written as Parquet and read again. Toxic documents go;
 duplicate lines are cut out, and documents of which none is left go; of each group of near-duplicates one document stays;
 documents that hold a passage of the benchmark go; the rest is encoded. Nulls, repeated rows and empty tables pass as
-the operators say: a row of null doc_id or null text stays until the end, where it has null tokens if its text is null.
+the operators say: a row of null doc_id or null text stays until the end, where it has null tokens if its text is null; of
+rows that repeat doc_id and text one stays; rows of one doc_id with other texts are documents of their own.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from helixmill.llm import decontaminate, line_dedup, simhash, sp_bpe, toxicity
-from helixmill.session import shared_dir, table
+from helixmill.session import remove, shared_dir, table
 
 
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,4 +60,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return out
         out.write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        if k:  # what the stage before kept has been read for the last time; the last stage's input stays for its reader
+            remove(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs

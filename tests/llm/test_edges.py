@@ -171,6 +171,17 @@ def test_stages(spark, odd, none, tmp_path, k):
     assert out.columns == (odd.columns if k < len(corpus_pipeline.STAGES) - 1 else ["doc_id", "n_tokens", "token_ids", "round_trip"])
 
 
+def test_pipeline_over_empty_and_repeated_rows(spark, tmp_path):
+    rows = {"empty": [], "rows": [(1, PASSAGE), (1, PASSAGE), (1, "another text under the same number, of its own words"), (None, "nobody's text"), (2, None), (3, "")]}
+    for name, some in rows.items():
+        folder = tmp_path / name
+        documents(spark, [(d, t, "en", "s", len(t or "")) for d, t in some]).withColumns({"__id": F.lit(1), "__dropped": F.lit(2)}).write.parquet(str(folder / "documents.parquet"))
+        labels(spark, []).write.parquet(str(folder / "labels.parquet"))
+        bench(spark, []).write.parquet(str(folder / "benchmark.parquet"))
+        got = sorted((r.doc_id or 0, r.n_tokens or 0) for r in corpus_pipeline.run(spark, str(folder)).collect())
+        assert [d for d, _ in got] == ([] if name == "empty" else [0, 1, 1, 2, 3])
+
+
 def test_pipeline_equals_its_stages(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     docs = table(spark, sf, "documents")
