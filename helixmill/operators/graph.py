@@ -172,19 +172,26 @@ def top_edges(edges: DataFrame, n: int = 20) -> DataFrame:
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the least id of each connected component, nodes without edges included.
 
-    Labels fall to the least of the neighbours' and then to the label of the label, which halves the distance each
-    round; each round is cut into the shared folder.
+    Nodes are numbered once, so that what is shuffled each round is two numbers a row. Labels fall to the least of the
+    neighbours' and then to the label of the label, which halves the distance each round; each round is cut into the shared
+    folder. Ids come back at the end, where each component takes its least.
     """
-    sym = cut(both_ways(edges.select("source_id", "target_id")))
-    labels = cut(nodes.select("id", F.col("id").alias("component")))
+    numbers = cut(nodes.select("id").distinct().withColumn("k", F.monotonically_increasing_id()))
+    ends = edges.select("source_id", "target_id").join(numbers.select(F.col("id").alias("source_id"), F.col("k").alias("source_k")), "source_id").join(numbers.select(F.col("id").alias("target_id"), F.col("k").alias("target_k")), "target_id")
+    sym = cut(both_ways(ends.select(F.col("source_k").alias("source_id"), F.col("target_k").alias("target_id"))).distinct())
+    labels = sym.groupBy("id").agg(F.min("neighbor").alias("near")).select("id", F.least("id", "near").alias("root"))
+    labels = cut(labels)
     while True:
-        near = sym.join(labels.select(F.col("id").alias("neighbor"), "component"), "neighbor").groupBy("id").agg(F.min("component").alias("near"))
-        lower = labels.join(near, "id", "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("component"))
-        up = labels.select(F.col("id").alias("component"), F.col("component").alias("top"))
-        new = cut(lower.join(up, "component").select("id", "old", F.least("component", "top").alias("component")))
-        labels = new.select("id", "component")
-        if new.filter("component < old").isEmpty():
-            return labels
+        near = sym.join(labels.select(F.col("id").alias("neighbor"), "root"), "neighbor").groupBy("id").agg(F.min("root").alias("near"))
+        lower = labels.join(near, "id").select("id", F.col("root").alias("old"), F.least("root", "near").alias("root"))
+        up = labels.select(F.col("id").alias("root"), F.col("root").alias("top"))
+        new = cut(lower.join(up, "root").select("id", "old", F.least("root", "top").alias("root")))
+        labels = new.select("id", "root")
+        if new.filter("root < old").isEmpty():
+            break
+    found = numbers.join(labels.withColumnRenamed("id", "k"), "k", "left").select("id", F.coalesce("root", "k").alias("root"))
+    least = found.groupBy("root").agg(F.min("id").alias("component"))
+    return found.join(least, "root").select("id", "component")
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
