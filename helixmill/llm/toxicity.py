@@ -116,7 +116,7 @@ def _flat(word: str) -> str:
     return "".join(c for i, c in enumerate(word) if c != word[i - 1 : i])
 
 
-# --- language model -------------------------------------------------------------------------------------------------
+# --- language model ---
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +196,7 @@ def decode(text: str, model: LanguageModel) -> str:
     return best[1]
 
 
-# --- terms ----------------------------------------------------------------------------------------------------------
+# --- terms ---
 
 
 def _words(text: str) -> list[str]:
@@ -330,7 +330,7 @@ def choose_terms(counts: list[tuple[str, int, int]], n1: int, n0: int, least_g2:
     return {t: w for t, w in sorted(out.items()) if w > 0}
 
 
-# --- scoring --------------------------------------------------------------------------------------------------------
+# --- scoring ---
 
 
 class Scorer:

@@ -35,7 +35,7 @@ def test_query_equals_sql(spark, name):
     assert_equal(queries.QUERIES[name](spark, SF), SF, queries.ORACLE_SQL[name])
 
 
-# --- kernel ---------------------------------------------------------------------------------------------------------
+# --- kernel ---
 
 
 @settings(max_examples=60, deadline=None)
@@ -63,7 +63,7 @@ def test_winnow_guarantee():
         assert set(h[at[w.doc[at] == 0]].tolist()) & set(h[at[w.doc[at] == 1]].tolist())
 
 
-# --- SimHash --------------------------------------------------------------------------------------------------------
+# --- SimHash ---
 
 
 @pytest.mark.parametrize("radius", [1, 3, 20, 44, 50, 63])
@@ -139,7 +139,7 @@ def test_simhash_planted(spark):
     assert got <= set(twins) and len(got) >= 0.95 * len(twins)  # one word in twenty differs
 
 
-# --- lines ----------------------------------------------------------------------------------------------------------
+# --- lines ---
 
 
 def _distance(a: str, b: str) -> int:
@@ -195,7 +195,7 @@ def test_lines_are_cut_out(spark):
     assert {tuple(r) for r in line_dedup.without_duplicate_lines(df).collect()} == {(1, f"{line}\nown", 37), (2, "first\nlast", 10), (4, None, None)}
 
 
-# --- passages -------------------------------------------------------------------------------------------------------
+# --- passages ---
 
 
 def _passages(rows):
@@ -285,7 +285,7 @@ def test_passages_are_compared_by_whole_words(spark):
     assert suffix_index.repeated_passages(spark.createDataFrame(rows, DOCS)).count() == 0
 
 
-# --- personal data --------------------------------------------------------------------------------------------------
+# --- personal data ---
 
 
 def test_checks():
@@ -327,7 +327,85 @@ def test_pii_query_is_the_same_as_by_row(spark):
     assert Counter(tuple(r) for r in queries.QUERIES["op4_pii"](spark, SF).collect()) == want and len(want) > 20
 
 
-# --- decontamination ------------------------------------------------------------------------------------------------
+def _emails_by_hand(text):
+    """Addresses around each "@", without patterns: (start, end)."""
+    word = lambda c: c.isalnum() or c == "_"
+    out = []
+    for at in (i for i, c in enumerate(text) if c == "@"):
+        a = at
+        while a and (word(text[a - 1]) or text[a - 1] in ".+%-"):
+            a -= 1
+        b = at + 1
+        while b < len(text) and (word(text[b]) or text[b] in "-."):
+            b += 1
+        host = text[at + 1 : b]
+        while host:  # the longest host of good labels that ends in letters, where no word goes on
+            labels = host.split(".")
+            good = len(labels) > 1 and all(x and x[0].isalnum() and x[-1].isalnum() for x in labels) and labels[-1].isalpha() and 2 <= len(labels[-1]) <= 24
+            after = text[at + 1 + len(host) : at + 2 + len(host)]
+            if good and not (after and (word(after) or after == "-")):
+                break
+            host = host[:-1]
+        user = text[a:at]
+        if user and host and len(user) <= 64 and ".." not in user + host:
+            out.append((a, at + 1 + len(host)))
+    return out
+
+
+def _cards_by_hand(text):
+    """Card numbers by their digits: from each digit at which a number can begin, the longest that passes the sum."""
+    word = lambda c: c.isalnum() or c == "_"
+
+    def passes(digits):
+        total = 0
+        for i, d in enumerate(reversed([int(x) for x in digits])):
+            total += sum(divmod(2 * d, 10)) if i % 2 else d
+        return total % 10 == 0 and len(set(digits)) > 1
+
+    out, i = [], 0
+    while i < len(text):
+        if text[i] not in "0123456789" or (i and (word(text[i - 1]) or text[i - 1] in ".+-")):
+            i += 1
+            continue
+        ends, digits, j = [], "", i
+        while j < len(text) and len(digits) < 19:
+            if text[j] in "0123456789":
+                digits += text[j]
+                j += 1
+            elif text[j] in " -" and j + 1 < len(text) and text[j + 1] in "0123456789":
+                j += 1
+            else:
+                break
+            if text[j - 1] in "0123456789" and 13 <= len(digits):
+                ends.append((j, digits))
+        free = lambda e: not (e < len(text) and (word(text[e]) or text[e] == "-" or (text[e] == "." and text[e + 1 : e + 2].isdigit())))
+        whole = [(e, d) for e, d in ends if free(e)]
+        hit = None
+        if whole:
+            top = whole[-1][0]
+            hit = next((e for e, d in reversed(ends) if e <= top and (e == top or text[e] in " -") and passes(d)), None)
+        if hit:
+            out.append((i, hit))
+        i = hit or i + 1
+    return out
+
+
+def test_emails_and_cards_equal_a_search_by_hand(spark):
+    docs = {d.doc_id: d.text for d in table(spark, SF, "documents").collect() if d.text}
+    got: dict = {}
+    for r in queries.QUERIES["op4_pii"](spark, SF).collect():
+        got.setdefault((r.doc_id, r.kind), []).append((r.start_char, r.end_char))
+    near = lambda t, a, b, ws: any(re.sub(r"[\W_]+", " ", f" {x} ").lower().find(f" {w} ") >= 0 for x in (t[max(0, a - 40) : a], t[b : b + 40]) for w in ws)
+    n = 0
+    for d, t in docs.items():
+        assert sorted(got.get((d, "EMAIL"), [])) == _emails_by_hand(t), d
+        cards = [(a, b) for a, b in _cards_by_hand(t) if not near(t, a, b, ("isbn", "order", "tracking", "serial", "invoice", "imei")) or near(t, a, b, ("card", "visa", "mastercard", "amex", "credit", "debit", "payment", "carte", "karte", "tarjeta"))]
+        assert sorted(got.get((d, "CREDIT_CARD"), [])) == cards, d
+        n += len(cards) + len(got.get((d, "EMAIL"), []))
+    assert n > 20
+
+
+# --- decontamination ---
 
 
 @pytest.mark.parametrize("most", [decontaminate.MAX_BROADCAST_BYTES, 0])
@@ -360,7 +438,7 @@ def test_contaminated_equals_brute_force(spark, most):
     assert {tuple(r) for r in got.collect()} == want and want
 
 
-# --- HTML -----------------------------------------------------------------------------------------------------------
+# --- HTML ---
 
 
 def _page(body):
@@ -529,7 +607,7 @@ def test_long_pages_take_time_in_proportion(source):
     assert time.process_time() - began < 10  # a second or three; a page that is read again for each tag takes hours
 
 
-# --- URLs -----------------------------------------------------------------------------------------------------------
+# --- URLs ---
 
 
 def test_urls(spark):
@@ -563,7 +641,7 @@ def test_url_query_equals_another_search(spark):
         assert set(filter(None, r.terms.split(","))) == want and r.rejected == bool(hard or (len(soft) > 1 and sum(terms[t] for t in soft) >= 2))
 
 
-# --- search ---------------------------------------------------------------------------------------------------------
+# --- search ---
 
 
 def test_blocks_are_pruned_without_loss():
@@ -615,7 +693,7 @@ def test_scores_that_are_started_from_lose_nothing():
     assert again == whole and len(whole) == 9
 
 
-# --- toxicity -------------------------------------------------------------------------------------------------------
+# --- toxicity ---
 
 
 def _toxic_rows(n=600, seed=1):
@@ -751,7 +829,7 @@ def test_viterbi_equals_all_readings():
         assert any(abs(s - best[0]) < 1e-5 and r == got for s, r in readings(text)), text
 
 
-# --- tokens ---------------------------------------------------------------------------------------------------------
+# --- tokens ---
 
 
 def test_tokens_equal_library():
