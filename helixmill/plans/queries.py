@@ -128,7 +128,7 @@ l AS (SELECT id, min(root) AS component FROM r GROUP BY 1)"""
 def _sliced_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """All articles, every four days' a graph of their own: many components of all sizes."""
     m = A.mentions(spark, sf_dir).withColumn("entity_type", F.concat(F.floor(F.unix_seconds(F.col("day").cast("timestamp")) / 345_600), F.lit("/"), "entity_type"))
-    return G.build_nodes(m, lists=False), G.merge_edges(G.co_occurrences(m), lists=False)
+    return G.with_node_ids(m).select(F.col("node_id").alias("id")).distinct(), G.co_occurrences(m).select("source_id", "target_id").distinct()
 
 
 @query(f"{_SLICED} SELECT id, component FROM l")
