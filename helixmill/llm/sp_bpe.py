@@ -4,8 +4,10 @@ A text gets a leading space, spaces become U+2581, and no piece holds that sign
 words that are encoded apart. The distinct words that a task hasn't seen yet lie in one flat numpy array of symbols. In
 each round a segmented minimum finds the best pair of each word; its leftmost occurrence merges, in all words at once
 (all its occurrences, left to right, where no pair that the merged piece can form comes before it, so that the order
-can't matter); then the arrays are compacted, and words without a pair leave. Symbols that are no piece become bytes.
-The model's tables are read once by the driver, from the path given, and broadcast.
+can't matter); then the arrays are compacted, and words without a pair leave. Rounds over a long word grow in number with
+its length, and each is over all of it; so the pairs of a word of more than ``LONG`` characters wait in a queue instead,
+whose time follows the length (times its logarithm). Symbols that are no piece become bytes. The model's tables are read
+once by the driver, from the path given, and broadcast.
 
 Defined results. A null text has null tokens and null round_trip, an empty one none and true. Rows of any doc_id, null or
 repeated, are encoded each for itself. Texts are encoded whole, however long a word is. ``round_trip`` says whether
@@ -15,7 +17,10 @@ decoding gives the text again, which fails only for texts that hold U+2581 itsel
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
+from functools import cached_property
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +33,8 @@ SPACE = "▁"
 _NONE = np.int32(2**31 - 1)
 #: Words that a task remembers; beyond it starts afresh.
 REMEMBERED = 1 << 19
+#: Characters of the longest word that goes through rounds.
+LONG = 1 << 9
 
 
 class Tables:
@@ -91,6 +98,51 @@ class Tables:
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each word."""
+        out = self._rounds([w if len(w) <= LONG else "" for w in words])
+        for i, w in enumerate(words):
+            if len(w) > LONG:
+                out[i] = self._queue(w)
+        return out
+
+    @cached_property
+    def _pairs(self) -> dict[int, tuple[int, int]]:
+        """Rank and merged id by left * (size + 0x110000) + right, where characters that are no piece fit in."""
+        left, right = np.divmod(self.keys, self.size)
+        return dict(zip((left * (self.size + 0x110000) + right).tolist(), zip(self.ranks.tolist(), self.merged.tolist())))
+
+    def _queue(self, word: str) -> bytes:
+        """Ids of one word, whose pairs wait in a heap by rank and place."""
+        code = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        n, wide, pairs = len(code), self.size + 0x110000, self._pairs
+        start = np.where(self.chars[code] >= 0, self.chars[code], self.size + code).astype(np.int32)
+        rank, _ = self.rank_of(start[:-1], start[1:])
+        key = np.where(rank == _NONE, -1, rank.astype(np.int64) * n + np.arange(n - 1))
+        heap = np.sort(key[key >= 0]).tolist()
+        sym, waits = array("i", start.tobytes()), array("q", np.r_[key, -1].tobytes())  # waits: the pair that begins here
+        before, after = array("i", np.arange(-1, n - 1, dtype=np.int32).tobytes()), array("i", np.arange(1, n + 1, dtype=np.int32).tobytes())
+        while heap:
+            k = heappop(heap)
+            at = k % n
+            if waits[at] != k:
+                continue
+            gone = after[at]
+            sym[at] = pairs[sym[at] * wide + sym[gone]][1]
+            sym[gone] = waits[gone] = -1
+            after[at] = end = after[gone]
+            if end < n:
+                before[end] = at
+            for a, b in ((before[at], at), (at, end)):
+                if a < 0:
+                    continue
+                found = pairs.get(sym[a] * wide + sym[b]) if b < n else None
+                waits[a] = found[0] * n + a if found else -1
+                if found:
+                    heappush(heap, waits[a])
+        ids = np.frombuffer(sym, np.int32)
+        ids = ids[ids >= 0]
+        return self._bytes(ids) if (ids >= self.size).any() else ids.astype("<i4").tobytes()
+
+    def _rounds(self, words: list[str]) -> list[bytes]:
         code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         size = np.array([len(w) for w in words], np.int64)
         out = [b""] * len(words)

@@ -861,3 +861,21 @@ def test_tokens_of_documents(spark, monkeypatch):
     for _ in range(2):
         ids, _ = sp_bpe.encode_texts(tables, ["one two three four five"], known)
         assert ids.tolist() == sp.encode("one two three four five")
+
+
+@pytest.mark.parametrize("signs", ["etaoinshrdlucmfwypvbgk", "ab", "aA1=-+/", "éü漢字😀ab", "theand"])
+def test_tokens_of_long_words(signs, monkeypatch):
+    """A text without spaces is one word: its tokens are the library's, and the times that all of it is gone over don't grow with it."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=sp_bpe.MODEL)
+    tables, rng, calls = sp_bpe.Tables(sp_bpe.MODEL), random.Random(11), []
+    rank_of = tables.rank_of
+    monkeypatch.setattr(tables, "rank_of", lambda left, right: calls.append(len(left)) or rank_of(left, right))
+    texts = ["".join(rng.choices(signs, k=k)) for k in (510, 511, 512, 513, 20_000)]
+    for text in [*texts, " a b ".join(texts)]:
+        ids, _ = sp_bpe.encode_texts(tables, [text], {})
+        assert ids.tolist() == sp.encode(text)
+    calls.clear()
+    tables.encode_words(texts[-1:])
+    assert len(calls) < 10
