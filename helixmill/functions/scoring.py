@@ -78,9 +78,14 @@ def cosine(a: Column, b: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays as sets of lower-case strings; 0 if either is empty."""
-    x, y = (F.array_distinct(F.transform(c, F.lower)) for c in (a, b))
-    either = F.size(F.array_union(x, y))
-    return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / either).otherwise(F.lit(0.0))
+    sets = F.struct(*(F.array_distinct(F.transform(c, F.lower)).alias(n) for n, c in (("x", a), ("y", b))))
+
+    def share(s: Column) -> Column:
+        x, y = s["x"], s["y"]
+        return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))).otherwise(F.lit(0.0))
+
+    # as an array's element the sets, and what makes them, are found once and not at each use
+    return F.transform(F.array(sets), share)[0]
 
 
 def clamp(value: Column, low: float, high: float) -> Column:
