@@ -8,24 +8,30 @@ from pyspark.sql import functions as F
 from helixmill.functions import scoring as S
 from helixmill.functions.text import abstract_status
 from helixmill.operators.graph import both_ways
+from helixmill.session import cut
 
 _KINDS = {"new_edge": "new_relation", "weight_increased": "growing_relation", "weight_decreased": "declining_relation", "disappeared_edge": "disappeared_relation"}
 
 
 def compare_edges(new: DataFrame, old: DataFrame) -> DataFrame:
-    """Every edge of either snapshot: (source_id, target_id, current_weight, previous_weight, num_sources, sources).
+    """Every edge of either snapshot: (source_id, target_id, current_weight, previous_weight, num_sources, sources); edges
+    that have n_sources instead of lists have no sources here either.
 
     Both sides are aggregated by their ordered pair in one shuffle; there is no join.
     """
 
+    lists = "sources" in new.columns
+    s = "sources" if lists else "n_sources"
+
     def side(edges: DataFrame, now: bool) -> DataFrame:
         w, zero = F.col("weight").cast("long"), F.lit(None).cast("long")
         return edges.select(
-            F.least("source_id", "target_id").alias("source_id"), F.greatest("source_id", "target_id").alias("target_id"), (w if now else zero).alias("c"), (zero if now else w).alias("p"), (F.col("sources") if now else F.lit(None).cast(edges.schema["sources"].dataType)).alias("s")
+            F.least("source_id", "target_id").alias("source_id"), F.greatest("source_id", "target_id").alias("target_id"), (w if now else zero).alias("c"), (zero if now else w).alias("p"), (F.col(s) if now else F.lit(None).cast(new.schema[s].dataType)).alias("s")
         )
 
-    both = side(new, True).union(side(old, False)).groupBy("source_id", "target_id").agg(F.max("c").alias("c"), F.max("p").alias("p"), F.max("s").alias("sources"))
-    return both.select("source_id", "target_id", F.coalesce("c", F.lit(0)).alias("current_weight"), F.coalesce("p", F.lit(0)).alias("previous_weight"), F.greatest(F.size(F.coalesce("sources", F.array().cast("array<string>"))), F.lit(0)).alias("num_sources"), "sources")
+    both = side(new, True).union(side(old, False)).groupBy("source_id", "target_id").agg(F.max("c").alias("c"), F.max("p").alias("p"), F.max("s").alias(s))
+    n = F.size(F.coalesce("sources", F.array().cast("array<string>"))) if lists else F.coalesce("n_sources", F.lit(0))
+    return both.select("source_id", "target_id", F.coalesce("c", F.lit(0)).alias("current_weight"), F.coalesce("p", F.lit(0)).alias("previous_weight"), n.alias("num_sources"), *["sources"] * lists)
 
 
 def score_edges(compared: DataFrame) -> DataFrame:
@@ -42,7 +48,9 @@ def broad_signals(new: DataFrame, old: DataFrame, limit: int = 20, include_disap
     scored = score_edges(compare_edges(new, old)).filter(F.col("signal_type").isin(kinds))
     order = [F.desc("emergence_score"), F.asc("source_id"), F.asc("target_id")]
     best = scored.withColumn("k", F.row_number().over(Window.partitionBy("signal_type").orderBy(*order))).filter(F.col("k") <= limit).drop("k")
-    return best.withColumn("pmids", F.slice(F.coalesce("sources", F.array().cast("array<string>")), 1, 20)).drop("sources").orderBy(*order).limit(limit)
+    if "sources" in best.columns:
+        best = best.withColumn("pmids", F.slice(F.coalesce("sources", F.array().cast("array<string>")), 1, 20)).drop("sources")
+    return best.orderBy(*order).limit(limit)
 
 
 def matches(entity: str) -> Column:
@@ -56,13 +64,15 @@ def pair_signals(nodes: DataFrame, new: DataFrame, old: DataFrame, entity_a: str
 
     Where no node matches either entity, the broad signals; where no edge joins them, one row "no_direct_edge".
     """
-    a, b = nodes.filter(matches(entity_a)).select("id"), nodes.filter(matches(entity_b)).select("id")
+    hit = cut(nodes.filter(matches(entity_a) | matches(entity_b)).select("id", matches(entity_a).alias("a"), matches(entity_b).alias("b")))
+    a, b = hit.filter("a").select("id"), hit.filter("b").select("id")
     if a.isEmpty() and b.isEmpty():
         return broad_signals(new, old)
     scored = score_edges(compare_edges(new, old)).filter("current_weight > 0")
     ends = both_ways(scored)
     found = ends.join(a, "id", "left_semi").join(b.withColumnRenamed("id", "neighbor"), "neighbor", "left_semi")
     found = found.select(F.col("id").alias("entity_a"), F.col("neighbor").alias("entity_b"), "signal_type", "classification", "current_weight", "previous_weight", "num_sources", "emergence_score", "velocity_pct")
+    found = cut(found)
     if found.isEmpty():
         row = (entity_a, entity_b, "no_direct_edge", "NO_DATA", 0, 0, 0, 0.0, 0.0)
         return nodes.sparkSession.createDataFrame([row], found.schema)

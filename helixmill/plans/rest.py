@@ -130,7 +130,7 @@ def node_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snapshot_document_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A snapshot as one JSON document, and read again."""
     m = A.mentions(spark, sf_dir).filter(A.span("2000-06-01", NOW))
-    n, e = G.build_nodes(m, lists=False).select("id", "frequency"), A.edge_table(spark, sf_dir, "2000-06-01", NOW, lists=False)
+    n, e = G.build_nodes(m, lists=False).select("id", "frequency"), A.edge_table(spark, sf_dir, "2000-06-01", NOW)
     document = SN.to_document(n, e, "2000-W26")
     return SN.from_document(document, "struct<id: string, frequency: long>", "struct<source_id: string, target_id: string, weight: long, relation_type: string>")[1]
 
@@ -177,7 +177,7 @@ def topic_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{WITH_EDGES}, d AS (SELECT id, count(*) AS degree FROM (SELECT source_id AS id FROM e UNION ALL SELECT target_id FROM e) GROUP BY 1) SELECT id, degree, degree / 1000.0 >= 0.25 AND degree >= 260 AS is_bridge FROM d")
 def flagged_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = G.degrees(A.node_table(spark, sf_dir, lists=False), A.edge_table(spark, sf_dir, lists=False)).filter("degree > 0")
+    d = G.degrees(A.node_table(spark, sf_dir, lists=False), A.edge_table(spark, sf_dir)).filter("degree > 0")
     return G.bridge_flag(d.withColumns({"bridge_score": F.col("degree") / 1000, "job_count": F.col("degree")}), 0.25, 260).select("id", "degree", "is_bridge")
 
 
